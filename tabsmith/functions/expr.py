@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,7 +68,13 @@ def search_sorted(value: Column, edges: Sequence[float], inclusive: bool = True)
         for t in terms[1:]:
             out = out + t
         return out
-    return search_sorted_array(value, F.lit(edges), len(edges), inclusive)
+    return search_sorted_array(value, double_arrays(edges), len(edges), inclusive)
+
+
+def double_arrays(values) -> Column:
+    """Constant array (or array of arrays) of doubles, folded once by the optimizer."""
+    nested = bool(values) and isinstance(values[0], (list, tuple))
+    return F.from_json(F.lit(json.dumps(values)), "array<array<double>>" if nested else "array<double>")
 
 
 def search_sorted_array(value: Column, edges: Column, max_len: int, inclusive: bool = True) -> Column:

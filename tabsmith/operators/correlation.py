@@ -92,6 +92,9 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str], key: Sequence[str], pairs
     """
     pairs = list(pairs if pairs is not None else combinations(cols, 2))
     rows, nulls = null_counts(df.select(*[ref(c) for c in cols]))
+    # The key gets names of its own, so that a key column may also be ranked.
+    df = df.select(*[ref(k).alias(f"_key{i}") for i, k in enumerate(key)], *[ref(c) for c in cols])
+    key = [f"_key{i}" for i in range(len(key))]
     dense = [p for p in pairs if not nulls[p[0]] and not nulls[p[1]]]
     gaps = [p for p in pairs if nulls[p[0]] or nulls[p[1]]]
     parts = []

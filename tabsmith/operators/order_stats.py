@@ -22,7 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsmith.functions.expr import search_sorted, search_sorted_array
+from tabsmith.functions.expr import double_arrays, search_sorted, search_sorted_array
 from tabsmith.functions.session import BROADCAST_ROWS, BUCKET_ROWS
 
 MAX_BINS = 65_536
@@ -80,16 +80,19 @@ def _collect_bins(binned: DataFrame) -> dict:
     return counts
 
 
-def _bracket_structs(value: Column, g: str, brackets: Sequence[_Bracket]) -> Column:
-    idx = search_sorted(value, [b.lo for b in brackets]) - F.lit(1)
-    if len(brackets) == 1:
-        lo, hi = F.lit(float(brackets[0].lo)), F.lit(float(brackets[0].hi))
-    else:
-        lo = F.get(F.lit([float(b.lo) for b in brackets]), idx)
-        hi = F.get(F.lit([float(b.hi) for b in brackets]), idx)
-    return F.struct(
-        F.lit(g).alias("g"), idx.alias("i"), lo.alias("lo"), hi.alias("hi"), value.alias("v")
-    )
+def _bracketed(df: DataFrame, values: Mapping[str, Column], live: Mapping[str, Sequence[_Bracket]]) -> DataFrame:
+    """``(g, i, lo, hi, v)``: each value with its bracket, ``g`` the position of its column."""
+    structs = [
+        F.struct(F.lit(g).alias("g"), (search_sorted(values[c], [b.lo for b in live[c]]) - F.lit(1)).alias("i"),
+                 values[c].alias("v"))
+        for g, c in enumerate(values)
+    ]
+    found = df.select(F.inline(F.array(*structs))).where(F.col("i") >= 0)
+    lows = double_arrays([[float(b.lo) for b in live[c]] for c in values])
+    highs = double_arrays([[float(b.hi) for b in live[c]] for c in values])
+    return found.select(
+        "g", "i", F.get(F.get(lows, "g"), F.col("i")).alias("lo"), F.get(F.get(highs, "g"), F.col("i")).alias("hi"), "v"
+    ).where(F.col("v") <= F.col("hi"))
 
 
 def column_order_statistics(
@@ -116,11 +119,10 @@ def column_order_statistics(
                 live[g].append(_Bracket(lo, hi, 0, wanted))
         while live:
             bins = _bins_for(sum(len(b) for b in live.values()))
-            structs = [_bracket_structs(values[g], g, live[g]) for g in live]
-            probe = df.select(F.inline(F.array(*structs))).where(
-                (F.col("i") >= 0) & (F.col("v") <= F.col("hi"))
-            )
-            live = _narrow(live, found, _collect_bins(_binned(probe, bins)))
+            probe = _bracketed(df, {g: values[g] for g in live}, live)
+            counts = _collect_bins(_binned(probe, bins))
+            at = list(live)
+            live = _narrow(live, found, {(at[g], i): rows for (g, i), rows in counts.items()})
     return found
 
 

@@ -1,3 +1,4 @@
+import logging
 import os
 
 import pytest
@@ -7,6 +8,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def make_session() -> SparkSession:
+    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
     spark = (
         SparkSession.builder.master("local[8]").appName("tabsmith-tests")
         .config("spark.sql.shuffle.partitions", "8")
@@ -16,7 +18,7 @@ def make_session() -> SparkSession:
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
