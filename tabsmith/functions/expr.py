@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,22 +55,42 @@ def divide(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def search_sorted(value: Column, edges: Sequence[float], inclusive: bool = True) -> Column:
-    """Number of ``edges`` that are <= value (``inclusive``) or < value.
+FEW_EDGES = 16
 
-    Few edges become a codegen sum of comparisons; many become a binary search
-    over an array literal, so the cost per row grows with log(edges).
+
+def count_edges(value: Column, edges: Sequence[float], inclusive: bool = True) -> Column:
+    """Number of ``edges`` that are <= value (or < value), as a codegen sum of comparisons."""
+    out = F.lit(0)
+    for e in edges:
+        out = out + (value >= F.lit(float(e)) if inclusive else value > F.lit(float(e))).cast("int")
+    return out
+
+
+def with_positions(df: DataFrame, wanted: dict[str, tuple[str, Sequence[float], bool]]) -> DataFrame:
+    """Add ``{name: (column, edges, inclusive)}``: how many sorted edges are <= (or <) the value.
+
+    Many edges go through ``Bucketizer``, a binary search on the JVM; NULL stays NULL.
     """
-    edges = [float(e) for e in edges]
-    if not edges:
-        return F.lit(0)
-    if len(edges) <= 16:
-        terms = [(value >= e if inclusive else value > e).cast("int") for e in map(F.lit, edges)]
-        out = terms[0]
-        for t in terms[1:]:
-            out = out + t
-        return out
-    return search_sorted_array(value, double_arrays(edges), len(edges), inclusive)
+    few, many, negated = {}, {}, {}
+    for name, (c, edges, inclusive) in wanted.items():
+        edges = sorted({float(e) for e in edges})
+        if len(edges) <= FEW_EDGES:
+            few[name] = count_edges(ref(c), edges, inclusive)
+        elif inclusive:
+            many[name] = (c, edges)
+        else:
+            # edges < v  is  all edges minus those with -edge <= -v
+            negated[f"_neg_{name}"] = -ref(c)
+            many[name] = (f"_neg_{name}", [-e for e in reversed(edges)])
+    out = df.withColumns({**few, **negated}) if few or negated else df
+    if many:
+        out = Bucketizer(
+            inputCols=[c for c, _ in many.values()], outputCols=list(many), handleInvalid="keep",
+            splitsArray=[[-math.inf, *edges, math.inf] for _, edges in many.values()],
+        ).transform(out)
+        out = out.withColumns({
+            n: (F.lit(len(e)) - F.col(n) if c.startswith("_neg_") else F.col(n)).cast("int") for n, (c, e) in many.items()})
+    return out.drop(*negated)
 
 
 def double_arrays(values) -> Column:

@@ -93,7 +93,7 @@ class KnnFillModel(TableModel):
         for c in gappy:
             at = cols.index(c)
             queries = keyed.where(ref(c).isNull()).select(F.col("_id").alias("id"), vec).dropDuplicates(["id"])
-            near = knn_join(queries, donors.where(F.get("vec", F.lit(at)).isNotNull()), k, payload=at)
+            near = knn_join(queries, donors.withColumn("value", F.get("vec", F.lit(at))).where("value is not null"), k)
             fill = near.groupBy(F.col("q_id").alias("_id")).agg(F.avg("value").alias(f"_fill_{c}"))
             filled = filled.join(fill, "_id", "left")
         done = filled.select(*[

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.expr import ref, search_sorted
+from tabsmith.functions.expr import count_edges, ref
 from tabsmith.operators.stats import clean_values, summarize
 
 
@@ -33,13 +33,12 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, clas
         if not q:
             return F.lit(0)
         edges = sorted({q[p] for p in _levels(bins)})
-        return search_sorted(F.coalesce(values[c], F.lit(q[0.5])), edges, inclusive=False)
+        return count_edges(F.coalesce(values[c], F.lit(q[0.5])), edges, inclusive=False)
 
     y = ref(target).cast("string") if classification else bin_of(target).cast("string")
     structs = [F.struct(F.lit(c).alias("feature"), bin_of(c).alias("bx")) for c in features]
     cells = (
-        df.select(y.alias("by"), F.array(*structs).alias("_f"))
-        .select("by", F.inline("_f"))
+        df.select(y.alias("by"), F.inline(F.array(*structs)))
         .groupBy("feature", "bx", "by")
         .agg(F.count("*").alias("n"))
     )

@@ -106,17 +106,18 @@ def _visits(x: np.ndarray, boxes: dict, k: int) -> list[list[int]]:
     return out
 
 
-def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool = False, payload: int | None = None,
+def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool = False,
              cell_rows: int = CELL_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``(q_id, d_id, distance, rank)`` of the k nearest donors of each query, ties by id.
 
     Inputs have ``id`` (a long on the donor side) and ``vec array<double>``.
-    ``exclude_self`` skips the donor with the query's own id; ``payload`` adds that
-    coordinate of the donor as ``value``.
+    ``exclude_self`` skips the donor with the query's own id.  A ``value double`` column of
+    the donors is passed through to the result.
     """
     spark = donors.sparkSession
     wanted = k + (1 if exclude_self else 0)
-    donors = donors.select(F.col("id").alias("d_id"), F.col("vec").cast("array<double>").alias("d_vec"))
+    extra = ["value"] if "value" in donors.columns else []
+    donors = donors.select(F.col("id").alias("d_id"), F.col("vec").cast("array<double>").alias("d_vec"), *extra)
     queries = queries.select(F.col("id").alias("q_id"), F.col("vec").cast("array<double>").alias("q_vec"))
     # Of identical donors only the first ``wanted`` ids can ever be used; Spark applies the
     # limit per task before the shuffle, so a vector repeated very often stays cheap.
@@ -125,7 +126,7 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
 
     n = donors.count()
     q_type = queries.schema["q_id"].dataType.simpleString()
-    schema = f"q_id {q_type}, d_id long, distance double" + (", value double" if payload is not None else "")
+    schema = f"q_id {q_type}, d_id long, distance double" + (", value double" if extra else "")
     if n == 0:
         return spark.createDataFrame([], schema + ", rank int")
     sample = donors.orderBy(F.xxhash64("d_id")).limit(SAMPLE_ROWS).select("d_vec").toPandas()  # bounded
@@ -175,17 +176,17 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
         "ds", F.explode(F.sequence(F.lit(0), F.col("db") - 1))).select("cell", "ds", "qs", "q_id", "q_vec")
     right = placed.join(F.broadcast(blocks), "cell").withColumn(
         "ds", F.pmod(F.xxhash64("d_id"), F.col("db")).cast("int")).withColumn(
-        "qs", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).select("cell", "ds", "qs", "d_id", "d_vec")
+        "qs", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).select("cell", "ds", "qs", "d_id", "d_vec", *extra)
 
     def nearest(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"q_id": q["q_id"][:0], "d_id": np.array([], "int64"), "distance": np.array([], float)})
-        if payload is not None:
+        if extra:
             empty["value"] = np.array([], float)
         if not len(q) or not len(d):
             return empty
         qi, di = q["q_id"].to_numpy(), d["d_id"].to_numpy()
-        points = _matrix(d["d_vec"])
-        dist = block_distances(_matrix(q["q_vec"]), points)
+        dist = block_distances(_matrix(q["q_vec"]), _matrix(d["d_vec"]))
+        value = d["value"].to_numpy(dtype=float) if extra else None
         if exclude_self:
             dist[qi[:, None] == di[None, :]] = np.nan
         parts = []
@@ -197,8 +198,8 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
                 ok = ok[row[ok] <= edge]
             best = ok[np.lexsort((di[ok], row[ok]))][:k]
             part = {"q_id": qi[i], "d_id": di[best], "distance": row[best]}
-            if payload is not None:
-                part["value"] = points[best, payload]
+            if extra:
+                part["value"] = value[best]
             parts.append(pd.DataFrame(part))
         return pd.concat(parts) if parts else empty
 

@@ -22,7 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsmith.functions.expr import double_arrays, search_sorted, search_sorted_array
+from tabsmith.functions.expr import double_arrays, search_sorted_array, with_positions
 from tabsmith.functions.session import BROADCAST_ROWS, BUCKET_ROWS
 
 MAX_BINS = 65_536
@@ -82,12 +82,13 @@ def _collect_bins(binned: DataFrame) -> dict:
 
 def _bracketed(df: DataFrame, values: Mapping[str, Column], live: Mapping[str, Sequence[_Bracket]]) -> DataFrame:
     """``(g, i, lo, hi, v)``: each value with its bracket, ``g`` the position of its column."""
+    wide = df.select(*[v.alias(f"_v{g}") for g, v in enumerate(values.values())])
+    wide = with_positions(wide, {f"_i{g}": (f"_v{g}", [b.lo for b in live[c]], True) for g, c in enumerate(values)})
     structs = [
-        F.struct(F.lit(g).alias("g"), (search_sorted(values[c], [b.lo for b in live[c]]) - F.lit(1)).alias("i"),
-                 values[c].alias("v"))
-        for g, c in enumerate(values)
+        F.struct(F.lit(g).alias("g"), (F.col(f"_i{g}") - F.lit(1)).alias("i"), F.col(f"_v{g}").alias("v"))
+        for g in range(len(values))
     ]
-    found = df.select(F.inline(F.array(*structs))).where(F.col("i") >= 0)
+    found = wide.select(F.inline(F.array(*structs))).where(F.col("i") >= 0)
     lows = double_arrays([[float(b.lo) for b in live[c]] for c in values])
     highs = double_arrays([[float(b.hi) for b in live[c]] for c in values])
     return found.select(

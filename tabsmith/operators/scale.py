@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.expr import as_double, clip, double_arrays, search_sorted, unpivot_numeric, yeo_johnson
+from tabsmith.functions.expr import (
+    as_double, clip, double_arrays, ref, unpivot_numeric, with_positions, yeo_johnson,
+)
 from tabsmith.operators.fitted import ColumnEstimator, FittedColumns
 from tabsmith.operators.stats import clean_values, summarize
 
@@ -61,7 +63,7 @@ class OutlierClip(ColumnEstimator):
         return ClipModel.of(bounds)
 
 
-def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], points: int = 9, rounds: int = 6) -> dict[str, float]:
+def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], points: int = 7, rounds: int = 5) -> dict[str, float]:
     """Maximum-likelihood exponent per column.
 
     Every round evaluates ``points`` exponents of every column in one aggregate (groups are
@@ -189,29 +191,31 @@ class QuantileModel(FittedColumns):
     """Position between fitted quantiles (ties in the middle of their span), as a normal score."""
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        # Three projections, so that a search or a position is computed once per value.
+        # Separate projections, so that a position is computed once per value.
         cols = {c: k for c, k in self.fitted.items() if len(k) > 1}
         flat = {c: F.when(as_double(c).isNotNull(), F.lit(0.0)) for c in self.fitted if c not in cols}
-        found, place, score = {}, {}, {}
+        out = df.withColumns({c: as_double(c) for c in cols})
+        out = with_positions(out, {f"_at{i}": (c, knots, True) for i, (c, knots) in enumerate(cols.items())})
+        place, score = {}, {}
         for i, (c, knots) in enumerate(cols.items()):
-            x, last = as_double(c), len(knots) - 1
-            found[f"_below{i}"] = search_sorted(x, knots, inclusive=False)
-            found[f"_upto{i}"] = search_sorted(x, knots, inclusive=True)
-            below, upto = F.col(f"_below{i}"), F.col(f"_upto{i}")
-            edges = double_arrays(knots)
-            a, b = F.get(edges, below - F.lit(1)), F.get(edges, below)
-            on_knot = (below + upto - F.lit(1)) / F.lit(2.0 * last)
-            between = (below - F.lit(1) + (x - a) / (b - a)) / F.lit(float(last))
+            x, last = ref(c), len(knots) - 1
+            edges = sorted(set(knots))
+            # Middle of the span of knots that equal an edge, and the span's end.
+            first = {e: knots.index(e) for e in edges}
+            end = {e: first[e] + knots.count(e) - 1 for e in edges}
+            values, mid = double_arrays(edges), double_arrays([(first[e] + end[e]) / 2.0 / last for e in edges])
+            tail = double_arrays([end[e] / float(last) for e in edges])
+            j = F.col(f"_at{i}") - F.lit(1)
+            a, b = F.get(values, j), F.get(values, j + F.lit(1))
             place[f"_u{i}"] = (
-                F.when(x <= F.lit(float(knots[0])), F.lit(0.0)).when(x >= F.lit(float(knots[-1])), F.lit(1.0))
-                .when(upto > below, on_knot).otherwise(between)
+                F.when(x <= F.lit(float(edges[0])), F.lit(0.0)).when(x >= F.lit(float(edges[-1])), F.lit(1.0))
+                .when(x == a, F.get(mid, j)).otherwise(F.get(tail, j) + (x - a) / (b - a) / F.lit(float(last)))
             )
             score[c] = F.when(x.isNotNull(), normal_quantile(F.col(f"_u{i}")))
-        out = df
-        for step in (found, place, {**score, **flat}):
+        for step in (place, {**score, **flat}):
             if step:
                 out = out.withColumns(step)
-        return out.drop(*found, *place)
+        return out.drop(*place, *[f"_at{i}" for i in range(len(cols))])
 
 
 class QuantileScale(ColumnEstimator):

@@ -136,7 +136,7 @@ def impute_mode(spark, sf_dir):
 
 
 @query("impute_knn", """with g as (select s_suppkey, s_nationkey::double as a, case when s_suppkey % 4 = 0 then null else s_acctbal / 1000 end as b,
-    case when s_suppkey % 5 = 0 then null else s_suppkey / 10.0 end as c from supplier),
+    case when s_suppkey % 5 = 0 then null else s_suppkey * s_suppkey * s_suppkey / 9973.0 end as c from supplier),
   f as (select q.s_suppkey, d.b, row_number() over (partition by q.s_suppkey order by
       sqrt(3.0 / (1 + (q.c is not null and d.c is not null)::int) * (pow(q.a - d.a, 2) + coalesce(pow(q.c - d.c, 2), 0)))) as r
     from g q, g d where q.b is null and d.b is not null),
@@ -149,7 +149,7 @@ def impute_knn(spark, sf_dir):
     df = table(spark, sf_dir, "supplier").select(
         "s_suppkey", F.col("s_nationkey").cast("double").alias("a"),
         F.expr("case when s_suppkey % 4 = 0 then null else s_acctbal / 1000 end").alias("b"),
-        F.expr("case when s_suppkey % 5 = 0 then null else s_suppkey / 10.0D end").alias("c"))
+        F.expr("case when s_suppkey % 5 = 0 then null else s_suppkey * s_suppkey * s_suppkey / 9973.0D end").alias("c"))
     out = impute.KnnFill.of(["a", "b", "c"], k=5).fit(df).transform(df)
     return round_doubles(out.select("s_suppkey", "b", "c"), 6)
 
