@@ -1 +1,109 @@
+"""Explanations: importance, Shapley values, surrogates, what-if grids."""
 
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tabsmith.operators import explain
+from tabsmith.operators.models import Task, registry
+from tabsmith.operators.stats import round_doubles, summarize
+from tabsmith.plans.catalogue import query, table
+from tabsmith.plans.catalogue.modelling import trained
+
+COEFS = {"l_quantity": 2.0, "l_discount": -30.0, "l_tax": 50.0}
+SHAP_SQL = " union all ".join(
+    f"select '{c}' as feature, round(avg(abs({w} * ({c} - m))), 6) as mean_abs_shap from lineitem, (select avg({c}) as m from lineitem)" for c, w in COEFS.items())
+
+
+class FixedLinear:
+    """A linear model with given coefficients, so that every explanation has a closed form."""
+
+    def transform(self, df):
+        x = vector_to_array("features")
+        y = F.lit(0.0)
+        for i, w in enumerate(COEFS.values()):
+            y = y + F.get(x, F.lit(i)) * w
+        return df.withColumn("prediction", y)
+
+
+def _vectors(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").withColumn("row", F.monotonically_increasing_id())
+    return VectorAssembler(inputCols=list(COEFS), outputCol="features").transform(df).select("row", "features", "l_extendedprice")
+
+
+@query("shap_linear", SHAP_SQL)
+def shap_linear(spark, sf_dir):
+    return round_doubles(explain.linear_shapley(table(spark, sf_dir, "lineitem"), COEFS), 6)
+
+
+@query("shap_sampled", SHAP_SQL)
+def shap_sampled(spark, sf_dir):
+    values = explain.shapley_values(FixedLinear(), _vectors(spark, sf_dir), list(COEFS), ["row"], permutations=6)
+    return round_doubles(explain.mean_abs_shapley(values), 6)
+
+
+@query("local_surrogate")
+def local_surrogate(spark, sf_dir):
+    df = _vectors(spark, sf_dir)
+    out = explain.local_surrogate(FixedLinear(), df, list(COEFS), ["row"], [1.0, 0.1, 0.1], samples=40)
+    return out.groupBy("feature").agg(F.count("*").alias("n"), F.avg("weight").alias("mean_weight"))
+
+
+@query("forest_importance")
+def forest_importance(spark, sf_dir):
+    df = _vectors(spark, sf_dir).withColumnRenamed("l_extendedprice", "label")
+    model = registry(False)["random_forest"].fit(df, Task(False), {"trees": 5, "max_depth": 5})
+    return explain.feature_importance(spark, model, list(COEFS))
+
+
+@query("linear_importance")
+def linear_importance(spark, sf_dir):
+    return trained(spark, sf_dir).importance()
+
+
+FEATURES = ["l_quantity", "l_discount", "l_tax"]
+LINEAR = " + ".join(f"{w} * {c}" for c, w in COEFS.items())
+
+
+def _linear_scorer(df):
+    return df.withColumn("prediction", F.expr(LINEAR))
+
+
+@query("sensitivity_grid", " union all ".join(f"""select '{c}' as feature, round(abs({w}) * 4 * s, 4) as mean_impact, round(abs({w}) * 4 * s, 4) as max_impact,
+  {1.0 if w > 0 else 0.0}::double as positive_share from (select stddev_samp({c}) as s from lineitem)""" for c, w in COEFS.items()))
+def sensitivity_grid(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(*FEATURES).withColumn("row", F.monotonically_increasing_id())
+    stats = summarize(df, FEATURES, (0.5,), moments=2)
+    rows = explain.sensitivity(df, _linear_scorer, FEATURES, ["row"], stats)
+    return round_doubles(explain.sensitivity_summary(rows))
+
+
+def _class_scorer(df):
+    return df.withColumn("prediction", (F.expr(LINEAR) > 50).cast("double"))
+
+
+_MOVES = ", ".join(f"({i}, {j}, '{c}', {m})" for i, c in enumerate(FEATURES) for j, m in enumerate((1.0, -1.0, 2.0, -2.0, 0.5, -0.5)))
+
+
+@query("counterfactual", f"""with st as ({' union all '.join(f"select '{c}' as feature, min({c}) as lo, max({c}) as hi, median({c}) as med, stddev_samp({c}) as sd from lineitem" for c in FEATURES)}),
+  mv as (select fo, mo, feature, greatest(lo, least(hi, med + m * sd)) as v from (values {_MOVES}) t(fo, mo, feature, m) join st using (feature)),
+  b as (select *, row_number() over () as row, {LINEAR} > 50 as base from lineitem),
+  t as (select row, fo, mo, feature, v, base, {' + '.join(f"{w} * (case when feature = '{c}' then v else {c} end)" for c, w in COEFS.items())} > 50 as p,
+    case feature {' '.join(f"when '{c}' then {c}" for c in FEATURES)} end as o from b, mv),
+  f as (select * from t where p <> base qualify row_number() over (partition by row, fo order by mo) = 1)
+  select feature, count(*) as n, round(avg(v), 4) as changed_to, round(sum(v - o), 2) as delta, cast(sum(p::int) as double) as positives from f group by 1""")
+def counterfactual(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(*FEATURES).withColumn("row", F.monotonically_increasing_id())
+    stats = summarize(df, FEATURES, (0.5,), moments=2)
+    rows = explain.counterfactuals(df, _class_scorer, FEATURES, ["row"], stats)
+    return rows.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.avg("changed_to"), 4).alias("changed_to"),
+                                       F.round(F.sum("delta"), 2).alias("delta"), F.sum("new_prediction").alias("positives"))
+
+
+@query("model_sensitivity")
+def model_sensitivity(spark, sf_dir):
+    """What-if rows scored by a trained model, preprocessing included."""
+    auto = trained(spark, sf_dir)
+    return explain.sensitivity_summary(auto.sensitivity(table(spark, sf_dir, "part"), ["p_partkey"]))
