@@ -43,9 +43,10 @@ def _complete_pairs(df: DataFrame, pairs) -> DataFrame:
         for a, b in pairs
     ]
     long = df.select(F.inline(F.array(*structs))).where("x is not null and y is not null")
-    return long.groupBy("f1", "f2").agg(
-        divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")).alias("r")
-    )
+    rs = long.groupBy("f1", "f2").agg(
+        divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")).alias("r"))
+    # A pair that is never complete keeps its row, with NULL.
+    return df.sparkSession.createDataFrame(pairs, "f1 string, f2 string").join(rs, ["f1", "f2"], "left")
 
 
 def pearson_pairs(df: DataFrame, cols: Sequence[str], pairs=None, nulls: dict[str, int] | None = None) -> DataFrame:

@@ -7,13 +7,14 @@ a transform is a left join, broadcast only when the counted rows allow it.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsmith.functions.expr import ref, unpivot_strings
+from tabsmith.functions.expr import double_arrays, ref, unpivot_strings
 from tabsmith.functions.session import BROADCAST_ROWS, INLINE_CATEGORIES, cut_lineage
 from tabsmith.operators.fitted import ColumnEstimator, FittedColumns, TableModel
 from tabsmith.operators.profile import value_counts
@@ -28,23 +29,19 @@ def _text(name: str) -> Column:
 class CodeMapModel(FittedColumns):
     """Inline form: ``{column: {"map": {category: [codes]}, "default": [...], "names": [...]}}``."""
 
-    def expressions(self, df: DataFrame) -> dict[str, Column]:
-        out = {}
-        for c, f in self.fitted.items():
-            default = F.array(*[F.lit(float(v)) for v in f["default"]])
+    def _transform(self, df: DataFrame) -> DataFrame:
+        # One lookup per column; the codes are then taken from it in a second projection.
+        found, out = {}, {}
+        for i, (c, f) in enumerate(self.fitted.items()):
+            default = double_arrays([float(v) for v in f["default"]])
             if f["map"]:
-                pairs = [x for cat, codes in f["map"].items() for x in (F.lit(cat), F.lit([float(v) for v in codes]))]
-                codes = F.coalesce(F.try_element_at(F.create_map(*pairs), _text(c)), default)
+                table = F.from_json(F.lit(json.dumps(f["map"])), "map<string,array<double>>")
+                found[f"_codes{i}"] = F.coalesce(F.try_element_at(table, _text(c)), default)
             else:
-                codes = default
-            for i, name in enumerate(f["names"]):
-                out[name] = F.get(codes, F.lit(i))
-        return out
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        out = super()._transform(df)
-        made = {n for f in self.fitted.values() for n in f["names"]}
-        return out.drop(*[c for c in self.fitted if c not in made])
+                found[f"_codes{i}"] = default
+            out.update({name: F.get(F.col(f"_codes{i}"), F.lit(j)) for j, name in enumerate(f["names"])})
+        df = df.withColumns(found).withColumns(out)
+        return df.drop(*found, *[c for c in self.fitted if c not in out])
 
 
 class CodeTableModel(TableModel):
@@ -159,20 +156,23 @@ class OneHotEncode(ColumnEstimator):
         return _code_model(table, {c: {"default": f["default"], "names": f["names"]} for c, f in spec.items()})
 
 
-def target_statistics(df: DataFrame, cols: Sequence[str], y: Column) -> DataFrame:
-    """``(column, category, n, mean, var)`` of ``y`` per category; map-side combined."""
-    long = unpivot_strings(df.select(y.cast("double").alias("_y"), *[_text(c).alias(c) for c in cols]), cols, ["_y"])
-    return long.groupBy("column", F.col("value").alias("category")).agg(
-        F.count("_y").alias("n"), F.avg("_y").alias("mean"), F.var_pop("_y").alias("var"))
+def target_statistics(df: DataFrame, cols: Sequence[str], targets: Sequence[Column]) -> DataFrame:
+    """``(column, category, n, m0, v0, m1, v1, ...)``: mean and population variance of every
+    target per category, in one map-side combined aggregate."""
+    ys = [f"_y{i}" for i in range(len(targets))]
+    wide = df.select(*[t.cast("double").alias(y) for y, t in zip(ys, targets)], *[_text(c).alias(c) for c in cols])
+    aggs = [x for i, y in enumerate(ys) for x in (F.avg(y).alias(f"m{i}"), F.var_pop(y).alias(f"v{i}"))]
+    return unpivot_strings(wide, cols, ys).groupBy("column", F.col("value").alias("category")).agg(
+        F.count(ys[0]).alias("n"), *aggs)
 
 
-def shrunk_mean(smooth: float | None, prior: float, y_var: float) -> Column:
-    """Category mean pulled to the prior: by ``smooth`` pseudo-rows, or empirical Bayes."""
-    n, m = F.col("n"), F.col("mean")
+def shrunk_mean(i: int, smooth: float | None, prior: float, y_var: float) -> Column:
+    """Category mean of target i pulled to the prior: by ``smooth`` pseudo-rows, or empirical Bayes."""
+    n, m = F.col("n"), F.col(f"m{i}")
     if smooth is not None:
         return (n * m + F.lit(float(smooth * prior))) / (n + F.lit(float(smooth)))
     top = F.lit(y_var) * n
-    bottom = top + F.col("var")
+    bottom = top + F.col(f"v{i}")
     w = F.when(bottom > 0, top / F.when(bottom > 0, bottom))
     return F.when(w.isNull(), F.lit(prior)).otherwise(w * m + (1.0 - w) * F.lit(prior))
 
@@ -196,14 +196,9 @@ class TargetEncode(ColumnEstimator):
         parts = _indicators(target, self.option("classes", 0))
         priors = df.agg(*[x for i, (_, y) in enumerate(parts) for x in (
             F.avg(y).alias(f"m{i}"), F.var_pop(y).alias(f"v{i}"))]).first()
-        table, defaults = None, []
-        for i, (_, y) in enumerate(parts):
-            prior, var = priors[f"m{i}"] or 0.0, priors[f"v{i}"] or 0.0
-            defaults.append(prior)
-            one = target_statistics(df, self.cols, y).select(
-                "column", "category", shrunk_mean(smooth, prior, var).alias(f"e{i}"))
-            table = one if table is None else table.join(one, ["column", "category"])
-        table = table.select("column", "category", F.array(*[F.col(f"e{i}") for i in range(len(parts))]).alias("codes"))
+        defaults = [priors[f"m{i}"] or 0.0 for i in range(len(parts))]
+        codes = [shrunk_mean(i, smooth, defaults[i], priors[f"v{i}"] or 0.0) for i in range(len(parts))]
+        table = target_statistics(df, self.cols, [y for _, y in parts]).select("column", "category", F.array(*codes).alias("codes"))
         return _code_model(table, {
             c: {"default": defaults, "names": [f"{c}{tag}" for tag, _ in parts]} for c in self.cols})
 

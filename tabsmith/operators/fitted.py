@@ -9,9 +9,10 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import (
-    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReader, MLWriter,
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
+    MLWritable, MLWriter,
 )
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 
 
 class ColumnEstimator(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -90,7 +91,7 @@ class _TableReader(MLReader):
         return instance
 
 
-class TableModel(Model):
+class TableModel(Model, MLReadable, MLWritable):
     """A fitted stage whose state is a table of unknown size, kept as a DataFrame and
     saved as parquet next to the parameters."""
 
@@ -131,7 +132,3 @@ class TableModel(Model):
         other = super().copy(extra)
         other.table = self.table
         return other
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -106,4 +106,4 @@ def counterfactual(spark, sf_dir):
 def model_sensitivity(spark, sf_dir):
     """What-if rows scored by a trained model, preprocessing included."""
     auto = trained(spark, sf_dir)
-    return explain.sensitivity_summary(auto.sensitivity(table(spark, sf_dir, "part"), ["p_partkey"]))
+    return explain.sensitivity_summary(auto.sensitivity(table(spark, sf_dir, "customer"), ["c_custkey"]))

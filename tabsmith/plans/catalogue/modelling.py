@@ -230,14 +230,14 @@ def default_plan(spark, sf_dir):
 
 
 def trained(spark, sf_dir):
-    return AutoTable(table(spark, sf_dir, "part"), "p_brand", "classification", key=["p_partkey"], trials=0, grid=ONE,
+    return AutoTable(table(spark, sf_dir, "customer"), "c_mktsegment", "classification", key=["c_custkey"], trials=0, grid=ONE,
                      models=["logistic_regression"], params=LIGHT, ensembles=False).run()
 
 
 @query("batch_predict")
 def batch_predict(spark, sf_dir):
     auto = trained(spark, sf_dir)
-    return auto.scorer.predict(table(spark, sf_dir, "part").drop("p_brand")).select("p_partkey", "prediction", "confidence")
+    return auto.scorer.predict(table(spark, sf_dir, "customer").drop("c_mktsegment")).select("c_custkey", "prediction", "confidence")
 
 
 @query("naive_bayes_scores")
