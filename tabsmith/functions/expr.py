@@ -55,7 +55,7 @@ def divide(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-FEW_EDGES = 16
+FEW_EDGES = 4
 
 
 def count_edges(value: Column, edges: Sequence[float], inclusive: bool = True) -> Column:

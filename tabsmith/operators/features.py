@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tabsmith.functions.expr import DATE_TYPES, as_double, divide, numeric_columns, ref
 from tabsmith.operators.roles import parse_timestamp
+from tabsmith.operators.stats import clean_values
 
 DATE_PARTS = ("year", "month", "day", "weekday", "hour", "is_wknd")
 
@@ -41,17 +42,24 @@ def _pair_columns(df: DataFrame, cols: Sequence[str], mark: str, make) -> dict[s
     return out
 
 
-def _row_aggregates(cols: Sequence[str]) -> dict[str, Column]:
-    """Mean, sample std, max and min over the row's non-null values."""
-    present = F.filter(F.array(*[as_double(c) for c in cols]), lambda x: x.isNotNull() & ~F.isnan(x))
-    n = F.size(present)
-    total = F.aggregate(present, F.lit(0.0), lambda acc, x: acc + x)
-    mean = divide(total, n)
-    sq = F.aggregate(present, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return {
-        "_feat_mean": mean, "_feat_std": F.when(n > 1, F.sqrt(sq / F.nullif(n - 1, F.lit(0)))),
-        "_feat_max": F.array_max(present), "_feat_min": F.array_min(present),
-    }
+def _row_aggregates(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Mean, sample std, max and min over the row's non-null values.
+
+    Plain sums instead of array functions: they stay in generated code.
+    """
+    values = list(clean_values(df, cols).values())
+    zero, n, total = F.lit(0.0), F.lit(0), F.lit(0.0)
+    for v in values:
+        n = n + v.isNotNull().cast("int")
+        total = total + F.coalesce(v, zero)
+    top, bottom = (F.greatest(*values), F.least(*values)) if len(values) > 1 else (values[0], values[0])
+    out = df.withColumns({"_n": n, "_feat_mean": divide(total, n), "_feat_max": top, "_feat_min": bottom})
+    squares = zero
+    for v in values:
+        d = v - F.col("_feat_mean")
+        squares = squares + F.coalesce(d * d, zero)
+    out = out.withColumn("_feat_std", F.when(F.col("_n") > 1, F.sqrt(squares / F.nullif(F.col("_n") - 1, F.lit(0))))).drop("_n")
+    return out, ["_feat_mean", "_feat_std", "_feat_max", "_feat_min"]
 
 
 def _log_columns(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
@@ -88,7 +96,7 @@ def engineer_features(df: DataFrame, target: str | None, strategy: str,
     elif strategy == "polynomial":
         new = {f"{c}_sq": as_double(c) * as_double(c) for c in cols[:5] if f"{c}_sq" not in df.columns}
     elif strategy == "aggregates":
-        new = _row_aggregates(cols[:10]) if cols else {}
+        return _row_aggregates(df, cols[:10]) if cols else (df, [])
     else:
         new = _log_columns(df, cols)
     return df.withColumns(new) if new else df, list(new)

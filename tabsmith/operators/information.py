@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.expr import count_edges, ref
+from tabsmith.functions.expr import ref, with_positions
 from tabsmith.operators.stats import clean_values, summarize
 
 
@@ -28,17 +28,20 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, clas
     stats = summarize(df, cols, probs, moments=0)
     values = clean_values(df, cols)
 
-    def bin_of(c: str) -> Column:
+    # Values first, then positions among the edges, so that nothing is computed twice.
+    def edges(c: str) -> list[float]:
         q = stats[c].quantiles
-        if not q:
-            return F.lit(0)
-        edges = sorted({q[p] for p in _levels(bins)})
-        return count_edges(F.coalesce(values[c], F.lit(q[0.5])), edges, inclusive=False)
-
-    y = ref(target).cast("string") if classification else bin_of(target).cast("string")
-    structs = [F.struct(F.lit(c).alias("feature"), bin_of(c).alias("bx")) for c in features]
+        return [q[p] for p in _levels(bins)] if q else []
+
+    filled = [F.coalesce(values[c], F.lit(stats[c].quantiles.get(0.5, 0.0))).alias(f"_v{i}") for i, c in enumerate(cols)]
+    y = ref(target).cast("string") if classification else F.lit(None).cast("string")
+    wide = df.select(y.alias("by"), *filled)
+    wide = with_positions(wide, {f"_b{i}": (f"_v{i}", edges(c), False) for i, c in enumerate(cols)})
+    if not classification:
+        wide = wide.withColumn("by", F.col(f"_b{len(cols) - 1}").cast("string"))
+    structs = [F.struct(F.lit(c).alias("feature"), F.col(f"_b{i}").alias("bx")) for i, c in enumerate(features)]
     cells = (
-        df.select(y.alias("by"), F.inline(F.array(*structs)))
+        wide.select("by", F.inline(F.array(*structs)))
         .groupBy("feature", "bx", "by")
         .agg(F.count("*").alias("n"))
     )
