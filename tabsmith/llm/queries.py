@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import chat, url_reputation
+from tabsmith.llm import bpe, chat, ngram_join, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,3 +118,38 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.regexp_extract(url_reputation.path_of(F.col("url")), SHOWN, 1).try_cast("long")
     labelled = pages.select("url", shown.alias("doc_id")).join(labels, "doc_id").select("url", (1 - F.col("quality")).alias("bad"))
     return url_reputation.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+@query("op1_ngram_join", r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end as s from words),
+rows as (select doc_id, len(s) as n, s from sets),
+items as (select doc_id, n, unnest(s) as h from rows),
+shared as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c
+  from items a join items b on a.h = b.h and a.doc_id < b.doc_id group by all),
+links as (select a, b from shared where 100 * c >= 75 * (na + nb - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(doc_id, r) as (
+  select doc_id, doc_id from rows
+  union
+  select e.b, reach.r from reach join both_ways e on e.a = reach.doc_id where reach.r < e.b)
+select doc_id, cast(max(n) as bigint) as n_shingles, min(r) as component_id from rows join reach using (doc_id) group by doc_id""")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(documents(spark, sf_dir), width=5, percent=75)
+
+
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = bpe.decode(bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+                         F.sha2("decoded", 256).alias("decoded_sha256"))
