@@ -15,6 +15,7 @@ components are those of all links.  There is no cap.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,19 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.session import cut_lineage
+from tabsmith.llm import packed
 from tabsmith.llm import text as tx
 from tabsmith.llm.components import components
 
-# Shingles that a bucket holds in memory at once, about; buckets grow in number with the input.
-BUCKET_SHINGLES = 3_000_000
-LOW_BITS = 40
-
-
-def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """First row, shingle sets and set identities, a block of rows at a time."""
     for at, _, data, offsets in tx.blocks(column):
         data = tx.LOWER[data]
         starts, ends, first = tx.spans(data, offsets, tx.SPACED)
-        yield at, tx.shingle_hashes(tx.span_hashes(data, starts, ends), first, width)
+        sets = tx.shingle_hashes(tx.span_hashes(data, starts, ends), first, width)
+        yield at, sets, tx.bag_keys(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(h) for h in sets]))))
 
 
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -43,73 +42,36 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     def run(batches):
         for batch in batches:
             n, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for at, found in _sets(batch.column("text"), width):
+            for at, found, keys in _sets(batch.column("text"), width):
                 n[at:at + len(found)] = [len(h) for h in found]
-                key[at:at + len(found)] = [tx.bag_key(h) for h in found]
+                key[at:at + len(found)] = keys
             yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(key, mask=n == 0)], ["doc_id", "n", "key"])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n long, key long")
 
 
 def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(bucket, runs, sizes, counts, low, high): the distinct sets of a block, cut by bucket of the shingle."""
-    schema = "bucket int, runs binary, sizes binary, counts binary, low binary, high binary"
-
+    """The distinct sets of each block, cut by bucket of the shingle."""
     def run(batches):
         for batch in batches:
-            for _, found in _sets(batch.column("text"), width):
-                sets = {tx.bag_key(h): h for h in found if len(h)}
+            for _, found, keys in _sets(batch.column("text"), width):
+                sets = {key: h for key, h in zip(keys.tolist(), found) if len(h)}
                 if sets:
-                    yield _cut(sets, buckets)
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def _cut(sets: dict[int, np.ndarray], buckets: int) -> pa.RecordBatch:
-    keys = np.array(list(sets), np.int64)
-    sizes = np.array([len(h) for h in sets.values()], np.uint32)
-    hashes = np.concatenate(list(sets.values()))
-    bucket = ((hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
-    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-    owner = np.repeat(np.arange(len(keys)), sizes)[order]
-    bucket, hashes = bucket[order], hashes[order]
-    new_run = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1]))))
-    run_owner, run_bucket = owner[new_run], bucket[new_run]
-    run_count = np.diff(np.append(new_run, len(owner))).astype(np.uint32)
-    low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint8)
-    there, run_at = np.unique(run_bucket, return_index=True)
-    run_at = np.append(run_at, len(run_owner))
-    at = np.searchsorted(bucket, np.append(there, buckets))
-    cut_runs = lambda a: [a[i:j].tobytes() for i, j in zip(run_at[:-1], run_at[1:])]
-    cut_rows = lambda a: [a[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
-    return pa.record_batch(
-        [pa.array(there.astype(np.int32)), pa.array(cut_runs(keys[run_owner]), pa.binary()), pa.array(cut_runs(sizes[run_owner]), pa.binary()),
-         pa.array(cut_runs(run_count), pa.binary()), pa.array(cut_rows(low), pa.binary()), pa.array(cut_rows(high), pa.binary())],
-        ["bucket", "runs", "sizes", "counts", "low", "high"])
+                    yield packed.pack(sets, [len(h) for h in sets.values()], list(sets.values()), None, buckets)
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, packed.SCHEMA)
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """A bucket's shingles that stand in several sets, per set, with the number of these sets."""
-    read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    runs, sizes, counts = read("runs", np.int64), read("sizes", np.uint32), read("counts", np.uint32)
-    value = read("low", np.uint32).astype(np.int64) | read("high", np.uint8).astype(np.int64) << 32
-    owner = np.repeat(np.arange(len(runs)), counts)
-    # A set found in several blocks comes several times; only its first run counts.
-    _, first = np.unique(runs, return_index=True)
-    if len(first) < len(runs):
-        whole = np.zeros(len(runs), bool)
-        whole[first] = True
-        value, owner = value[whole[owner]], owner[whole[owner]]
-    order = np.argsort(value, kind="stable")
-    ordered = value[order]
-    edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
-    many = np.diff(edge)
-    df = np.empty(len(value), np.int64)
-    df[order] = np.repeat(many, many)
+    got = packed.Bucket(table, add=False)
+    order, edge = got.groups()
+    df = np.empty(len(order), np.int64)
+    df[order] = np.repeat(np.diff(edge), np.diff(edge))
     keep = df > 1
-    value, owner, df = value[keep], owner[keep], df[keep]
-    there, per = np.unique(owner, return_counts=True)
-    token = value | np.int64(table.column("bucket")[0].as_py()) << LOW_BITS
-    return pa.table([pa.array(runs[there]), pa.array(sizes[there].astype(np.int64)), tx.ragged(df, per), tx.ragged(token, per)],
+    by_set = np.argsort(got.owner[keep], kind="stable")
+    there, per = np.unique(got.owner[keep], return_counts=True)
+    token = (got.value[keep].view(np.uint64) | np.uint64(got.number & 0xFFFF) << np.uint64(packed.BITS)).view(np.int64)[by_set]
+    return pa.table([pa.array(got.bags[there]), pa.array(got.weights[there]), tx.ragged(df[keep][by_set], per), tx.ragged(token, per)],
                     ["key", "n", "df", "token"])
 
 
@@ -123,8 +85,7 @@ def candidate_sets(docs: DataFrame, width: int, percent: int, total: int) -> Dat
     ``tokens`` are the shared shingles in order of count and value, ``prefix`` how many of them lie in the prefix,
     ``weight`` their mean count, by which typical sets are known.
     """
-    spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SHINGLES))
+    buckets = packed.bucket_count(docs.sparkSession, total)
     parts = _packed(docs, width, buckets).groupBy("bucket").applyInArrow(_shared, "key long, n long, df array<long>, token array<long>")
     sets = parts.groupBy("key").agg(F.first("n").alias("n"), F.sum(F.size("token")).alias("m"),
                                     F.collect_list(F.arrays_zip("df", "token")).alias("lists"))
@@ -168,34 +129,46 @@ def set_links(sets: DataFrame, percent: int) -> DataFrame:
     inside = member.where("g != key").select(F.col("g").alias("a"), F.col("key").alias("b"))
     first = near.join(member.select("g", F.col("key").alias("b")), "g").select("a", "b").union(inside)
     edges = cut_lineage(verified(first.distinct(), sets, percent))
-    while True:
-        label = components(edges)
-        marked = cut_lineage(member.join(label.withColumnRenamed("node", "key"), "key", "left").select(
-            "key", "g", "n", F.coalesce("root", "key").alias("label")))
-        rest = cut_lineage(_across(places, marked, percent).join(edges, ["a", "b"], "left_anti"))
-        more = cut_lineage(verified(rest, sets, percent))
-        if more.isEmpty():
-            return label
-        # All pairs across the components of this round have been verified, so this is the last change.
-        return components(edges.union(more))
+    label = components(edges)
+    marked = cut_lineage(member.join(label.withColumnRenamed("node", "key"), "key", "left").select(
+        "key", "g", "n", F.coalesce("root", "key").alias("label")))
+    more = cut_lineage(verified(_across(places, marked, percent), sets, percent))
+    return label if more.isEmpty() else components(edges.union(more))
+
+
+def _band(n):
+    """Sizes within about 3 % of each other."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.03)).cast("int")
 
 
 def _across(places: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets in different components whose groups meet in a prefix and may link."""
-    spread = marked.select("g", "label").distinct()
-    by_label = places.join(spread, "g")
-    mixed = by_label.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
-    lists = by_label.join(mixed, "token").groupBy("token", "label").agg(F.collect_list(F.struct("g", "n", "i")).alias("l"))
-    left = lists.select("token", F.col("label").alias("la"), F.col("l").alias("xa"))
-    right = lists.select("token", F.col("label").alias("lb"), F.col("l").alias("xb"))
-    met = left.join(right, "token").where("la < lb").select("la", "lb", F.explode("xa").alias("x"), "xb").select(
-        "la", "lb", "x", F.explode("xb").alias("y")).where(
-        _may_link(F.col("x.n"), F.col("y.n"), F.col("x.i"), F.col("y.i"), percent))
-    groups = met.select("la", "lb", F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
+    """Pairs (a, b) of sets in different components whose groups meet in a prefix and may link.
+
+    The larger set of a pair looks for the smaller one in the bands of sizes that its own place leaves possible,
+    and a set is listed there only where its place allows a partner of at least its own size.
+    """
+    p = F.lit(float(percent))
+    entry = places.join(marked.select("g", "label").distinct(), "g")
+    mixed = entry.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
+    entry = cut_lineage(entry.join(mixed, "token").withColumn("left", F.col("n") - F.col("i")))
+    home = entry.where((100 + p) * F.col("left") >= 2 * p * F.col("n")).withColumn("band", _band(F.col("n")))
+    most = F.least(F.col("n"), F.floor((100 + p) * F.col("left") / p) - F.col("n"))
+    probe = entry.withColumn("most", most).withColumn("least", F.ceil(F.col("n") * p / 100.0)).where("most >= least").withColumn(
+        "band", F.explode(F.sequence(_band(F.col("least")), _band(F.col("most")))))
+    met = (home.select("token", "band", F.col("label").alias("la")).distinct()
+           .join(probe.select("token", "band", F.col("label").alias("lb")).distinct(), ["token", "band"]).where("la != lb"))
+    x, y = (e.select("token", "band", F.col("label").alias(name), F.struct("g", "n", "i").alias(to))
+            for e, name, to in ((home, "la", "x"), (probe, "lb", "y")))
+    met = met.join(x, ["token", "band", "la"]).join(y, ["token", "band", "lb"])
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.g") < F.col("y.g")))
+    groups = met.where(smaller & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.i"), F.col("y.i"), percent)).select(
+        "la", "lb", F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
     a = marked.select(F.col("g").alias("ga"), F.col("label").alias("la"), F.col("key").alias("a"))
     b = marked.select(F.col("g").alias("gb"), F.col("label").alias("lb"), F.col("key").alias("b"))
-    inner = marked.select("g", "label", F.col("key").alias("a")).join(
-        marked.select("g", F.col("label").alias("other"), F.col("key").alias("b")), "g").where("label < other").select("a", "b")
+    split = marked.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("g")
+    split = marked.join(split, "g")
+    inner = split.select("g", "label", F.col("key").alias("a")).join(
+        split.select("g", F.col("label").alias("other"), F.col("key").alias("b")), "g").where("label < other").select("a", "b")
     return groups.join(a, ["ga", "la"]).join(b, ["gb", "lb"]).select("a", "b").union(inner).distinct()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import bpe, chat, ngram_join, url_reputation
+from tabsmith.llm import bpe, chat, ctph, decontaminate, langid, ngram_join, page_diff, ppm, quality, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -153,3 +153,69 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.decode(bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def remainder(parts: int):
+    """crc32 of the doc_id as text, modulo ``parts``; a null doc_id is the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+@query("op2_ppm_score")
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ppm.score(documents(spark, sf_dir), remainder(5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op3_page_text")
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_diff.main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (remainder(5) == 0).alias("held_out"))
+    return langid.predict(docs, langid.train(docs, ~F.col("held_out")), "doc_id,held_out")
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", (remainder(3) == 1).alias("held_out"))
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), ~F.col("held_out")), "doc_id,held_out")
+
+
+@query("op8_decontaminate", r"""
+with items as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+  select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as g from (
+    select item_id, w, least(len(w), 10) as k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0)),
+docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+grams as (
+  select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g from (
+    select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from docs, (select distinct k from windows) where len(w) >= k)),
+hits as (select doc_id, i, k, item_id from grams join windows using (k, g)),
+hit_words as (select doc_id, count(*) as n from (select distinct doc_id, unnest(range(i, i + k)) as p from hits) group by doc_id),
+hit_items as (
+  select doc_id, count(*) as n, string_agg(item_id, ',' order by item_id) as ids
+  from (select distinct doc_id, cast(item_id as varchar) as item_id from hits) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(h.n, 0) as n_hit, coalesce(i.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(h.n, 0) > 0 as contaminated
+from docs left join hit_words h using (doc_id) left join hit_items i using (doc_id)""")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), window=10, keep="doc_id")
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    ids = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(ids, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+@query("op10_fingerprint")
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = ctph.with_next(documents(spark, sf_dir))
+    near = ctph.likeness(F.col("fingerprint"), F.col("edited_fingerprint")), ctph.likeness(F.col("fingerprint"), F.col("next_fingerprint"))
+    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                         near[0].alias("near_edited"), near[1].alias("near_next"))

@@ -115,15 +115,18 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> list[np.
     return out
 
 
-def bag_key(hashes: np.ndarray, salt: int = 0) -> int:
-    """Signed 64-bit identity of a bag of hashes."""
-    x = np.array([hashes.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(hashes + _ONE)) if len(hashes) else 0, len(hashes) + salt], np.uint64)
-    x = mix(x * _SHINGLE_CODE[:3])
-    return int(mix(x.sum(dtype=np.uint64).reshape(1)).view(np.int64)[0])
+def bag_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Signed 64-bit identity of each bag of hashes, whatever their order; ``first`` has where each bag begins."""
+    total = np.zeros((2, len(hashes) + 1), np.uint64)
+    np.cumsum(hashes, out=total[0, 1:])
+    np.cumsum(mix(hashes ^ np.uint64(_BASE)), out=total[1, 1:])
+    sums = total[:, first[1:]] - total[:, first[:-1]]
+    x = mix(sums[0] * _SHINGLE_CODE[0]) + mix(sums[1] * _SHINGLE_CODE[1]) * _SHINGLE_CODE[2] + np.diff(first).astype(np.uint64) * _SHINGLE_CODE[3]
+    return mix(x).view(np.int64)
 
 
 def ragged(values: np.ndarray, counts: np.ndarray, kind=None) -> pa.Array:
     """A list column from flat values and the length of each row."""
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values, kind))
