@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsmith.llm import packed
 from tabsmith.llm import text as tx
 
 # Bytes of text whose positions one task puts together at a time.
-ASSEMBLY_BYTES = 16 << 20
+ASSEMBLY_BYTES = 8 << 20
 
 # Bytes beside which a single space may be a cut: printable ASCII, and lead bytes of no white-space character.
 _PLAIN = np.zeros(256, bool)
@@ -62,69 +65,85 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """One row per block of texts: its id, the rows' ids and word counts, each word's place among the distinct words,
-    and the distinct words in order of hash."""
-    schema = "block long, doc_id array<long>, counts binary, places binary, words binary, lengths binary, hashes binary"
-
+def _blocks(docs: DataFrame, schema: str, emit) -> DataFrame:
+    """``emit`` of each block of texts: a run of rows with about ``ASSEMBLY_BYTES``."""
     def run(batches):
         for batch in batches:
             got = []
-            for at, end, data, offsets in tx.blocks(batch.column("text")):
-                got.append((at, end, data, offsets))
+            for part in tx.blocks(batch.column("text")):
+                got.append(part)
                 if sum(len(x[2]) for x in got) >= ASSEMBLY_BYTES:
-                    yield _block(batch.column("doc_id"), got)
+                    yield emit(_Block(batch.column("doc_id"), got))
                     got = []
             if got:
-                yield _block(batch.column("doc_id"), got)
+                yield emit(_Block(batch.column("doc_id"), got))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, schema)
 
 
-def _block(doc_id: pa.Array, got: list) -> pa.RecordBatch:
-    hashes, places, counts, base = [], [], [], 0
-    for _, _, data, offsets in got:
-        starts = word_starts(data, offsets)
-        ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        hashes.append(tx.span_hashes(data, starts, ends))
-        places.append((starts + base, ends + base))
-        counts.append(np.diff(np.searchsorted(starts, offsets)))
-        base += len(data)
-    data = np.concatenate([x[2] for x in got])
-    starts, ends = (np.concatenate(x) for x in zip(*places))
-    distinct, first, where = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    raw, a, b = data.tobytes(), starts[first].tolist(), ends[first].tolist()
-    counts = np.concatenate(counts).astype(np.uint32)
-    ids = doc_id.slice(got[0][0], got[-1][1] - got[0][0])
-    where = where.astype(np.uint32)
-    planes = where.astype(np.uint16).tobytes() + (where >> 16).astype(np.uint16).tobytes()
-    whole = np.frombuffer(np.concatenate([distinct.view(np.uint8), counts.view(np.uint8)]).tobytes() + b"".join(
-        str(x).encode() + b"," for x in ids.to_pylist()), np.uint8)
-    block = tx.span_hashes(whole, np.zeros(1, np.int64), np.array([len(whole)])).view(np.int64)
-    binary = lambda x: pa.array([x], pa.binary())
+class _Block:
+    """A block's words: ``where`` has the place of each among the ``distinct`` hashes, ``first`` where one stands."""
+
+    def __init__(self, doc_id: pa.Array, got: list):
+        hashes, starts, ends, counts, base = [], [], [], [], 0
+        for _, _, data, offsets in got:
+            at = word_starts(data, offsets)
+            end = np.append(at[1:], len(data)) if len(at) else at
+            hashes.append(tx.span_hashes(data, at, end))
+            starts.append(at + base)
+            ends.append(end + base)
+            counts.append(np.diff(np.searchsorted(at, offsets)))
+            base += len(data)
+        self.data = np.concatenate([x[2] for x in got])
+        self.starts, self.ends = np.concatenate(starts), np.concatenate(ends)
+        self.distinct, self.first, self.where, self.times = np.unique(
+            np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
+        self.counts = np.concatenate(counts).astype(np.uint32)
+        self.doc_id = doc_id.slice(got[0][0], got[-1][1] - got[0][0])
+        # Known by its content, so that a second run over the same rows finds the same blocks.
+        ids = b",".join(str(x).encode() for x in self.doc_id.to_pylist())
+        name = hashlib.blake2b(ids, digest_size=8)
+        for part in (self.distinct, self.times, self.counts):
+            name.update(part.tobytes())
+        self.name = int.from_bytes(name.digest(), "little", signed=True)
+
+
+def _pressed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpressed(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _by_frequency(times: np.ndarray) -> np.ndarray:
+    return np.argsort(-times.astype(np.int64), kind="stable")
+
+
+def _positions(block: _Block) -> pa.RecordBatch:
+    """The rows' ids and word counts, and each word's rank by frequency in the block, a byte plane at a time."""
+    rank = np.empty(len(block.times), np.uint32)
+    rank[_by_frequency(block.times)] = np.arange(len(block.times), dtype=np.uint32)
+    planes = rank[block.where].view(np.uint8).reshape(-1, 4).T.tobytes()
+    binary = lambda x: pa.array([_pressed(x)], pa.binary())
     return pa.record_batch(
-        [pa.array(block), tx.ragged(ids, [len(ids)], pa.int64()), binary(counts.tobytes()),
-         binary(pa.compress(planes, "zstd", asbytes=True)), binary(b"".join([raw[i:j] for i, j in zip(a, b)])),
-         binary((ends[first] - starts[first]).astype(np.uint32).tobytes()), binary(distinct.tobytes())],
-        ["block", "doc_id", "counts", "places", "words", "lengths", "hashes"])
+        [pa.array([block.name]), pa.array([-1], pa.int32()), binary(block.counts.tobytes()), binary(block.times.astype(np.uint32).tobytes()),
+         tx.ragged(block.doc_id, [len(block.doc_id)]), binary(planes)], ["block", "bucket", "counts", "ids", "doc_id", "places"])
 
 
-def _distinct_words(blocks: DataFrame, buckets: int) -> DataFrame:
-    """The distinct words of each block by bucket of their hash, in order of hash."""
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                hashes, lengths = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["lengths"], np.uint32)
-                bucket = ((hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
-                there, at = np.unique(bucket, return_index=True)
-                at = np.append(at, len(bucket))
-                byte = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
-                yield pa.record_batch(
-                    [pa.array(there), pa.array(np.full(len(there), row["block"])),
-                     pa.array([row["words"][byte[i]:byte[j]] for i, j in zip(at[:-1], at[1:])], pa.binary()),
-                     pa.array([lengths[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())],
-                    ["bucket", "block", "words", "lengths"])
-    return blocks.select("block", "words", "lengths", "hashes").mapInArrow(run, "bucket int, block long, words binary, lengths binary")
+def _words(buckets: int):
+    """The distinct words by bucket of their hash, in order of hash."""
+    def emit(block: _Block) -> pa.RecordBatch:
+        bucket = packed.bucket_of(block.distinct, buckets)
+        there, at = np.unique(bucket, return_index=True)
+        raw, a, b = block.data.tobytes(), block.starts[block.first], block.ends[block.first]
+        words, lengths = [], []
+        for i, j in zip(at.tolist(), [*at[1:].tolist(), len(bucket)]):
+            words.append(_pressed(b"".join([raw[x:y] for x, y in zip(a[i:j].tolist(), b[i:j].tolist())])))
+            lengths.append(_pressed((b[i:j] - a[i:j]).astype(np.uint32).tobytes()))
+        return pa.record_batch([pa.array(there), pa.array(np.full(len(there), block.name)), pa.array(words, pa.binary()), pa.array(lengths, pa.binary())],
+                               ["bucket", "block", "words", "lengths"])
+    return emit
 
 
 def _encode_bucket(path: str, pattern: str):
@@ -132,15 +151,16 @@ def _encode_bucket(path: str, pattern: str):
         encode, known = _encoder(path, pattern).encode_ordinary, {}
         counts, ids = [], []
         for words, lengths in zip(table.column("words").to_pylist(), table.column("lengths").to_pylist()):
-            ends = np.cumsum(np.frombuffer(lengths, np.uint32), dtype=np.int64).tolist()
+            words = _unpressed(words)
+            ends = np.cumsum(np.frombuffer(_unpressed(lengths), np.uint32), dtype=np.int64).tolist()
             found, at = [], 0
             for end in ends:
                 word, at = words[at:end], end
                 if (got := known.get(word)) is None:
-                    got = known[word] = np.array(encode(word.decode()), np.uint32)
+                    got = known[word] = array("I", encode(word.decode()))
                 found.append(got)
-            counts.append(np.array([len(x) for x in found], np.uint32).tobytes())
-            ids.append(_narrow(np.concatenate(found)))
+            counts.append(_pressed(np.array([len(x) for x in found], np.uint32).tobytes()))
+            ids.append(_pressed(_narrow(np.frombuffer(b"".join(found), np.uint32))))
         return pa.table([table.column("block"), table.column("bucket"), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())],
                         ["block", "bucket", "counts", "ids"])
     return run
@@ -157,43 +177,65 @@ def _wide(raw: bytes) -> np.ndarray:
     return halves[:len(halves) // 2].astype(np.int32) | halves[len(halves) // 2:].astype(np.int32) << 16 if raw[0] else halves.astype(np.int32)
 
 
-def _assemble(table: pa.Table) -> pa.Table:
+def _assemble(path: str | None):
+    """Ids of a block's rows in order, and with ``path`` the bytes that they stand for."""
+    def run(table: pa.Table) -> pa.Table:
+        return _assembled(table, path)
+    return run
+
+
+def _decoded(ids: np.ndarray, ends: np.ndarray, path: str) -> pa.Array:
+    """Bytes of each run of ids by the token-byte table; an id outside it is an error."""
+    table, out, at = token_bytes(path), [], 0
+    for end in ends.tolist():
+        out.append(b"".join(map(table.__getitem__, ids[at:end].tolist())))
+        at = end
+    return pa.array(out, pa.binary())
+
+
+def _assembled(table: pa.Table, path: str | None) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
     whole = [r for r in rows if r["bucket"] < 0]
     # A block that comes twice has its parts twice, equal ones side by side.
     parts = [r for r in rows if r["bucket"] >= 0][::max(1, len(whole))]
-    per_word = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
-    ids = np.concatenate([_wide(r["ids"]) for r in parts] or [np.zeros(0, np.int32)])
+    read = lambda raw: np.frombuffer(_unpressed(raw), np.uint32)
+    per_word = np.concatenate([read(r["counts"]) for r in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
+    ids = np.concatenate([_wide(_unpressed(r["ids"])) for r in parts] or [np.zeros(0, np.int32)])
     first = np.concatenate(([0], np.cumsum(per_word)))
     out = []
     for row in whole:
-        words = np.concatenate(([0], np.cumsum(np.frombuffer(row["counts"], np.uint32), dtype=np.int64)))
-        planes = np.frombuffer(pa.decompress(row["places"], decompressed_size=4 * int(words[-1]), codec="zstd", asbytes=True), np.uint16)
-        where = planes[:len(planes) // 2].astype(np.int64) | planes[len(planes) // 2:].astype(np.int64) << 16
-        if len(where) and where.max() >= len(per_word):
+        by_frequency = _by_frequency(read(row["ids"]))
+        if len(by_frequency) != len(per_word):
             raise ValueError("words of a block did not come back")
+        planes = np.frombuffer(_unpressed(row["places"]), np.uint8).reshape(4, -1)
+        where = by_frequency[np.ascontiguousarray(planes.T).view(np.uint32).ravel()]
         many = per_word[where]
         end = np.cumsum(many)
         flat = ids[np.repeat(first[where] - end + many, many) + np.arange(end[-1] if len(end) else 0)]
-        tokens = np.diff(np.concatenate(([0], end))[words])
-        out.append(pa.table([pa.array(row["doc_id"], pa.int64()), tx.ragged(flat, tokens, pa.int32())], ["doc_id", "ids"]))
+        words = np.concatenate(([0], np.cumsum(read(row["counts"]), dtype=np.int64)))
+        ends = np.concatenate(([0], end))[words]
+        got = [pa.array(row["doc_id"], pa.int64()), tx.ragged(flat, np.diff(ends), pa.int32())]
+        names = ["doc_id", "ids"]
+        out.append(pa.table([*got, _decoded(flat, ends[1:], path)], [*names, "decoded"]) if path else pa.table(got, names))
     return pa.concat_tables(out)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, back: bool = False) -> DataFrame:
     """(doc_id, ids) per row of ``docs`` (doc_id, text; other columns are ignored), ids being an int array.
 
+    With ``back`` there is a third column ``decoded``, the bytes that the ids decode to, as ``decode`` gives them.
+
     A null or empty text has no ids.  Repeated rows and null doc_ids stay as they are: nothing is joined by doc_id.
     ``path`` names a rank file that every executor can read; special tokens in a text are ordinary text.
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _blocks(docs)
-    parts = _distinct_words(blocks, buckets).groupBy("bucket").applyInArrow(
-        _encode_bucket(path, pattern), "block long, bucket int, counts binary, ids binary")
-    nothing = F.lit(None).cast("binary")
-    whole = blocks.select("block", F.lit(-1).alias("bucket"), "counts", nothing.alias("ids"), "doc_id", "places")
-    parts = parts.select("block", "bucket", "counts", "ids", F.lit(None).cast("array<long>").alias("doc_id"), nothing.alias("places"))
-    return whole.unionAll(parts).groupBy("block").applyInArrow(_assemble, "doc_id long, ids array<int>")
+    part = "block long, bucket int, counts binary, ids binary"
+    parts = _blocks(docs, "bucket int, block long, words binary, lengths binary", _words(buckets)).groupBy("bucket").applyInArrow(
+        _encode_bucket(path, pattern), part)
+    parts = parts.withColumns({"doc_id": F.lit(None).cast("array<long>"), "places": F.lit(None).cast("binary")})
+    whole = _blocks(docs, f"{part}, doc_id array<long>, places binary", _positions)
+    return whole.unionAll(parts).groupBy("block").applyInArrow(
+        _assemble(path if back else None), "doc_id long, ids array<int>" + ", decoded binary" * back)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -204,14 +246,9 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     kind = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        table = token_bytes(path)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
-            out, at = [], 0
-            for end in ends:
-                out.append(b"".join(map(table.__getitem__, flat[at:end].tolist())))
-                at = end
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            got = _decoded(ids.flatten().to_numpy(zero_copy_only=False), ends, path)
+            yield pa.record_batch([*batch.columns, got], [*batch.schema.names, "decoded"])
     return tokens.mapInArrow(run, kind)

@@ -81,9 +81,9 @@ def train(docs: DataFrame, training: Column) -> Filters:
                 kept.append(key)
                 counts.append(n)
                 size += len(key)
-                if size > 4_000_000:
+                if size > 1_500_000:
                     key, n = merged()
-                    if len(key) > 2_000_000:
+                    if len(key) > 1_000_000:
                         yield batch_of(key, n)
                         key, n = key[:0], n[:0]
                     kept, counts, size = [key], [n], len(key)

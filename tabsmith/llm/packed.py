@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 # Hashes that a bucket holds in memory at once, about; buckets grow in number with the input.
-BUCKET_HASHES = 2_500_000
+BUCKET_HASHES = 1_500_000
 SCHEMA = "bucket int, bags binary, weights binary, counts binary, low binary, high binary, times binary"
 _FIELDS = {"bags": np.int64, "weights": np.uint32, "counts": np.uint32, "low": np.uint32, "high": np.uint16, "times": np.uint32}
 # Bits of a hash that tell it apart inside its bucket.

@@ -57,9 +57,9 @@ def _grams(docs: DataFrame) -> DataFrame:
                 kept.append(gram)
                 counts.append(n)
                 size += len(gram)
-                if size > 4_000_000:
+                if size > 1_500_000:
                     (gram, n) = merged()
-                    if len(gram) > 2_000_000:
+                    if len(gram) > 1_000_000:
                         yield pa.record_batch([pa.array(gram), pa.array(n)], ["gram", "count"])
                         gram, n = gram[:0], n[:0]
                     kept, counts, size = [gram], [n], len(gram)

@@ -1,4 +1,4 @@
-"""Words and hashes of whole Arrow text columns as numpy arrays, a few megabytes of text at a time."""
+"""Words and hashes of whole Arrow text columns as numpy arrays, about a megabyte of text at a time."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+# A worker's arrays are many times a block, and two workers share an executor with its JVM.
+BLOCK_BYTES = 1 << 20
 
 _ONE = np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
