@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import double_arrays, ref, unpivot_strings
-from tabsmith.functions.session import BROADCAST_ROWS, INLINE_CATEGORIES, cut_lineage
+from tabsmith.functions.session import BROADCAST_ROWS, BUCKET_ROWS, INLINE_CATEGORIES, cut_lineage
 from tabsmith.operators.fitted import ColumnEstimator, FittedColumns, TableModel
 from tabsmith.operators.profile import value_counts
 
@@ -90,9 +90,21 @@ class FrequencyEncode(ColumnEstimator):
 
 def _category_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, category, code)`` with codes 0.. in the order of the category texts."""
-    counts = category_counts(df, cols)
-    w = Window.partitionBy("column").orderBy("value")
-    return counts.select("column", F.col("value").alias("category"), (F.row_number().over(w) - 1).alias("code"))
+    values = category_counts(df, cols).select("column", "value")
+    if values.limit(BUCKET_ROWS + 1).count() <= BUCKET_ROWS:
+        w = Window.partitionBy("column").orderBy("value")
+        return values.select("column", F.col("value").alias("category"), (F.row_number().over(w) - 1).alias("code"))
+    # Ranks inside ordered parts, and how many categories of the column stand in the parts before.
+    parts = cut_lineage(values.repartitionByRange("column", "value").withColumn("_part", F.spark_partition_id()))
+    before: dict[str, int] = {}
+    offsets = []
+    for r in sorted(parts.groupBy("_part", "column").count().collect()):  # a row per part, and one more per column
+        offsets.append((r["_part"], r["column"], before.get(r["column"], 0)))
+        before[r["column"]] = before.get(r["column"], 0) + r["count"]
+    table = df.sparkSession.createDataFrame(offsets, "_part int, column string, _before long")
+    w = Window.partitionBy("_part", "column").orderBy("value")
+    ranked = parts.join(F.broadcast(table), ["_part", "column"])
+    return ranked.select("column", F.col("value").alias("category"), (F.row_number().over(w) - 1 + F.col("_before")).alias("code"))
 
 
 class OrdinalEncode(ColumnEstimator):

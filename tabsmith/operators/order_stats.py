@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import double_arrays, search_sorted_array, with_positions
-from tabsmith.functions.session import BROADCAST_ROWS, BUCKET_ROWS
+from tabsmith.functions.session import BROADCAST_ROWS, BUCKET_ROWS, cut_lineage
 
 MAX_BINS = 65_536
 COLUMNS_PER_JOB = 24
@@ -130,7 +130,26 @@ def column_order_statistics(
 def group_order_statistics(
     long: DataFrame, ranks: Mapping[str, Sequence[int]], bounds: Mapping[str, tuple[float, float]]
 ) -> dict[str, dict[int, float]]:
-    """Exact order statistics per group of a long table ``(g string, v double)``."""
+    """Exact order statistics per group of a long table ``(g string, v double)``.
+
+    Groups go together as long as their brackets, one a rank at most, stay a table that may be broadcast.
+    """
+    found: dict[str, dict[int, float]] = defaultdict(dict)
+    part: dict[str, Sequence[int]] = {}
+    size = 0
+    for g, wanted in ranks.items():
+        if size and size + len(wanted) > BROADCAST_ROWS:
+            found.update(_group_order_statistics(long, part, bounds))
+            part, size = {}, 0
+        part[g] = wanted
+        size += len(wanted)
+    found.update(_group_order_statistics(long, part, bounds))
+    return found
+
+
+def _group_order_statistics(
+    long: DataFrame, ranks: Mapping[str, Sequence[int]], bounds: Mapping[str, tuple[float, float]]
+) -> dict[str, dict[int, float]]:
     found: dict[str, dict[int, float]] = defaultdict(dict)
     live = defaultdict(list)
     for g, wanted in ranks.items():
@@ -145,15 +164,13 @@ def group_order_statistics(
     spark = long.sparkSession
     while live:
         total = sum(len(b) for b in live.values())
-        if total > BROADCAST_ROWS:
-            raise ValueError(f"{total} brackets exceed the bound of {BROADCAST_ROWS}; ask for fewer ranks")
         bins = _bins_for(total)
         table = spark.createDataFrame(
             [(g, [float(b.lo) for b in bs], [float(b.hi) for b in bs]) for g, bs in live.items()],
             "g string, lows array<double>, highs array<double>",
         )
         longest = max(len(b) for b in live.values())
-        joined = long.join(F.broadcast(table), "g")  # bounded above by the bracket check
+        joined = long.join(F.broadcast(table), "g")  # the caller bounds the brackets
         if longest == 1:
             i = F.when(F.col("v") >= F.get("lows", F.lit(0)), F.lit(0)).otherwise(F.lit(-1))
         else:
@@ -222,13 +239,12 @@ def running_totals(
 
     levels = [i / buckets for i in range(1, buckets)]
     edges = df.groupBy(*keys).agg(F.percentile_approx(value, levels, 10_000).alias("_edges"))
-    # One row per group; a group is a column name or a class label.
-    if edges.count() * buckets > BROADCAST_ROWS * 10:
-        raise ValueError("too many groups for ranked totals; pre-aggregate to fewer groups")
-    spark = df.sparkSession
-    edges = spark.createDataFrame(edges.collect(), edges.schema)
+    # One row per group; a group is a column name or a class label.  Very many groups are joined instead.
+    edges = cut_lineage(edges)
+    small = edges.count() * buckets <= BROADCAST_ROWS * 10
+    spread = F.broadcast if small else (lambda t: t)
     placed = (
-        df.join(F.broadcast(edges), keys)
+        df.join(spread(edges), keys)
         .withColumn("_bucket", search_sorted_array(F.col(value), F.col("_edges"), buckets, inclusive=False))
         .drop("_edges")
     )
@@ -238,7 +254,7 @@ def running_totals(
         *keys, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in weights]
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(F.broadcast(offsets), [*keys, "_bucket"])
+    joined = placed.join(spread(offsets), [*keys, "_bucket"])
     return joined.select(
         *df.columns, *[(F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in weights]
     )

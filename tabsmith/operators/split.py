@@ -11,11 +11,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import ref, search_sorted_array
-from tabsmith.functions.session import BROADCAST_ROWS
+from tabsmith.functions.session import BROADCAST_ROWS, BUCKET_ROWS, cut_lineage
 from tabsmith.operators.order_stats import group_order_statistics
 
 HASH_RANGE = 1 << 52  # integers of this size are exact as doubles
@@ -26,14 +26,14 @@ def hash_order(key: Sequence[str], seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *[ref(k) for k in key]), F.lit(HASH_RANGE)).cast("double")
 
 
-def _cut_points(df: DataFrame, label: str | None, order: Column, wanted) -> DataFrame:
-    """``(g, cuts array<double>)``: for each class the hash values at ``wanted(n)`` sizes."""
+def _cut_points(df: DataFrame, label: str | None, order: Column, wanted) -> DataFrame | None:
+    """``(g, cuts array<double>)``: for each class the hash values at ``wanted(n)`` sizes; None for very many classes."""
     g = (F.coalesce(ref(label).cast("string"), F.lit("")) if label else F.lit("")).alias("g")
     long = df.select(g, order.cast("double").alias("v"))
     groups = long.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     rows = groups.limit(BROADCAST_ROWS + 1).collect()
     if len(rows) > BROADCAST_ROWS:
-        raise ValueError("too many classes to stratify by")
+        return None
     ranks, bounds = {}, {}
     for r in rows:
         bounds[r["g"]] = (r["lo"], r["hi"])
@@ -45,6 +45,8 @@ def _cut_points(df: DataFrame, label: str | None, order: Column, wanted) -> Data
 
 def _with_part(df: DataFrame, label: str | None, order: Column, wanted, name: str) -> DataFrame:
     cuts = _cut_points(df, label, order, wanted)
+    if cuts is None:
+        return _with_part_of_many(df, label, order, wanted, name)
     longest = max(1, len(wanted(10 ** 6)))
     g = F.coalesce(ref(label).cast("string"), F.lit("")) if label else F.lit("")
     keyed = df.withColumn("_g", g).withColumn("_h", order.cast("double"))
@@ -53,6 +55,30 @@ def _with_part(df: DataFrame, label: str | None, order: Column, wanted, name: st
     return joined.withColumn(name, part).drop("_g", "_h", "g", "cuts")
 
 
+def _with_part_of_many(df: DataFrame, label: str, order: Column, wanted, name: str) -> DataFrame:
+    """The same parts where classes are too many for a broadcast.
+
+    At most one class in ``BUCKET_ROWS`` rows has more rows than that; these few are cut as above.  The others are
+    ranked by hash inside the class, and equal hashes fall to one side together, as they do there.
+    """
+    g = F.coalesce(ref(label).cast("string"), F.lit(""))
+    keyed = df.withColumn("_g", g)
+    sizes = cut_lineage(keyed.groupBy(F.col("_g").alias("g")).agg(F.count("*").alias("_n")))
+    large = sizes.where(F.col("_n") > BUCKET_ROWS).select("g")
+    whole = keyed.join(F.broadcast(large), F.col("_g") == F.col("g"), "left_semi").drop("_g")
+    rest = keyed.join(sizes.where(F.col("_n") <= BUCKET_ROWS), F.col("_g") == F.col("g")).withColumn("_h", order.cast("double"))
+    # The sizes wanted are worked out once for each number of rows that a class has.
+    distinct = [r["_n"] for r in sizes.where(F.col("_n") <= BUCKET_ROWS).select("_n").distinct().collect()]
+    table = df.sparkSession.createDataFrame([(n, [float(m) for m in wanted(n)]) for n in distinct], "_n long, _ends array<double>")
+    by_hash = Window.partitionBy("_g").orderBy("_h")
+    upto = F.count("*").over(by_hash.rangeBetween(Window.unboundedPreceding, -1)).cast("double")
+    part = F.size(F.filter("_ends", lambda e: e <= F.col("_before"))).cast("int")
+    rest = rest.join(F.broadcast(table), "_n").withColumn("_before", upto).withColumn(name, part).select(*df.columns, name)
+    if large.isEmpty():
+        return rest
+    return rest.unionByName(_with_part(whole, label, order, wanted, name).select(*df.columns, name))
+
+
 def assign_split(df: DataFrame, order: Column, label: str | None = None, test_size: float = 0.2,
                  name: str = "is_val") -> DataFrame:
     """Add a boolean: the ceil(test_size * n) rows of each class with the smallest hash."""

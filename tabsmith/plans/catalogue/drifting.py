@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 
 from pyspark.sql import functions as F
 
+from tabsmith.functions.session import shared_folder
 from tabsmith.operators.drift import chi2_statistics, drift_report, drift_summary, ks_statistics, psi_statistics
 from tabsmith.operators.stats import round_doubles
 from tabsmith.plans.catalogue import query, table
@@ -144,7 +144,7 @@ def stream_drift(spark, sf_dir):
     bins = reference_bins(ref, ["value", "event_type"])
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).where(f"ts >= {CUT}")
-    work = tempfile.mkdtemp(prefix="tabsmith-stream-")
+    work = shared_folder(spark, "stream")
     run = monitor(stream, bins, "ts", f"{work}/out", f"{work}/checkpoint", "6 hours").trigger(availableNow=True).start()
     run.awaitTermination()
     return _windows(spark.read.parquet(f"{work}/out").drop("batch"))

@@ -28,8 +28,13 @@ class FixedLinear:
         return df.withColumn("prediction", y)
 
 
+def _keyed(df):
+    """The rows with a key that does not change when a task runs again; no two rows of the table are equal."""
+    return df.withColumn("row", F.xxhash64(*df.columns))
+
+
 def _vectors(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").withColumn("row", F.monotonically_increasing_id())
+    df = _keyed(table(spark, sf_dir, "lineitem"))
     return VectorAssembler(inputCols=list(COEFS), outputCol="features").transform(df).select("row", "features", "l_extendedprice")
 
 
@@ -74,7 +79,7 @@ def _linear_scorer(df):
 @query("sensitivity_grid", " union all ".join(f"""select '{c}' as feature, round(abs({w}) * 4 * s, 4) as mean_impact, round(abs({w}) * 4 * s, 4) as max_impact,
   {1.0 if w > 0 else 0.0}::double as positive_share from (select stddev_samp({c}) as s from lineitem)""" for c, w in COEFS.items()))
 def sensitivity_grid(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").select(*FEATURES).withColumn("row", F.monotonically_increasing_id())
+    df = _keyed(table(spark, sf_dir, "lineitem")).select("row", *FEATURES)
     stats = summarize(df, FEATURES, (0.5,), moments=2)
     rows = explain.sensitivity(df, _linear_scorer, FEATURES, ["row"], stats)
     return round_doubles(explain.sensitivity_summary(rows))
@@ -95,7 +100,7 @@ _MOVES = ", ".join(f"({i}, {j}, '{c}', {m})" for i, c in enumerate(FEATURES) for
   f as (select * from t where p <> base qualify row_number() over (partition by row, fo order by mo) = 1)
   select feature, count(*) as n, round(avg(v), 4) as changed_to, round(sum(v - o), 2) as delta, cast(sum(p::int) as double) as positives from f group by 1""")
 def counterfactual(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").select(*FEATURES).withColumn("row", F.monotonically_increasing_id())
+    df = _keyed(table(spark, sf_dir, "lineitem")).select("row", *FEATURES)
     stats = summarize(df, FEATURES, (0.5,), moments=2)
     rows = explain.counterfactuals(df, _class_scorer, FEATURES, ["row"], stats)
     return rows.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.avg("changed_to"), 4).alias("changed_to"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -130,10 +131,11 @@ def cross_val_scores(family: Family, params: dict, folded: DataFrame, task: Task
         return list(pool.map(one, range(k)))
 
 
-def tune(family: Family, folded: DataFrame, task: Task, trials: int, k: int, seconds: float = 60.0,
+def tune(family: Family, folded: DataFrame, task: Task, trials: int, k: int, seconds: float | None = None,
          seed: int = 42) -> tuple[dict, float | None]:
-    """Best of ``trials`` seeded random draws by mean fold score, within a time limit that is
-    checked between draws.  A draw that fails counts as -999."""
+    """Best of ``trials`` seeded random draws by mean fold score.  All draws are made unless
+    ``seconds`` sets a time limit, checked between draws.  A draw that fails counts as -999 and
+    gives a warning."""
     if family.space is None or trials <= 0:
         return dict(family.defaults), None
     rng = np.random.default_rng(seed)
@@ -142,17 +144,18 @@ def tune(family: Family, folded: DataFrame, task: Task, trials: int, k: int, sec
         params = {**family.defaults, **family.space(rng)}
         try:
             value = float(np.mean(cross_val_scores(family, params, folded, task, k)))
-        except Exception:
+        except Exception as e:
+            warnings.warn(f"{family.name} with {params}: {type(e).__name__}: {str(e)[:300]}", RuntimeWarning, stacklevel=2)
             value = FAILED
         if best_score is None or value > best_score:
             best, best_score = params, value
-        if time.time() - start > seconds:
+        if seconds is not None and time.time() - start > seconds:
             break
     return best, best_score
 
 
 def train_one(family: Family, train: DataFrame, val: DataFrame, task: Task, trials: int, folded: DataFrame | None,
-              k: int, seconds: float, params: dict | None = None) -> Entry:
+              k: int, seconds: float | None = None, params: dict | None = None) -> Entry:
     start = time.time()
     best, cv = (dict(family.defaults), None) if folded is None else tune(family, folded, task, trials, k, seconds)
     best.update(params or {})
@@ -205,12 +208,13 @@ def add_stacking(entries: list[Entry], train: DataFrame, val: DataFrame, task: T
 
 
 def train_all(train: DataFrame, val: DataFrame, task: Task, trials: int = 10, k: int = 5, models: Sequence[str] | None = None,
-              seconds: float = 60.0, ensembles: bool = True, params: dict[str, dict] | None = None) -> list[Entry]:
+              seconds: float | None = None, ensembles: bool = True, params: dict[str, dict] | None = None, fast: bool | None = None) -> list[Entry]:
     """Train every requested family, add ensembles of three or more, best first.
 
-    Up to ten trials count as a quick run, which leaves out the slow families.
+    ``fast`` leaves out the slow families; unless it is given, only where no families are named and
+    no more than ten trials are asked for.  A family that fails gives a warning.
     """
-    families = requested_families(models, task.classification, fast=trials <= 10)
+    families = requested_families(models, task.classification, fast=not models and trials <= 10 if fast is None else fast)
     folded = None
     if trials > 0:
         folded = assign_folds(train, F.col(ORDER), k, "label" if task.classification else None).persist(
@@ -222,6 +226,7 @@ def train_all(train: DataFrame, val: DataFrame, task: Task, trials: int = 10, k:
             entries.append(train_one(family, train, val, task, trials, folded, k, seconds, (params or {}).get(name)))
         except Exception as e:  # one family's failure leaves the others on the board
             failures[name] = f"{type(e).__name__}: {str(e)[:300]}"
+            warnings.warn(f"{name}: {failures[name]}", RuntimeWarning, stacklevel=2)
     if folded is not None:
         folded.unpersist()
     if not entries:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tabsmith.functions.expr import divide, equal_width_bin, numeric_columns, ref, string_columns, unpivot_strings
-from tabsmith.functions.session import BROADCAST_ROWS
+from tabsmith.functions.session import BROADCAST_ROWS, cut_lineage
 from tabsmith.operators.drift import KS_THRESHOLD, PSI_FLOOR, PSI_THRESHOLD
 from tabsmith.operators.stats import clean_values, summarize
 
@@ -29,6 +29,10 @@ class ReferenceBins:
     strings: list[str]
     bins: int
     table: DataFrame  # column, kind, bin, r, n_ref
+    small: bool = True  # counted: the table may be broadcast
+
+    def spread(self, table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if self.small else table
 
 
 def _numeric_bins(df: DataFrame, bounds: dict[str, tuple[float, float]], bins: int, keep: Sequence[str] = ()) -> DataFrame:
@@ -47,7 +51,7 @@ def _string_bins(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -
 
 
 def reference_bins(reference: DataFrame, cols: Sequence[str], bins: int = 10) -> ReferenceBins:
-    """Bins of the reference.  Its categories must number at most ``BROADCAST_ROWS``."""
+    """Bins of the reference.  Beyond ``BROADCAST_ROWS`` categories they stay a table that is joined."""
     spark = reference.sparkSession
     numeric = [c for c in numeric_columns(reference) if c in cols]
     strings = [c for c in string_columns(reference) if c in cols]
@@ -57,12 +61,20 @@ def reference_bins(reference: DataFrame, cols: Sequence[str], bins: int = 10) ->
     for part in ([_numeric_bins(reference, bounds, bins)] if bounds else []) + ([_string_bins(reference, strings)] if strings else []):
         part = part.select("column", "kind", "bin")
         parts = part if parts is None else parts.unionByName(part)
-    rows = parts.groupBy("column", "kind", "bin").agg(F.count("*").alias("r")).limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError("a monitored text column has too many categories; monitor a coarser column")
+    counted = parts.groupBy("column", "kind", "bin").agg(F.count("*").alias("r"))
+    rows = counted.limit(BROADCAST_ROWS + 1).collect()
+    small = len(rows) <= BROADCAST_ROWS
+    if not small:
+        counted = cut_lineage(counted)
+        rows = counted.where("kind = 'numeric'").collect()  # columns times bins
     have = {(r["column"], r["bin"]): r["r"] for r in rows}
     full = [(c, "numeric", str(b), have.get((c, str(b)), 0)) for c in bounds for b in range(bins)]
     full += [(r["column"], r["kind"], r["bin"], r["r"]) for r in rows if r["kind"] == "categorical"]
+    if not small:
+        grid = spark.createDataFrame(full, "column string, kind string, bin string, r long")
+        table = grid.unionByName(counted.where("kind = 'categorical'"))
+        totals = table.groupBy("column").agg(F.sum("r").alias("n_ref"))
+        return ReferenceBins(bounds, strings, bins, cut_lineage(table.join(F.broadcast(totals), "column")), False)
     totals: dict[str, int] = {}
     for c, _, _, n in full:
         totals[c] = totals.get(c, 0) + n
@@ -86,9 +98,9 @@ def window_counts(df: DataFrame, bins: ReferenceBins, ts: str, length: str = "60
     ]
     long = df.select("_ts", F.inline(F.array(*structs))).where("bin is not null")
     if bins.strings:
-        # A static lookup whose size was checked when the bins were built.
+        # A static lookup whose size was counted when the bins were built.
         known = bins.table.where("kind = 'categorical'").select("column", "bin", F.lit(True).alias("_known"))
-        long = long.join(F.broadcast(known), ["column", "bin"], "left").withColumn(
+        long = long.join(bins.spread(known), ["column", "bin"], "left").withColumn(
             "bin", F.when((F.col("kind") == "numeric") | F.col("_known"), F.col("bin")).otherwise(NEW))
     counts = long.groupBy(F.window("_ts", length).alias("w"), "column", "kind", "bin").agg(F.count("*").alias("c"))
     return counts.select(F.col("w.start").alias("window_start"), "column", "kind", "bin", "c")
@@ -98,8 +110,7 @@ def score_windows(counts: DataFrame, bins: ReferenceBins) -> DataFrame:
     """One row per window and column: ks (on the binned distributions), psi, chi2, drifted."""
     totals = counts.groupBy("window_start", "column", "kind").agg(
         F.sum("c").alias("n_cur"), F.sum(F.when(F.col("bin") == NEW, F.col("c")).otherwise(0)).alias("n_new"))
-    # The reference table is bounded when it is built.
-    frame = totals.join(F.broadcast(bins.table.drop("kind")), "column")
+    frame = totals.join(bins.spread(bins.table.drop("kind")), "column")
     cells = frame.join(counts.select("window_start", "column", "bin", "c"), ["window_start", "column", "bin"], "left")
     c, r = F.coalesce("c", F.lit(0)), F.col("r")
     p = F.when(r == 0, F.lit(PSI_FLOOR)).otherwise(divide(r, F.col("n_ref")))
