@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsmith.functions.session import cut_lineage
 from tabsmith.llm import packed
@@ -182,6 +183,11 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Data
     64-bit hashes, and intersections by at least 40 bits a shingle and the bucket, so a chance agreement of
     different words is possible but not to be expected.
     """
+    return _classified(docs, width, percent).drop("key")
+
+
+def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The components with each row's set identity."""
     rows = cut_lineage(shingle_sets(docs, width))
     total = rows.agg(F.sum("n")).first()[0] or 0
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("lowest"))
@@ -191,15 +197,35 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Data
     lowest = rooted.groupBy("root").agg(F.min("lowest").alias("component_id"))
     named = cut_lineage(rooted.select("key", "root").join(lowest, "root").select("key", "component_id"))
     return rows.join(named, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id").alias("component_id"), "key")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` with one row left of each group of similar texts: the one with the smallest doc_id.
+    """The rows of ``docs`` (doc_id, text, ...) with one row left of each group of similar texts: that with the smallest doc_id.
 
-    Of rows with the same doc_id and the same component all stay that are equal in doc_id, as nothing orders them;
-    rows without words and rows with a null doc_id stay.
+    Of several rows with that doc_id in the group the first by text stays.  Rows without words and rows with a null
+    doc_id stay.
     """
-    found = ngram_components(docs, width, percent)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    found = cut_lineage(_classified(docs, width, percent).where("doc_id is not null"))
+    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_id"))
+    if repeated.isEmpty():
+        return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    # Rows that share their doc_id are told apart by their sets.
+    repeated, names = cut_lineage(repeated), docs.columns
+    once = docs.join(gone.union(repeated), docs["doc_id"] == F.col("_id"), "left_anti")
+
+    def keyed(batches):
+        for batch in batches:
+            key = np.zeros(batch.num_rows, np.int64)
+            for at, found, keys in _sets(batch.column("_text"), width):
+                key[at:at + len(found)] = [k if len(h) else 0 for k, h in zip(keys.tolist(), found)]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(key)], [*batch.schema.names[:-1], "_key"])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType())])
+    twice = docs.join(repeated, docs["doc_id"] == F.col("_id"), "left_semi").withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    sets = found.join(repeated, found["doc_id"] == F.col("_id"), "left_semi").select(
+        F.col("doc_id").alias("_id"), F.coalesce("key", F.lit(0)).alias("_set"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group")).distinct()
+    twice = twice.mapInArrow(keyed, schema)
+    twice = twice.join(sets, (twice["doc_id"] == F.col("_id")) & (F.col("_key") == F.col("_set"))).where("_group is null or _group = doc_id")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_group").orderBy("text"))
+    return once.unionByName(twice.withColumn("_first", first).where("_group is null or _first = 1").select(names))

@@ -39,12 +39,14 @@ class Buckets:
 
 
 def cut(keys: DataFrame, rows_each: int) -> Buckets:
-    """Buckets of about equal numbers of rows of the one column of ``keys`` (no nulls), at least the shuffle partitions.
+    """Buckets of about equal numbers of rows of the one column of ``keys`` (no nulls).
 
-    Two values a bucket come to the driver.
+    There are as many as the shuffle partitions, more if that leaves over ``rows_each`` rows in each, fewer if it
+    leaves less than 64.  Two values a bucket come to the driver.
     """
-    name = keys.columns[0]
-    parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // rows_each))
+    name, rows = keys.columns[0], keys.count()
+    parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
+    parts = max(1, min(parts, rows // 64))
     found = (keys.repartitionByRange(parts, name).groupBy(F.spark_partition_id().alias("p"))
              .agg(F.min(name).alias("low"), F.max(name).alias("high")).collect())
     found.sort(key=lambda r: r["low"])
