@@ -101,7 +101,8 @@ class Automaton:
     def __init__(self, trie: dict[str, np.ndarray]):
         order = np.lexsort((trie["symbol"], trie["context"], trie["k"]))
         k, context, symbol, count = (trie[n][order] for n in ("k", "context", "symbol", "count"))
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (context[1:] != context[:-1])) if len(k) else [])
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (context[1:] != context[:-1])
         state = np.cumsum(new).astype(np.int64) - 1
         states = max(1, int(new.sum()))
         # A column for each symbol seen, BOS, and one for all symbols never seen.
@@ -111,7 +112,7 @@ class Automaton:
         self.column[seen] = np.arange(len(seen))
         count_of = np.zeros((states, width), np.float32)
         count_of[state, self.column[symbol]] = count
-        k, context = k[new.astype(bool)], context[new.astype(bool)]
+        k, context = k[new], context[new]
         self.known = [context[k == m] for m in range(ORDER + 1)]
         self.at = np.concatenate(([0], np.cumsum([len(x) for x in self.known]))) if len(k) else np.array([0, 1] + [1] * ORDER)
         self.follow, self.gain = np.zeros((states, width), np.int32), np.zeros((states, width), np.float32)
@@ -212,18 +213,37 @@ def _packed_words(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, packed.SCHEMA)
 
 
-def _bag_sums(table: pa.Table) -> pa.Table:
-    """Per bag, its part of the sum of log10(count + 0.5) and of the known words; a null bag has the bucket's words."""
-    got = packed.Bucket(table)
-    order, edge = got.groups()
-    times = got.times.astype(np.int64)
-    training = np.add.reduceat((got.weights[got.owner] * times)[order], edge[:-1]) if len(order) else np.zeros(0, np.int64)
-    count = np.empty(len(order), np.int64)
-    count[order] = np.repeat(training, np.diff(edge))
-    logs = np.bincount(got.owner, times * np.log10(count + 0.5), len(got.bags))
-    known = np.bincount(got.owner, times * (count > 0), len(got.bags)).astype(np.int64)
-    return pa.table([pa.array([*got.bags.tolist(), None], pa.int64()), pa.array([*logs, 0.0]), pa.array([*known, int((training > 0).sum())], pa.int64()),
-                     pa.array([*[0] * len(known), int(training.sum())], pa.int64())], ["bag", "logs", "known", "words"])
+def _bag_sums(parts: int):
+    """Per bag of a bucket, its part of the sum of log10(count + 0.5) and of the known words, packed by part of the
+    bags; with the first part go the bucket's training words and distinct training words."""
+    def run(table: pa.Table) -> pa.Table:
+        got = packed.Bucket(table)
+        order, edge = got.groups()
+        times = got.times.astype(np.int64)
+        training = np.add.reduceat((got.weights[got.owner] * times)[order], edge[:-1]) if len(order) else np.zeros(0, np.int64)
+        count = np.empty(len(order), np.int64)
+        count[order] = np.repeat(training, np.diff(edge))
+        logs = np.bincount(got.owner, times * np.log10(count + 0.5), len(got.bags))
+        known = np.bincount(got.owner, times * (count > 0), len(got.bags)).astype(np.int64)
+        part = got.bags % parts
+        by_part = np.argsort(part, kind="stable")
+        there, at = np.unique(part[by_part], return_index=True)
+        cut = lambda x: pa.array([y.tobytes() for y in np.split(x[by_part], at[1:])], pa.binary())
+        first = np.arange(len(there)) == 0
+        return pa.table([pa.array(there.astype(np.int32)), cut(got.bags), cut(logs), cut(known), pa.array(first * int(training.sum())),
+                         pa.array(first * int((training > 0).sum()))], ["part", "bags", "logs", "known", "words", "kinds"])
+    return run
+
+
+def _bag_totals(table: pa.Table) -> pa.Table:
+    """The sums of each bag of a part; the row of the null bag has the training words that came with the part."""
+    read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    bags, back = np.unique(read("bags", np.int64), return_inverse=True)
+    logs = np.bincount(back, read("logs", np.float64), len(bags))
+    known = np.bincount(back, read("known", np.int64), len(bags)).astype(np.int64)
+    words, kinds = (sum(table.column(n).to_pylist()) for n in ("words", "kinds"))
+    return pa.table([pa.array([*bags.tolist(), None], pa.int64()), pa.array([*logs, 0.0]), pa.array([*known, kinds], pa.int64()),
+                     pa.array([*[0] * len(bags), words], pa.int64())], ["bag", "logs", "known", "words"])
 
 
 def score(docs: DataFrame, training: Column, contexts: int = CONTEXTS) -> DataFrame:
@@ -260,10 +280,11 @@ def score(docs: DataFrame, training: Column, contexts: int = CONTEXTS) -> DataFr
     sums = rows.agg(F.sum("n_tokens").alias("all"), F.sum(F.col("train").cast("long")).alias("ends")).first()
     ends = sums["ends"] or 0
     buckets = packed.bucket_count(spark, sums["all"] or 0)
-    parts = _packed_words(docs.select("text", "train"), buckets).groupBy("bucket").applyInArrow(_bag_sums, "bag long, logs double, known long, words long")
-    bags = cut_lineage(parts.groupBy("bag").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"), F.sum("words").alias("words")))
-    whole = bags.where("bag is null").first()
-    words, distinct = (whole["words"], whole["known"]) if whole else (0, 0)
+    sums = _packed_words(docs.select("text", "train"), buckets).groupBy("bucket").applyInArrow(
+        _bag_sums(buckets), "part int, bags binary, logs binary, known binary, words long, kinds long")
+    bags = cut_lineage(sums.groupBy("part").applyInArrow(_bag_totals, "bag long, logs double, known long, words long"))
+    whole = bags.where("bag is null").agg(F.sum("words").alias("words"), F.sum("known").alias("known")).first()
+    words, distinct = whole["words"] or 0, whole["known"] or 0
     total, kinds = words + ends, distinct + (1 if ends else 0)
     base = float(np.log10(total + 0.5 * (kinds + 1)))
     got = rows.join(bags.where("bag is not null").select("bag", "logs", "known"), "bag", "left")
