@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tabsmith.llm import text as tx
 
 FEATURES = ("words", "word_bytes", "upper", "digits", "stops", "symbols", "bare_words", "distinct_words", "top_word",
-            "repeated_lines", "line_words", "other_bytes", "shouted_words")
+            "repeated_lines", "line_words", "other_bytes", "shouted_words", "echoed_words")
 
 _KIND = np.zeros(256, np.uint8)  # 1 a-z, 2 A-Z, 3 digit, 4 stop or mark of prose, 5 symbol, 6 white space, 7 above ASCII
 _KIND[33:127] = 5
@@ -54,6 +54,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             h = np.sort(hashes[a:b])
             edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
             distinct[i], top[i] = len(edge) - 1, np.diff(edge).max()
+    echo = np.zeros(len(hashes), bool)
+    echo[1:] = hashes[1:] == hashes[:-1]
+    echo[first[:-1][first[:-1] < len(hashes)]] = False
     line_starts, line_ends, first_line = tx.spans(data, offsets, _NOT_LINE_END)
     lines = tx.span_hashes(data, line_starts, line_ends)
     repeated = np.zeros(texts)
@@ -65,7 +68,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.log1p(words), np.log1p(long / some), _logit(count(kind == 2) / inked), _logit(count(kind == 3) / inked),
         _logit(count(kind == 4) / inked), _logit(count(kind == 5) / inked), _logit(count(in_word == 0, first) / some),
         _logit(distinct / some), _logit(top / some), _logit(repeated), np.log1p(words / np.maximum(np.diff(first_line), 1)),
-        _logit(count(kind == 7) / inked), _logit(count((upper_in_word == in_word) & (in_word > 1), first) / some)])
+        _logit(count(kind == 7) / inked), _logit(count((upper_in_word == in_word) & (in_word > 1), first) / some),
+        _logit(count(echo, first) / some)])
 
 
 def _batch_features(column: pa.Array) -> np.ndarray:
@@ -89,7 +93,7 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, shrink_to_pooled: float = 0.3, shrink_to_identity: float = 0.1) -> Discriminant:
+def fit(docs: DataFrame, labels: DataFrame, training: Column, shrink_to_pooled: float = 0.7, shrink_to_identity: float = 0.1) -> Discriminant:
     """The discriminant from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0 or 1).
 
     Rows count where ``training`` holds, a condition over the columns of ``docs``; null counts as false.  A doc_id
