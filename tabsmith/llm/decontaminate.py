@@ -152,8 +152,7 @@ class Automaton:
             if spans:
                 t = int(text[a])
                 base = int(at[a] - first[t])
-                out[t][0].extend((x + base, y + base) for x, y in spans)
-                out[t][1].update(items)
+                out[t] = merge(out[t][0] + [(x + base, y + base) for x, y in spans]), out[t][1] | items
         return out
 
 
