@@ -68,15 +68,16 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _blocks(docs: DataFrame, schema: str, emit) -> DataFrame:
     """``emit`` of each block of texts: a run of rows with about ``ASSEMBLY_BYTES``."""
     def run(batches):
+        got, size = [], 0
         for batch in batches:
-            got = []
-            for part in tx.blocks(batch.column("text")):
-                got.append(part)
-                if sum(len(x[2]) for x in got) >= ASSEMBLY_BYTES:
-                    yield emit(_Block(batch.column("doc_id"), got))
-                    got = []
-            if got:
-                yield emit(_Block(batch.column("doc_id"), got))
+            for at, end, data, offsets in tx.blocks(batch.column("text")):
+                got.append((batch.column("doc_id").slice(at, end - at), data, offsets))
+                size += len(data)
+                if size >= ASSEMBLY_BYTES:
+                    yield emit(_Block(got))
+                    got, size = [], 0
+        if got:
+            yield emit(_Block(got))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, schema)
 
@@ -84,9 +85,9 @@ def _blocks(docs: DataFrame, schema: str, emit) -> DataFrame:
 class _Block:
     """A block's words: ``where`` has the place of each among the ``distinct`` hashes, ``first`` where one stands."""
 
-    def __init__(self, doc_id: pa.Array, got: list):
+    def __init__(self, got: list[tuple[pa.Array, np.ndarray, np.ndarray]]):
         hashes, starts, ends, counts, base = [], [], [], [], 0
-        for _, _, data, offsets in got:
+        for _, data, offsets in got:
             at = word_starts(data, offsets)
             end = np.append(at[1:], len(data)) if len(at) else at
             hashes.append(tx.span_hashes(data, at, end))
@@ -94,12 +95,12 @@ class _Block:
             ends.append(end + base)
             counts.append(np.diff(np.searchsorted(at, offsets)))
             base += len(data)
-        self.data = np.concatenate([x[2] for x in got])
+        self.data = np.concatenate([x[1] for x in got])
         self.starts, self.ends = np.concatenate(starts), np.concatenate(ends)
         self.distinct, self.first, self.where, self.times = np.unique(
             np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
         self.counts = np.concatenate(counts).astype(np.uint32)
-        self.doc_id = doc_id.slice(got[0][0], got[-1][1] - got[0][0])
+        self.doc_id = pa.concat_arrays([x[0] for x in got])
         # Known by its content, so that a second run over the same rows finds the same blocks.
         ids = b",".join(str(x).encode() for x in self.doc_id.to_pylist())
         name = hashlib.blake2b(ids, digest_size=8)

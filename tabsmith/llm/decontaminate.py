@@ -199,15 +199,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: st
     """
     new = [f.name for f in T._parse_datatype_string(FOUND).fields]
     names = [n for n in docs.columns if n not in new] if keep == "*" else keep.split(",")
-    rows = docs.select(*(F.col(f"`{n}`") for n in names), F.col("text").cast("string").alias("_text"),
+    text = "text" if "text" in names and dict(docs.dtypes)["text"] == "string" else "_text"
+    rows = docs.select(*(F.col(f"`{n}`") for n in names), *([F.col("text").cast("string").alias(text)] if text == "_text" else []),
                        *(F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(FOUND).fields))
     for items in _shards(benchmark):
         mark = f"{window} {len(items)} {hash(tuple(items))}"
-        rows = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast((mark, items, window))), rows.schema)
+        rows = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast((mark, items, window)), text), rows.schema)
     return rows.drop("_text")
 
 
-def _finder(broadcast):
+def _finder(broadcast, text: str):
     def run(batches):
         automaton = _automaton(broadcast)
         for batch in batches:
@@ -215,7 +216,7 @@ def _finder(broadcast):
                 continue
             before = list(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()))
             words, found = [], []
-            for at, _, data, offsets in tx.blocks(batch.column("_text")):
+            for at, _, data, offsets in tx.blocks(batch.column(text)):
                 hashes, first, _, _ = words_of(data, offsets)
                 words.append(np.diff(first))
                 for (spans, items), (old, known) in zip(automaton.find(hashes, first), before[at:]):
@@ -248,9 +249,11 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_w
     new window, that is cut as well.  A number column ``n_chars``, if there
     is one, follows a text that was cut.
     """
-    names, fields = docs.columns, [f.name for f in T._parse_datatype_string(FOUND).fields]
-    if set(names) & {*fields, "_text"}:
-        raise ValueError(f"columns {sorted(set(names) & {*fields, '_text'})} are needed for the work")
+    given = docs.columns
+    # Own names while at work, so that no column of the rows is in the way.
+    names = [n if n == "text" else f"_c{i}" for i, n in enumerate(given)]
+    chars = names[given.index("n_chars")] if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
+    docs = docs.toDF(*names)
     longest = F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"] - s["start"])), F.lit(0))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     found = find_leaks(docs, benchmark, window).where((longest <= most_words) & (covered <= most_share * F.col("n_words")))
@@ -280,9 +283,9 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_w
                 texts = batch.column("text").to_pylist()
                 texts = [cut(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(texts, spans)]
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                if "n_chars" in names:
-                    n = batch.schema.get_field_index("n_chars")
-                    chars = [len(t) if s else old for t, s, old in zip(texts, spans, batch.column(n).to_pylist())]
-                    batch = batch.set_column(n, batch.schema.field(n), pa.array(chars, batch.schema.field(n).type))
+                if chars:
+                    n = batch.schema.get_field_index(chars)
+                    sizes = [len(t) if s else old for t, s, old in zip(texts, spans, batch.column(n).to_pylist())]
+                    batch = batch.set_column(n, batch.schema.field(n), pa.array(sizes, batch.schema.field(n).type))
             yield batch.select(names)
-    return found.select(*names, "spans").mapInArrow(run, docs.schema)
+    return found.select(*names, "spans").mapInArrow(run, docs.schema).toDF(*given)

@@ -111,7 +111,8 @@ def predict(docs: DataFrame, model: Filters, keep: str = "*", share: float | Non
     rows of ``und`` are left out.
     """
     names = [n for n in docs.columns if n not in ("lang_pred", "score")] if keep == "*" else keep.split(",")
-    rows = docs.select(*(F.col(f"`{n}`") for n in names), F.col("text").cast("string").alias("_text"),
+    text = "text" if "text" in names and dict(docs.dtypes)["text"] == "string" else "_text"
+    rows = docs.select(*(F.col(f"`{n}`") for n in names), *([F.col("text").cast("string").alias(text)] if text == "_text" else []),
                        F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.select(*(F.col(f"`{n}`") for n in names)).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
@@ -124,7 +125,7 @@ def predict(docs: DataFrame, model: Filters, keep: str = "*", share: float | Non
             if not batch.num_rows:
                 continue
             winner, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for at, end, data, offsets in tx.blocks(batch.column("_text")):
+            for at, end, data, offsets in tx.blocks(batch.column(text)):
                 gram, first = _grams(data, offsets)
                 n = np.diff(first)
                 slots = _slots(gram, model.table.shape[1])

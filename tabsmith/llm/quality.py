@@ -159,12 +159,13 @@ def score(docs: DataFrame, model: Discriminant, keep: str = "*", least: float |
     Columns of ``docs`` with these names are replaced.  ``keep`` names the columns to keep, separated by commas; with ``least`` rows that score below it are left out.
     """
     names = [n for n in docs.columns if n not in ("score", "predicted")] if keep == "*" else keep.split(",")
-    rows = docs.select(*(F.col(f"`{n}`") for n in names), F.col("text").cast("string").alias("_text"))
+    text = "text" if "text" in names and dict(docs.dtypes)["text"] == "string" else "_text"
+    rows = docs.select(*(F.col(f"`{n}`") for n in names), *([F.col("text").cast("string").alias(text)] if text == "_text" else []))
     schema = docs.select(*(F.col(f"`{n}`") for n in names)).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
     def run(batches):
         for batch in batches:
-            got = model.score(_batch_features(batch.column("_text")))
+            got = model.score(_batch_features(batch.column(text)))
             out = pa.record_batch([*(batch.column(i) for i in range(len(names))), pa.array(got), pa.array((got >= 0.5).astype(np.int32))],
                                   [*names, "score", "predicted"])
             yield out if least is None else out.filter(pa.array(got >= least))

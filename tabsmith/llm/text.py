@@ -24,6 +24,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def small_batches(spark) -> None:
+    """Arrow batches of fewer rows, since rows are whole texts and a batch is held several times over.
+
+    Only Spark's default is changed; a session's own setting stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 # Word characters by UTF-8 byte: all but space and \t..\r; and digits, a-z and every byte above ASCII.

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages_keep_the_columns_of_documents(spark, docs):
-    small = docs.select("doc_id", "text", "lang").where("doc_id < 12 or doc_id is null")
+    small = docs.where("doc_id < 12 or doc_id is null").drop("quality")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, small, SF).columns == small.columns
 
