@@ -79,7 +79,7 @@ def _blocks(docs: DataFrame, schema: str, emit) -> DataFrame:
         if got:
             yield emit(_Block(got))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tx.tidy_batches(run), schema)
 
 
 class _Block:
@@ -232,11 +232,11 @@ def encode(docs: DataFrame, path: str, pattern: str, back: bool = False) -> Data
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = "block long, bucket int, counts binary, ids binary"
     parts = _blocks(docs, "bucket int, block long, words binary, lengths binary", _words(buckets)).groupBy("bucket").applyInArrow(
-        _encode_bucket(path, pattern), part)
+        tx.tidy_table(_encode_bucket(path, pattern)), part)
     parts = parts.withColumns({"doc_id": F.lit(None).cast("array<long>"), "places": F.lit(None).cast("binary")})
     whole = _blocks(docs, f"{part}, doc_id array<long>, places binary", _positions)
     return whole.unionAll(parts).groupBy("block").applyInArrow(
-        _assemble(path if back else None), "doc_id long, ids array<int>" + ", decoded binary" * back)
+        tx.tidy_table(_assemble(path if back else None)), "doc_id long, ids array<int>" + ", decoded binary" * back)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -252,4 +252,4 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
             ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             got = _decoded(ids.flatten().to_numpy(zero_copy_only=False), ends, path)
             yield pa.record_batch([*batch.columns, got], [*batch.schema.names, "decoded"])
-    return tokens.mapInArrow(run, kind)
+    return tokens.mapInArrow(tx.tidy_batches(run), kind)

@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             out = [fingerprint_of((t or "").encode()) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "fingerprint"])
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, docs.select("doc_id", F.lit("").alias("fingerprint")).schema)
+        tx.tidy_batches(run), docs.select("doc_id", F.lit("").alias("fingerprint")).schema)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -91,7 +91,7 @@ def with_next(docs: DataFrame, rows_each: int = 8192) -> DataFrame:
     above = F.pmod(F.col("bucket") + 1, F.lit(len(buckets)))
     places = F.array(F.struct("bucket", F.lit(False).alias("tail")), F.struct(above.alias("bucket"), F.lit(True).alias("tail")))
     rows = rows.withColumn("to", F.explode(F.when(F.col("key") == buckets.highest(F.col("bucket")), places).otherwise(F.slice(places, 1, 1))))
-    return rows.select("to.bucket", "to.tail", "doc_id", "key", "text").groupBy("bucket").applyInArrow(_neighbours, schema)
+    return rows.select("to.bucket", "to.tail", "doc_id", "key", "text").groupBy("bucket").applyInArrow(tx.tidy_table(_neighbours), schema)
 
 
 def _neighbours(table: pa.Table) -> pa.Table:

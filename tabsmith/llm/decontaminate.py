@@ -200,12 +200,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: st
     new = [f.name for f in T._parse_datatype_string(FOUND).fields]
     names = [n for n in docs.columns if n not in new] if keep == "*" else keep.split(",")
     text = "text" if "text" in names and dict(docs.dtypes)["text"] == "string" else "_text"
-    rows = docs.select(*(F.col(f"`{n}`") for n in names), *([F.col("text").cast("string").alias(text)] if text == "_text" else []),
-                       *(F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(FOUND).fields))
-    for items in _shards(benchmark):
-        mark = f"{window} {len(items)} {hash(tuple(items))}"
-        rows = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast((mark, items, window)), text), rows.schema)
-    return rows.drop("_text")
+    broadcasts = [docs.sparkSession.sparkContext.broadcast((f"{window} {len(x)} {hash(tuple(x))}", x, window)) for x in _shards(benchmark)]
+    return _with_found(docs, broadcasts, names, text).drop("_text")
+
+
+def _with_found(docs: DataFrame, broadcasts: list, names: list[str], text: str) -> DataFrame:
+    """The rows with the columns of what is found, after a pass for each shard of the items."""
+    own = [F.col("text").cast("string").alias(text)] if text == "_text" else []
+    rows = docs.select(*(F.col(f"`{n}`") for n in names), *own, *(F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(FOUND).fields))
+    for broadcast in broadcasts:
+        rows = rows.mapInArrow(tx.tidy_batches(_finder(broadcast, text)), rows.schema)
+    return rows
 
 
 def _finder(broadcast, text: str):
@@ -254,9 +259,6 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_w
     names = [n if n == "text" else f"_c{i}" for i, n in enumerate(given)]
     chars = names[given.index("n_chars")] if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
     docs = docs.toDF(*names)
-    longest = F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"] - s["start"])), F.lit(0))
-    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    found = find_leaks(docs, benchmark, window).where((longest <= most_words) & (covered <= most_share * F.col("n_words")))
     shards = _shards(benchmark)
     broadcasts = [docs.sparkSession.sparkContext.broadcast((f"{window} {len(x)} {hash(tuple(x))}", x, window)) for x in shards]
 
@@ -276,16 +278,19 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_w
         return text
 
     def run(batches):
-        for batch in batches:
-            spans = batch.column("spans").to_pylist()
+        for batch in _finder(broadcasts[-1], "text")(batches):
+            spans = [[(x["start"], x["end"]) for x in s] for s in batch.column("spans").to_pylist()]
+            words = batch.column("n_words").to_pylist()
+            keep = [max((b - a for a, b in s), default=0) <= most_words and sum(b - a for a, b in s) <= most_share * n for s, n in zip(spans, words)]
             at = batch.schema.get_field_index("text")
             if any(spans):
-                texts = batch.column("text").to_pylist()
-                texts = [cut(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(texts, spans)]
+                old = batch.column("text").to_pylist()
+                texts = [cut(t, s) if s and k else t for t, s, k in zip(old, spans, keep)]
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
                 if chars:
                     n = batch.schema.get_field_index(chars)
-                    sizes = [len(t) if s else old for t, s, old in zip(texts, spans, batch.column(n).to_pylist())]
+                    sizes = [len(t) if s else before for t, s, before in zip(texts, spans, batch.column(n).to_pylist())]
                     batch = batch.set_column(n, batch.schema.field(n), pa.array(sizes, batch.schema.field(n).type))
-            yield batch.select(names)
-    return found.select(*names, "spans").mapInArrow(run, docs.schema).toDF(*given)
+            yield batch.select(names).filter(pa.array(keep))
+    found = _with_found(docs, broadcasts[:-1], names, "text")
+    return found.mapInArrow(tx.tidy_batches(run), docs.schema).toDF(*given)

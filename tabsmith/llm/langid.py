@@ -89,7 +89,7 @@ def train(docs: DataFrame, training: Column) -> Filters:
                     kept, counts, size = [key], [n], len(key)
         if size:
             yield batch_of(*merged())
-    counted = known.mapInArrow(run, "lang int, gram long, count long").groupBy("lang", "gram").agg(F.sum("count").alias("count"))
+    counted = known.mapInArrow(tx.tidy_batches(run), "lang int, gram long, count long").groupBy("lang", "gram").agg(F.sum("count").alias("count"))
     total = counted.groupBy("lang").agg(F.sum("count").alias("total"))
     kept = counted.join(F.broadcast(total), "lang").where((F.col("count") > 1) & (F.col("count") >= SHARE * F.col("total"))).select("lang", "gram").toArrow()
     lang, gram = kept.column("lang").to_numpy(), kept.column("gram").to_numpy()
@@ -148,4 +148,4 @@ def predict(docs: DataFrame, model: Filters, keep: str = "*", share: float | Non
             said = pa.array([languages[j] if ok else "und" for j, ok in zip(winner.tolist(), letters.tolist())], pa.string())
             out = pa.record_batch([*(batch.column(i) for i in range(len(names))), said, pa.array(score)], [*names, "lang_pred", "score"])
             yield out if share is None else out.filter(pa.array(letters & (score >= share)))
-    return rows.mapInArrow(run, plain)
+    return rows.mapInArrow(tx.tidy_batches(run), plain)

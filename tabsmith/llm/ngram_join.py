@@ -48,7 +48,7 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
                 key[at:at + len(found)] = keys
             yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(key, mask=n == 0)], ["doc_id", "n", "key"])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n long, key long")
+    return docs.mapInArrow(tx.tidy_batches(run), "doc_id long, n long, key long")
 
 
 def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -59,7 +59,7 @@ def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 sets = {key: h for key, h in zip(keys.tolist(), found) if len(h)}
                 if sets:
                     yield packed.pack(sets, [len(h) for h in sets.values()], list(sets.values()), None, buckets)
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, packed.SCHEMA)
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tx.tidy_batches(run), packed.SCHEMA)
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -87,7 +87,7 @@ def candidate_sets(docs: DataFrame, width: int, percent: int, total: int) -> Dat
     ``weight`` their mean count, by which typical sets are known.
     """
     buckets = packed.bucket_count(docs.sparkSession, total)
-    parts = _packed(docs, width, buckets).groupBy("bucket").applyInArrow(_shared, "key long, n long, df array<long>, token array<long>")
+    parts = _packed(docs, width, buckets).groupBy("bucket").applyInArrow(tx.tidy_table(_shared), "key long, n long, df array<long>, token array<long>")
     sets = parts.groupBy("key").agg(F.first("n").alias("n"), F.sum(F.size("token")).alias("m"),
                                     F.collect_list(F.arrays_zip("df", "token")).alias("lists"))
     # Shingles that only this set has come first in the order, so they take up places of the prefix.
@@ -225,7 +225,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     twice = docs.join(repeated, docs["doc_id"] == F.col("_id"), "left_semi").withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     sets = found.join(repeated, found["doc_id"] == F.col("_id"), "left_semi").select(
         F.col("doc_id").alias("_id"), F.coalesce("key", F.lit(0)).alias("_set"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group")).distinct()
-    twice = twice.mapInArrow(keyed, schema)
+    twice = twice.mapInArrow(tx.tidy_batches(keyed), schema)
     twice = twice.join(sets, (twice["doc_id"] == F.col("_id")) & (F.col("_key") == F.col("_set"))).where("_group is null or _group = doc_id")
     first = F.row_number().over(Window.partitionBy("doc_id", "_group").orderBy("text"))
     return once.unionByName(twice.withColumn("_first", first).where("_group is null or _first = 1").select(names))

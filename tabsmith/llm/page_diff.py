@@ -163,7 +163,7 @@ def main_text(pages: DataFrame, rows_each: int = 8192) -> DataFrame:
     buckets = ordered.cut(rows.select("key"), rows_each)
     if not len(buckets):
         return pages.sparkSession.createDataFrame([], schema)
-    cut = rows.mapInArrow(_parse, pages.select("page_id", "url").schema.simpleString()[7:-1].replace(":", " ") + ", host string, path string, key string, text binary, size int, states binary, outside binary")
+    cut = rows.mapInArrow(tx.tidy_batches(_parse), pages.select("page_id", "url").schema.simpleString()[7:-1].replace(":", " ") + ", host string, path string, key string, text binary, size int, states binary, outside binary")
     cut = cut.withColumn("bucket", buckets.number(F.col("key")))
     # The ends of a bucket go to the buckets beside it too.
     here, last = F.col("bucket"), len(buckets) - 1
@@ -172,7 +172,7 @@ def main_text(pages: DataFrame, rows_each: int = 8192) -> DataFrame:
         F.when((F.col("key") == buckets.lowest(here)) & (here > 0), F.struct((here - 1).alias("bucket"), F.lit(False).alias("own"))),
         F.when((F.col("key") == buckets.highest(here)) & (here < last), F.struct((here + 1).alias("bucket"), F.lit(False).alias("own")))))
     cut = cut.withColumn("to", F.explode(to)).drop("bucket").select("to.bucket", "to.own", *[c for c in cut.columns if c != "bucket"])
-    return cut.groupBy("bucket").applyInArrow(_difference, schema)
+    return cut.groupBy("bucket").applyInArrow(tx.tidy_table(_difference), schema)
 
 
 def _parse(batches):

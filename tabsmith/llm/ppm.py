@@ -67,7 +67,7 @@ def _grams(docs: DataFrame) -> DataFrame:
             gram, n = merged()
             for at in range(0, len(gram), 200_000):
                 yield pa.record_batch([pa.array(gram[at:at + 200_000]), pa.array(n[at:at + 200_000])], ["gram", "count"])
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tx.tidy_batches(run), "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
 
 
 def train(docs: DataFrame, contexts: int = CONTEXTS) -> dict[str, np.ndarray]:
@@ -210,7 +210,7 @@ def _packed_words(docs: DataFrame, buckets: int) -> DataFrame:
                 if bags:
                     weights, words, times = zip(*bags.values())
                     yield packed.pack(bags, weights, list(words), list(times), buckets)
-    return docs.mapInArrow(run, packed.SCHEMA)
+    return docs.mapInArrow(tx.tidy_batches(run), packed.SCHEMA)
 
 
 def _bag_sums(parts: int):
@@ -276,13 +276,13 @@ def score(docs: DataFrame, training: Column, contexts: int = CONTEXTS) -> DataFr
                 n = np.concatenate(tokens)
                 yield pa.record_batch([batch.column("doc_id"), batch.column("train"), pa.array(n + 1), pa.array(np.concatenate(bags), mask=n == 0),
                                        pa.array(np.concatenate(scores))], ["doc_id", "train", "n_tokens", "bag", "score"])
-    rows = cut_lineage(docs.mapInArrow(run, "doc_id long, train boolean, n_tokens long, bag long, score double"))
+    rows = cut_lineage(docs.mapInArrow(tx.tidy_batches(run), "doc_id long, train boolean, n_tokens long, bag long, score double"))
     sums = rows.agg(F.sum("n_tokens").alias("all"), F.sum(F.col("train").cast("long")).alias("ends")).first()
     ends = sums["ends"] or 0
     buckets = packed.bucket_count(spark, sums["all"] or 0)
     sums = _packed_words(docs.select("text", "train"), buckets).groupBy("bucket").applyInArrow(
-        _bag_sums(buckets), "part int, bags binary, logs binary, known binary, words long, kinds long")
-    bags = cut_lineage(sums.groupBy("part").applyInArrow(_bag_totals, "bag long, logs double, known long, words long"))
+        tx.tidy_table(_bag_sums(buckets)), "part int, bags binary, logs binary, known binary, words long, kinds long")
+    bags = cut_lineage(sums.groupBy("part").applyInArrow(tx.tidy_table(_bag_totals), "bag long, logs double, known long, words long"))
     whole = bags.where("bag is null").agg(F.sum("words").alias("words"), F.sum("known").alias("known")).first()
     words, distinct = whole["words"] or 0, whole["known"] or 0
     total, kinds = words + ends, distinct + (1 if ends else 0)

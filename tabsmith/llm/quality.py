@@ -120,8 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, shrink_to_pooled:
         yield pa.record_batch([pa.array(place), pa.array(total.ravel())], ["place", "value"])
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min("quality").cast("int").alias("quality"))
-    got = (rows.mapInArrow(stats, "doc_id long, x array<double>").join(known, "doc_id").select("x", "quality")
-           .mapInArrow(moments, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect())
+    got = (rows.mapInArrow(tx.tidy_batches(stats), "doc_id long, x array<double>").join(known, "doc_id").select("x", "quality")
+           .mapInArrow(tx.tidy_batches(moments), "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect())
     total = np.zeros(2 * size * size)
     for r in got:
         total[r["place"]] = r["value"]
@@ -169,4 +169,4 @@ def score(docs: DataFrame, model: Discriminant, keep: str = "*", least: float |
             out = pa.record_batch([*(batch.column(i) for i in range(len(names))), pa.array(got), pa.array((got >= 0.5).astype(np.int32))],
                                   [*names, "score", "predicted"])
             yield out if least is None else out.filter(pa.array(got >= least))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tx.tidy_batches(run), schema)
