@@ -62,22 +62,49 @@ def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tx.tidy_batches(run), packed.SCHEMA)
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """A bucket's shingles that stand in several sets, per set, with the number of these sets."""
-    got = packed.Bucket(table, add=False)
-    order, edge = got.groups()
-    df = np.empty(len(order), np.int64)
-    df[order] = np.repeat(np.diff(edge), np.diff(edge))
-    keep = df > 1
-    by_set = np.argsort(got.owner[keep], kind="stable")
-    there, per = np.unique(got.owner[keep], return_counts=True)
-    token = (got.value[keep].view(np.uint64) | np.uint64(got.number & 0xFFFF) << np.uint64(packed.BITS)).view(np.int64)[by_set]
-    return pa.table([pa.array(got.bags[there]), pa.array(got.weights[there]), tx.ragged(df[keep][by_set], per), tx.ragged(token, per)],
-                    ["key", "n", "df", "token"])
-
-
-def _need(n, percent: int):
-    return F.ceil(n * percent / F.lit(100.0)).cast("long")
+_FIELDS = ("bags", "sizes", "counts", "df", "token")
+
+
+def _shared(parts: int):
+    """A bucket's shingles that stand in several sets, per set, with the number of these sets; packed by part of the sets."""
+    def run(table: pa.Table) -> pa.Table:
+        got = packed.Bucket(table, add=False)
+        order, edge = got.groups()
+        df = np.empty(len(order), np.int64)
+        df[order] = np.repeat(np.diff(edge), np.diff(edge))
+        keep = df > 1
+        owner, df, value = got.owner[keep], df[keep], got.value[keep]
+        token = (value.view(np.uint64) | np.uint64(got.number & 0xFFFF) << np.uint64(packed.BITS)).view(np.int64)
+        part = (got.bags % parts)[owner]
+        by_part = np.lexsort((owner, part))
+        owner, part, df, token = owner[by_part], part[by_part], df[by_part], token[by_part]
+        sets, first, counts = np.unique(owner, return_index=True, return_counts=True)
+        sets, counts = sets[np.argsort(first)], counts[np.argsort(first)]
+        there, at = np.unique(part, return_index=True)
+        set_at = np.searchsorted(part[np.sort(first)], there)
+        cut = lambda x, where: pa.array([y.astype(np.int64).tobytes() for y in np.split(x, where[1:])] if len(there) else [], pa.binary())
+        return pa.table([pa.array(there.astype(np.int32)), cut(got.bags[sets], set_at), cut(got.weights[sets], set_at), cut(counts, set_at),
+                         cut(df, at), cut(token, at)], ["part", *_FIELDS])
+    return run
+
+
+def _candidates(percent: int):
+    """The sets of a part that share enough shingles to have links, with these in order of count and value."""
+    def run(table: pa.Table) -> pa.Table:
+        bags, sizes, counts, df, token = (np.frombuffer(b"".join(table.column(n).to_pylist()), np.int64) for n in _FIELDS)
+        keys, first, back = np.unique(bags, return_index=True, return_inverse=True)
+        n, owner = sizes[first], np.repeat(back, counts)
+        shared = np.bincount(owner, minlength=len(keys))
+        # Shingles that only this set has come first in the order, so they take up places of the prefix.
+        prefix = shared - -(-n * percent // 100) + 1
+        keep = prefix > 0
+        chosen = keep[owner]
+        owner, df, token = owner[chosen], df[chosen], token[chosen]
+        order = np.lexsort((token, df, owner))
+        weight = np.bincount(owner, df, len(keys))[keep] / n[keep]
+        return pa.table([pa.array(keys[keep]), pa.array(n[keep]), tx.ragged(token[order], shared[keep]), pa.array(prefix[keep].astype(np.int32)),
+                         pa.array(weight)], ["key", "n", "tokens", "prefix", "weight"])
+    return run
 
 
 def candidate_sets(docs: DataFrame, width: int, percent: int, total: int) -> DataFrame:
@@ -87,14 +114,10 @@ def candidate_sets(docs: DataFrame, width: int, percent: int, total: int) -> Dat
     ``weight`` their mean count, by which typical sets are known.
     """
     buckets = packed.bucket_count(docs.sparkSession, total)
-    parts = _packed(docs, width, buckets).groupBy("bucket").applyInArrow(tx.tidy_table(_shared), "key long, n long, df array<long>, token array<long>")
-    sets = parts.groupBy("key").agg(F.first("n").alias("n"), F.sum(F.size("token")).alias("m"),
-                                    F.collect_list(F.arrays_zip("df", "token")).alias("lists"))
-    # Shingles that only this set has come first in the order, so they take up places of the prefix.
-    sets = sets.withColumn("prefix", F.col("m") - _need(F.col("n"), percent) + 1).where("prefix > 0")
-    ordered = F.sort_array(F.flatten("lists"))
-    return sets.select("key", "n", F.transform(ordered, lambda x: x["token"]).alias("tokens"), F.col("prefix").cast("int").alias("prefix"),
-                       (F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x["df"]) / F.col("n")).alias("weight"))
+    shared = _packed(docs, width, buckets).groupBy("bucket").applyInArrow(
+        tx.tidy_table(_shared(buckets)), "part int, " + ", ".join(f"{n} binary" for n in _FIELDS))
+    return shared.groupBy("part").applyInArrow(
+        tx.tidy_table(_candidates(percent)), "key long, n long, tokens array<long>, prefix int, weight double")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
