@@ -1,11 +1,13 @@
-"""Scores of texts by prediction by partial matching (method D) over a byte-context trie, with symbol exclusion.
+"""Scores of texts by prediction by partial matching (method D) over byte contexts, with symbol exclusion.
 
-Every training byte is counted in its contexts of 0 to ``ORDER`` preceding bytes.  The trie keeps the ``contexts``
-contexts that save most code length over their suffixes: a fixed model size, like a vocabulary's, so it may travel to
-every task however much was counted.  A context counts as much as the best one that contains it, so the trie holds all
-parts of its contexts, and the longest known context of the next byte is the state of an automaton.  For each state and
-symbol the code length (escape estimates and exclusions included) is worked out once; scoring then only follows the
-automaton.
+Every training byte is counted in its contexts of 0 to ``ORDER`` preceding bytes, and every counted context is kept, as
+a Spark table.  The code length of a byte depends on its run of ORDER + 1 symbols alone (its gram), so it is worked out
+once for each distinct gram, in buckets of the last two context symbols: these hold all longer contexts of their grams,
+and the contexts of at most one symbol are bounded by the alphabet and go everywhere.  Each block of texts asks the
+buckets of a hash for the code lengths of its distinct grams, packed, and sums the answers per text.  Words (for the
+base score) are counted, asked and answered in the same rows, as keys above all grams.
+
+``Automaton`` gives the same scores from a trie in memory, state by state.
 
 Symbols: 0-255 bytes, END of text, BOS before it (context only).
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,10 @@ END, BOS = 256, 257
 WIDTH = 258
 BITS = 9
 CHUNK = 512
-CONTEXTS = 65536
+# Keys from here on are words, by 62 bits of their hash.
+WORD = 1 << 62
+# Bytes of text whose distinct grams are sent together, and bytes of text for each bucket of grams.
+BLOCK, BUCKET_BYTES = 8 << 20, 64 << 20
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,64 +45,253 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, begin
 
 
-def _grams(docs: DataFrame) -> DataFrame:
-    """(gram, count): runs of ORDER + 1 symbols that end with a predicted one, packed into a long."""
+def _low(symbols: int) -> int:
+    """The bits of so many last symbols of a gram."""
+    return (1 << BITS * symbols) - 1
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of texts with a number each: doc_id and train of their rows, sizes and bytes of their texts."""
     def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at, end, data, offsets in tx.blocks(batch.column("text"), BLOCK):
+                one = [0, end - at]
+                ids, train = (pa.ListArray.from_arrays(pa.array(one, pa.int32()), batch.column(n).slice(at, end - at)) for n in ("doc_id", "train"))
+                yield pa.record_batch(
+                    [pa.array([number]), ids, train, pa.array([np.diff(offsets).tobytes()], pa.binary()), pa.array([len(data)]),
+                     pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary())], ["block", "ids", "train", "sizes", "size", "data"])
+                number += 1
+    return cut_lineage(docs.mapInArrow(tx.tidy_batches(run), "block long, ids array<long>, train array<boolean>, sizes binary, size long, data binary"))
+
+
+def _opened(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts of the one block in ``batch``, and the gram of each byte and end."""
+    size = batch.column("size")[0].as_py()
+    data = np.frombuffer(pa.decompress(batch.column("data")[0].as_py(), decompressed_size=size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+    offsets = np.concatenate(([0], np.cumsum(np.frombuffer(batch.column("sizes")[0].as_py(), np.int64))))
+    s, _ = symbols(data, offsets)
+    gram = np.zeros(len(s) - ORDER, np.int64)
+    for j in range(ORDER + 1):
+        gram |= s[ORDER - j:len(s) - j] << BITS * j
+    return data, offsets, gram[s[ORDER:] != BOS]
+
+
+def _each_block(run):
+    """``run`` for mapInArrow over single blocks."""
+    return tx.tidy_batches(lambda batches: run(batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each word, and the index of each text's first word."""
+    data = tx.LOWER[data]
+    starts, ends, first = tx.spans(data, offsets, tx.SPACED)
+    return (tx.span_hashes(data, starts, ends) >> np.uint64(2)).astype(np.int64) | WORD, first
+
+
+def _counts(blocks: DataFrame) -> DataFrame:
+    """(key, count): all distinct grams and words, and how often they stand in training texts (0 if only in others)."""
+    def run(each):
         kept, counts, size = [], [], 0
 
         def merged():
-            gram, back = np.unique(np.concatenate(kept), return_inverse=True)
-            return gram, np.bincount(back, np.concatenate(counts)).astype(np.int64)
-        for batch in batches:
-            for _, _, data, offsets in tx.blocks(batch.column("text")):
-                s, _ = symbols(data, offsets)
-                gram = np.zeros(len(s) - ORDER, np.int64)
-                for j in range(ORDER + 1):
-                    gram |= s[ORDER - j:len(s) - j] << BITS * j
-                gram, n = np.unique(gram[s[ORDER:] != BOS], return_counts=True)
-                kept.append(gram)
-                counts.append(n)
-                size += len(gram)
-                if size > 1_500_000:
-                    (gram, n) = merged()
-                    if len(gram) > 1_000_000:
-                        yield pa.record_batch([pa.array(gram), pa.array(n)], ["gram", "count"])
-                        gram, n = gram[:0], n[:0]
-                    kept, counts, size = [gram], [n], len(gram)
+            key, back = np.unique(np.concatenate(kept), return_inverse=True)
+            return key, np.bincount(back, np.concatenate(counts)).astype(np.int64)
+
+        def rows(key, n):
+            for at in range(0, len(key), 200_000):
+                yield pa.record_batch([pa.array(key[at:at + 200_000]), pa.array(n[at:at + 200_000])], ["key", "count"])
+        for block in each:
+            data, offsets, gram = _opened(block)
+            train = block.column("train").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            word, first = _words(data, offsets)
+            for key, each_text, mark in ((gram, np.diff(offsets) + 1, 0), (word, np.diff(first), WORD)):
+                # The lowest bit says whether the text trains.
+                key, n = np.unique((key ^ mark) << 1 | np.repeat(train, each_text), return_counts=True)
+                kept.append(key >> 1 | mark)
+                counts.append(n * (key & 1))
+                size += len(key)
+            if size > 1_500_000:
+                key, n = merged()
+                if len(key) > 1_000_000:
+                    yield from rows(key, n)
+                    key, n = key[:0], n[:0]
+                kept, counts, size = [key], [n], len(key)
         if size:
-            gram, n = merged()
-            for at in range(0, len(gram), 200_000):
-                yield pa.record_batch([pa.array(gram[at:at + 200_000]), pa.array(n[at:at + 200_000])], ["gram", "count"])
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tx.tidy_batches(run), "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
+            yield from rows(*merged())
+    return blocks.select("train", "sizes", "size", "data").mapInArrow(_each_block(run), "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+
+
+class _Level:
+    """The counted contexts of one order: entries (context and symbol) with their counts, and by context the total, the
+    distinct symbols, and what both leave of the suffix (``below``)."""
+
+    def __init__(self, order: int, entries: np.ndarray, counts: np.ndarray, below: _Level | None):
+        self.order, self.entries, self.counts = order, entries, counts
+        of = entries >> BITS
+        at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+        self.contexts = of[at]
+        self.total = np.add.reduceat(counts, at) if len(at) else at
+        self.kinds = np.diff(np.append(at, len(of)))
+        if below is not None and len(at):
+            suffix, _ = below.context(self.contexts << BITS)
+            self.left = below.total[suffix] - np.add.reduceat(below.count(entries), at)
+            self.new = below.kinds[suffix] - self.kinds
+        else:
+            self.left = self.new = np.zeros(len(at), np.int64)
+
+    @staticmethod
+    def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(sorted_):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+        return at, sorted_[at] == wanted
+
+    def context(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the contexts of grams are, and whether they are there."""
+        return self._find(self.contexts, gram >> BITS & _low(self.order))
 
+    def count(self, gram: np.ndarray) -> np.ndarray:
+        at, there = self._find(self.entries, gram & _low(self.order + 1))
+        return np.where(there, self.counts[at], 0) if len(self.counts) else np.zeros(len(gram), np.int64)
 
-def train(docs: DataFrame, contexts: int = CONTEXTS) -> dict[str, np.ndarray]:
-    """The trie over all texts of ``docs`` (text; a null text is empty): order, context, symbol and count of its entries.
 
-    ``contexts`` bounds the model, at most 257 entries each; ties go to shorter, then smaller contexts.
+def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their counts, those above zero."""
+    key, back = np.unique(key[count > 0], return_inverse=True)
+    return key, np.bincount(back, count[count > 0], len(key)).astype(np.int64)
+
+
+def code_lengths(gram: np.ndarray, count: np.ndarray, short: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 probability of the last symbol of each gram.
+
+    ``gram`` holds all distinct grams that end with the same two context symbols as one of them, ``count`` their
+    training counts; ``short`` all counted pairs of a symbol and the one before, with their counts.
     """
-    def key(k):
-        mask = (1 << BITS * k) - 1
-        return F.struct(F.lit(k).alias("k"), F.shiftright("gram", BITS).bitwiseAND(F.lit(mask)).alias("context"),
-                        F.col("gram").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("symbol"))
-    every = _grams(docs).select(F.explode(F.array(*map(key, range(ORDER + 1)))).alias("e"), "count").groupBy("e").agg(F.sum("count").alias("count"))
-    every = cut_lineage(every.select("e.k", "e.context", "e.symbol", "count"))
-    # What a context saves: its counts times the log ratio of its own and its suffix's estimates.
-    totals = every.groupBy("k", "context").agg(F.sum("count").alias("total"), F.count("*").alias("kinds"))
-    own = cut_lineage(every.join(totals, ["k", "context"]).select("k", "context", "symbol", "count", (F.col("count") / (F.col("total") + F.col("kinds"))).alias("p")))
-    suffix = own.select((F.col("k") + 1).alias("k"), F.col("context").alias("suffix"), "symbol", F.col("p").alias("q"))
-    saved = (own.where("k > 0").withColumn("suffix", F.expr(f"context & (shiftleft(1L, {BITS} * (k - 1)) - 1)")).join(suffix, ["k", "suffix", "symbol"])
-             .groupBy("k", "context").agg(F.sum(F.col("count") * F.log2(F.col("p") / F.col("q"))).alias("saved")))
-    parts = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(o).alias("o")) for n in range(ORDER + 1) for o in range(ORDER + 1 - n)))
-    top = (saved.withColumn("part", F.explode(F.filter(parts, lambda x: x["n"] + x["o"] <= F.col("k"))))
-           .select(F.col("part.n").alias("k"), F.expr(f"shiftright(context, {BITS} * part.o) & (shiftleft(1L, {BITS} * part.n) - 1)").alias("context"), "saved")
-           .groupBy("k", "context").agg(F.max("saved").alias("saved")).orderBy(F.desc("saved"), "k", "context").limit(contexts).select("k", "context"))
-    got = every.join(F.broadcast(top), ["k", "context"]).select("k", "context", "symbol", "count").toArrow()
-    return {n: got.column(n).to_numpy() for n in ("k", "context", "symbol", "count")}
+    levels = [_Level(0, *_summed(short[0] & _low(1), short[1]), None)]
+    levels.append(_Level(1, *_summed(*short), levels[0]))
+    for k in range(2, ORDER + 1):
+        levels.append(_Level(k, *_summed(gram & _low(k + 1), count), levels[k - 1]))
+    out, live, begun = np.zeros(len(gram)), np.arange(len(gram)), np.zeros(len(gram), bool)
+    left, new = np.zeros(len(gram)), np.zeros(len(gram))
+    for level in reversed(levels):
+        wanted = gram[live]
+        at, there = level.context(wanted)
+        if len(level.contexts):
+            first = there & ~begun[live]
+            left[live[first]], new[live[first]] = level.total[at[first]], level.kinds[at[first]]
+            begun[live[first]] = True
+            n = level.count(wanted)
+            total, kinds = np.maximum(left[live], 0.5), new[live]
+            seen = there & (n > 0)
+            escape = np.where(kinds > 0, kinds / 2, total) / total
+            out[live] += np.where(there, np.log10(np.where(seen, np.maximum(n - 0.5, 0.5) / total, escape)), 0)
+            left[live[there]], new[live[there]] = level.left[at[there]], level.new[at[there]]
+            live = live[~seen]
+    distinct = int(levels[0].kinds.sum())
+    out[live] -= np.log10(max(1, END + 1 - distinct))
+    return out
+
+
+def _by_bucket(gram: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of ascending grams by their bucket, the buckets met, and where each begins in that order (and the end)."""
+    bucket = packed.bucket_of(tx.mix(gram.astype(np.uint64)), buckets)
+    order = np.argsort(bucket, kind="stable")
+    there, at = np.unique(bucket[order], return_index=True)
+    return order, there, np.append(at, len(gram))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of their width, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def _numbers(planes: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(planes, decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, n).T).reshape(-1).view(kind)
+
+
+def _scored(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, train, n_tokens, known, logs, score) of each row of ``docs`` (doc_id, text, train), and the distinct
+    training words.  Tokens are the words and one end; known are the words seen in training; logs is their sum of
+    log10(count + 0.5)."""
+    spark = docs.sparkSession
+    blocks = _blocks(docs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(min(parts, 256), -(-(blocks.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
+    counts = cut_lineage(_counts(blocks))
+    is_gram = F.col("key") < WORD
+    sizes = counts.agg(F.count("*").alias("keys"), F.count_if(~is_gram & (F.col("count") > 0)).alias("words")).first()
+    # At most one row for each pair of symbols.
+    pairs = counts.where(is_gram & (F.col("count") > 0)).groupBy(F.expr(f"key & {_low(2)}").alias("pair")).agg(F.sum("count").alias("count")).toArrow()
+    short = spark.sparkContext.broadcast((pairs.column("pair").to_numpy(), pairs.column("count").to_numpy()))
+
+    def values(table):
+        key, count = table.column("key").to_numpy(), table.column("count").to_numpy()
+        by = np.argsort(key)
+        key, count = key[by], count[by]
+        grams = np.searchsorted(key, WORD)
+        # The bits of a gram's code length, the count of a word.
+        found = count.copy()
+        found[:grams] = code_lengths(key[:grams], count[:grams], short.value).astype(np.float32).view(np.uint32)
+        order, there, at = _by_bucket(key, buckets)
+        cut = lambda x: pa.array([_planes(x[order[i:j]]) for i, j in zip(at[:-1], at[1:])], pa.binary())
+        return pa.table([pa.array(there), pa.array(np.diff(at)), cut(key), cut(found)], ["bucket", "n", "keys", "found"])
+    parts = max(parts, -(-sizes["keys"] // packed.BUCKET_HASHES))
+    part = F.pmod(F.xxhash64(F.when(is_gram, F.expr(f"shiftright(key, {BITS}) & {_low(2)}")).otherwise(F.col("key"))), F.lit(parts))
+    known = counts.groupBy(part.alias("part")).applyInArrow(tx.tidy_table(values), "bucket int, n long, keys binary, found binary")
+
+    def keys_of(data, offsets, gram):
+        gram, gram_back = np.unique(gram, return_inverse=True)
+        word, first = _words(data, offsets)
+        word, word_back = np.unique(word, return_inverse=True)
+        return np.concatenate((gram, word)), gram_back, len(gram) + word_back, first
+
+    def ask(each):
+        for block in each:
+            data, offsets, gram = _opened(block)
+            key = np.concatenate((np.unique(gram), np.unique(_words(data, offsets)[0])))
+            order, there, at = _by_bucket(key, buckets)
+            yield pa.record_batch(
+                [pa.array(np.repeat(block.column("block").to_numpy(), len(there))), pa.array(there), pa.array(np.diff(at)),
+                 pa.array([_planes(np.diff(key[order[i:j]], prepend=0)) for i, j in zip(at[:-1], at[1:])], pa.binary())], ["block", "bucket", "n", "keys"])
+    asked = blocks.select("block", "sizes", "size", "data").mapInArrow(_each_block(ask), "block long, bucket int, n long, keys binary")
+
+    def answer(wanted, got):
+        if not wanted.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.binary())], ["block", "bucket", "n", "found"])
+        sizes = got.column("n").to_pylist()
+        key, found = (np.concatenate([_numbers(x.as_py(), n, np.int64) for x, n in zip(got.column(name), sizes)]) for name in ("keys", "found"))
+        by = np.argsort(key)
+        key, found = key[by], found[by]
+        out = [_planes(found[np.searchsorted(key, np.cumsum(_numbers(x.as_py(), n.as_py(), np.int64)))]) for x, n in zip(wanted.column("keys"), wanted.column("n"))]
+        return pa.table([wanted.column("block"), wanted.column("bucket"), wanted.column("n"), pa.array(out, pa.binary())], ["block", "bucket", "n", "found"])
+    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(tx.tidy_tables(answer), "block long, bucket int, n long, found binary")
+
+    def total(block, got):
+        data, offsets, gram = _opened(block)
+        key, gram, word, first = keys_of(data, offsets, gram)
+        got = got.sort_by("bucket")
+        found = np.empty(len(key), np.int64)
+        found[_by_bucket(key, buckets)[0]] = np.concatenate([_numbers(x.as_py(), n.as_py(), np.int64) for x, n in zip(got.column("found"), got.column("n"))])
+        words, texts = np.diff(first), len(offsets) - 1
+        score = np.bincount(np.repeat(np.arange(texts), np.diff(offsets) + 1), found.astype(np.uint32).view(np.float32)[gram], texts)
+        of, count = np.repeat(np.arange(texts), words), found[word]
+        ids, train = (block.column(x).combine_chunks().flatten() for x in ("ids", "train"))
+        return pa.table([ids, train, pa.array(words + 1), pa.array(np.bincount(of, count > 0, texts).astype(np.int64)),
+                         pa.array(np.bincount(of, np.log10(count + 0.5), texts).astype(np.float64)), pa.array(score)],
+                        ["doc_id", "train", "n_tokens", "known", "logs", "score"])
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        tx.tidy_tables(total), "doc_id long, train boolean, n_tokens long, known long, logs double, score double"), sizes["words"] or 0
 
 
 class Automaton:
-    """States are the trie's contexts by order and value; ``follow`` and ``gain`` give the next state and log10 probability."""
+    """A trie (order, context, symbol and count of its entries) compiled to states, for texts in one process.
+
+    States are the trie's contexts by order and value; ``follow`` and ``gain`` give the next state and log10
+    probability.
+    """
 
     def __init__(self, trie: dict[str, np.ndarray]):
         order = np.lexsort((trie["symbol"], trie["context"], trie["k"]))
@@ -173,122 +368,22 @@ class Automaton:
         return np.bincount(owner, back, len(sizes))
 
 
-_built: dict[int, Automaton] = {}
-
-
-def _automaton(broadcast) -> Automaton:
-    """The automaton of a broadcast trie, built once per worker."""
-    trie = broadcast.value
-    mark = int(trie["mark"])
-    if mark not in _built:
-        _built.clear()
-        _built[mark] = Automaton(trie)
-    return _built[mark]
-
-
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, the index of each text's first word, and the identity of each text's bag of words."""
-    data = tx.LOWER[data]
-    starts, ends, first = tx.spans(data, offsets, tx.SPACED)
-    hashes = tx.span_hashes(data, starts, ends)
-    return hashes, first, tx.bag_keys(hashes, first)
-
-
-def _packed_words(docs: DataFrame, buckets: int) -> DataFrame:
-    """Distinct bags of words of each block, weighted by the training rows that have them, cut by bucket of the word."""
-    def run(batches):
-        for batch in batches:
-            trains = batch.column("train").to_numpy(zero_copy_only=False)
-            for at, end, data, offsets in tx.blocks(batch.column("text")):
-                hashes, first, keys = _words(data, offsets)
-                bags: dict[int, list] = {}
-                for key, a, b, training in zip(keys.tolist(), first[:-1].tolist(), first[1:].tolist(), trains[at:end].tolist()):
-                    if b > a:
-                        if key not in bags:
-                            bags[key] = [0, *np.unique(hashes[a:b], return_counts=True)]
-                        bags[key][0] += training
-                if bags:
-                    weights, words, times = zip(*bags.values())
-                    yield packed.pack(bags, weights, list(words), list(times), buckets)
-    return docs.mapInArrow(tx.tidy_batches(run), packed.SCHEMA)
-
-
-def _bag_sums(parts: int):
-    """Per bag of a bucket, its part of the sum of log10(count + 0.5) and of the known words, packed by part of the
-    bags; with the first part go the bucket's training words and distinct training words."""
-    def run(table: pa.Table) -> pa.Table:
-        got = packed.Bucket(table)
-        order, edge = got.groups()
-        times = got.times.astype(np.int64)
-        training = np.add.reduceat((got.weights[got.owner] * times)[order], edge[:-1]) if len(order) else np.zeros(0, np.int64)
-        count = np.empty(len(order), np.int64)
-        count[order] = np.repeat(training, np.diff(edge))
-        logs = np.bincount(got.owner, times * np.log10(count + 0.5), len(got.bags))
-        known = np.bincount(got.owner, times * (count > 0), len(got.bags)).astype(np.int64)
-        part = got.bags % parts
-        by_part = np.argsort(part, kind="stable")
-        there, at = np.unique(part[by_part], return_index=True)
-        cut = lambda x: pa.array([y.tobytes() for y in np.split(x[by_part], at[1:])], pa.binary())
-        first = np.arange(len(there)) == 0
-        return pa.table([pa.array(there.astype(np.int32)), cut(got.bags), cut(logs), cut(known), pa.array(first * int(training.sum())),
-                         pa.array(first * int((training > 0).sum()))], ["part", "bags", "logs", "known", "words", "kinds"])
-    return run
-
-
-def _bag_totals(table: pa.Table) -> pa.Table:
-    """The sums of each bag of a part; the row of the null bag has the training words that came with the part."""
-    read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    bags, back = np.unique(read("bags", np.int64), return_inverse=True)
-    logs = np.bincount(back, read("logs", np.float64), len(bags))
-    known = np.bincount(back, read("known", np.int64), len(bags)).astype(np.int64)
-    words, kinds = (sum(table.column(n).to_pylist()) for n in ("words", "kinds"))
-    return pa.table([pa.array([*bags.tolist(), None], pa.int64()), pa.array([*logs, 0.0]), pa.array([*known, kinds], pa.int64()),
-                     pa.array([*[0] * len(bags), words], pa.int64())], ["bag", "logs", "known", "words"])
-
-
-def score(docs: DataFrame, training: Column, contexts: int = CONTEXTS) -> DataFrame:
+def score(docs: DataFrame, training: Column) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs`` (doc_id, text).
 
     ``training`` is a condition over the columns of ``docs``; null counts as true.  ``score`` is the log10
     probability of the bytes of the text and its end.  Tokens are the words and one end; ``base_score`` is their
     log10 probability by additive smoothing (0.5) over the training tokens.  A null text is empty: it has the end
     alone.  Repeated rows are scored each, and trained on each; with no training rows bytes are uniform.  Words are
-    told apart by 48 bits of hash and their bucket.
+    told apart by 62 bits of hash.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(training, F.lit(True)).alias("train"))
-    trie = train(docs.where("train"), contexts)
-    mark = np.array([len(trie["k"]), *(trie[n].sum() for n in ("k", "context", "symbol", "count"))], np.int64).view(np.uint64)
-    trie["mark"] = tx.mix(mark * np.arange(1, 6, dtype=np.uint64)).sum(dtype=np.uint64)
-    model = spark.sparkContext.broadcast(trie)
-
-    def run(batches):
-        automaton = _automaton(model)
-        for batch in batches:
-            scores, tokens, bags = [], [], []
-            for _, _, data, offsets in tx.blocks(batch.column("text")):
-                scores.append(automaton.score(data, offsets))
-                _, first, keys = _words(data, offsets)
-                tokens.append(np.diff(first))
-                bags.append(keys)
-            if scores:
-                n = np.concatenate(tokens)
-                yield pa.record_batch([batch.column("doc_id"), batch.column("train"), pa.array(n + 1), pa.array(np.concatenate(bags), mask=n == 0),
-                                       pa.array(np.concatenate(scores))], ["doc_id", "train", "n_tokens", "bag", "score"])
-    rows = cut_lineage(docs.mapInArrow(tx.tidy_batches(run), "doc_id long, train boolean, n_tokens long, bag long, score double"))
-    sums = rows.agg(F.sum("n_tokens").alias("all"), F.sum(F.col("train").cast("long")).alias("ends")).first()
-    ends = sums["ends"] or 0
-    buckets = packed.bucket_count(spark, sums["all"] or 0)
-    sums = _packed_words(docs.select("text", "train"), buckets).groupBy("bucket").applyInArrow(
-        tx.tidy_table(_bag_sums(buckets)), "part int, bags binary, logs binary, known binary, words long, kinds long")
-    bags = cut_lineage(sums.groupBy("part").applyInArrow(tx.tidy_table(_bag_totals), "bag long, logs double, known long, words long"))
-    whole = bags.where("bag is null").agg(F.sum("words").alias("words"), F.sum("known").alias("known")).first()
-    words, distinct = whole["words"] or 0, whole["known"] or 0
-    total, kinds = words + ends, distinct + (1 if ends else 0)
-    base = float(np.log10(total + 0.5 * (kinds + 1)))
-    got = rows.join(bags.where("bag is not null").select("bag", "logs", "known"), "bag", "left")
-    return got.select(
-        "doc_id", "train", "n_tokens", (F.coalesce("known", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.coalesce("logs", F.lit(0.0)) + float(np.log10(ends + 0.5)) - F.col("n_tokens") * base).alias("base_score"), "score")
+    rows, distinct = _scored(docs)
+    rows = cut_lineage(rows)
+    sums = rows.where("train").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("ends")).first()
+    total, ends = sums["tokens"] or 0, sums["ends"]
+    base = float(np.log10(total + 0.5 * (distinct + (1 if ends else 0) + 1)))
+    return rows.select(
+        "doc_id", "train", "n_tokens", (F.col("known") + (1 if ends else 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("logs") + float(np.log10(ends + 0.5)) - F.col("n_tokens") * base).alias("base_score"), "score")

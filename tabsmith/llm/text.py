@@ -63,6 +63,16 @@ def tidy_table(run):
     return tidied
 
 
+def tidy_tables(run):
+    """The same for a function of the two tables of a group."""
+    def tidied(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            _release()
+    return tidied
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 # Word characters by UTF-8 byte: all but space and \t..\r; and digits, a-z and every byte above ASCII.

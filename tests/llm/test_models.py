@@ -170,3 +170,17 @@ def test_discriminant_by_hand():
 def test_other_columns_are_kept(docs):
     out = quality.score(docs, quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"), F.lit(True)))
     assert set(out.columns) == set(docs.columns) and out.count() == docs.count()
+
+
+def test_every_counted_context_scores(spark):
+    """More contexts than any model of fixed size had: scores are still those of the walk over all counts."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)) for _ in range(200)]
+    counts = trie_of(texts)
+    assert len({c for c, _ in counts}) > 65536
+    new = [texts[0], texts[199][:50] + "?" + texts[7][50:90], "zz Zz", "", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(new)]
+    got = {r.doc_id: r.score for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows[::40] + rows[-5:]:
+        assert got[i] == pytest.approx(naive_log10(t, counts), rel=1e-5), t
