@@ -1,6 +1,6 @@
 """Main text of pages by nearest-URL page differencing.
 
-A page is cut into blocks of text.  Within its host it is paired with the page whose path is nearest; their lines
+A page is cut into blocks of text.  Within its host it is paired with the page whose address is nearest; their lines
 outside the article are aligned by longest common subsequence, and what both have is template and goes.  The markup
 says two things besides: lines inside an article stay, even if a copy of the article stands beside it, and
 containers that are never content (menus, footers, adverts, forms, comments, scripts) go, even if they differ.
@@ -150,29 +150,32 @@ def _nearness(a: str, b: str) -> int:
 def main_text(pages: DataFrame, rows_each: int = 8192) -> DataFrame:
     """(page_id, url, text) per row of ``pages`` (page_id, url, html): blocks joined by line feeds, "" if none is left.
 
-    A page's partner is the row before or behind it in order of host, path and id, with the same host and another
-    path, whose path is nearer (the one before on ties), looked for among the rows of its bucket and one beyond
-    either end; a page without partner loses only what the markup says.  Null html is empty; a null url has an empty
-    host.  Repeated rows are never each other's partners.
+    An address is the path with the query behind it.  A page's partner is the address before or behind its own among
+    the distinct addresses of its host in order of path and query, the nearer one (the one before on ties); the page
+    with the lowest id stands for an address (of several, that with the lowest line hashes).  A page without partner
+    loses only what the markup says.  Null html is empty; a null url has an empty host.  Rows of one address are never
+    each other's partners.
     """
     host, path = url_reputation.host_of(F.col("url")), url_reputation.path_of(F.col("url"))
-    number = F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0")
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"), path.alias("path"),
-                        F.concat(host, F.lit("\u0001"), path, F.lit("\u0001"), number).alias("key"))
+    query = F.regexp_extract(url_reputation.rest_of(F.col("url")), r"^[^?#]*(\?[^#]*)", 1)
+    rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"), F.concat(path, query).alias("address"),
+                        F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0").alias("number"), F.concat_ws("\u0001", host, path, query).alias("key"))
     schema = pages.select("page_id", "url", F.lit("").alias("text")).schema
-    buckets = ordered.cut(rows.select("key"), rows_each)
+    buckets = ordered.cut(rows.select("key").distinct(), rows_each)
     if not len(buckets):
         return pages.sparkSession.createDataFrame([], schema)
-    cut = rows.mapInArrow(tx.tidy_batches(_parse), pages.select("page_id", "url").schema.simpleString()[7:-1].replace(":", " ") + ", host string, path string, key string, text binary, size int, states binary, outside binary")
-    cut = cut.withColumn("bucket", buckets.number(F.col("key")))
-    # The ends of a bucket go to the buckets beside it too.
+    cut = rows.mapInArrow(tx.tidy_batches(_parse), pages.select("page_id", "url").schema.simpleString()[7:-1].replace(":", " ") + ", host string, address string, number string, key string, text binary, size int, states binary, outside binary")
+    each = cut.groupBy("key", "host", "address").agg(F.min(F.struct("number", "outside"))["outside"].alias("outside")).withColumn("bucket", buckets.number(F.col("key")))
+    # The ends of a bucket go to the buckets beside it too; keys are distinct, so no partner stands further off.
     here, last = F.col("bucket"), len(buckets) - 1
     to = F.array_compact(F.array(
         F.struct(here.alias("bucket"), F.lit(True).alias("own")),
         F.when((F.col("key") == buckets.lowest(here)) & (here > 0), F.struct((here - 1).alias("bucket"), F.lit(False).alias("own"))),
         F.when((F.col("key") == buckets.highest(here)) & (here < last), F.struct((here + 1).alias("bucket"), F.lit(False).alias("own")))))
-    cut = cut.withColumn("to", F.explode(to)).drop("bucket").select("to.bucket", "to.own", *[c for c in cut.columns if c != "bucket"])
-    return cut.groupBy("bucket").applyInArrow(tx.tidy_table(_difference), schema)
+    each = each.withColumn("to", F.explode(to)).select("to.bucket", "to.own", "key", "host", "address", "outside")
+    partners = each.groupBy("bucket").applyInArrow(tx.tidy_table(_partners), "key string, partner binary")
+    both = cut.join(partners, "key", "left").select("page_id", "url", "text", "size", "states", "outside", "partner")
+    return both.mapInArrow(tx.tidy_batches(_difference), schema)
 
 
 def _parse(batches):
@@ -188,41 +191,36 @@ def _parse(batches):
             ends = np.cumsum([len(t) for t in other], dtype=np.int64)
             outside.append(tx.span_hashes(np.frombuffer(b"".join(other), np.uint8), np.concatenate(([0], ends[:-1])), ends).tobytes() if other else b"")
         yield pa.record_batch(
-            [*(batch.column(n) for n in ("page_id", "url", "host", "path", "key")), pa.array(texts, pa.binary()), pa.array(sizes, pa.int32()),
+            [*(batch.column(n) for n in ("page_id", "url", "host", "address", "number", "key")), pa.array(texts, pa.binary()), pa.array(sizes, pa.int32()),
              pa.array(states, pa.binary()), pa.array(outside, pa.binary())],
-            ["page_id", "url", "host", "path", "key", "text", "size", "states", "outside"])
-
-
-def _difference(table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["key"])
-    before: list = [None] * len(rows)
-    behind: list = [None] * len(rows)
-    for i in range(1, len(rows)):
-        a, b = rows[i - 1], rows[i]
-        if a["host"] == b["host"]:
-            before[i] = before[i - 1] if a["path"] == b["path"] else i - 1
-    for i in range(len(rows) - 2, -1, -1):
-        a, b = rows[i], rows[i + 1]
-        if a["host"] == b["host"]:
-            behind[i] = behind[i + 1] if a["path"] == b["path"] else i + 1
+            ["page_id", "url", "host", "address", "number", "key", "text", "size", "states", "outside"])
+
+
+def _partners(table: pa.Table) -> pa.Table:
+    """For each address of a bucket, the line hashes of the page that stands for the nearer one beside it."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["key"].encode())
     out = []
     for i, row in enumerate(rows):
-        if not row["own"]:
-            continue
-        near = [j for j in (before[i], behind[i]) if j is not None]
-        shared: set = set()
-        if near:
-            partner = max(near, key=lambda j: (_nearness(row["path"], rows[j]["path"]), j < i))
-            shared = set(common(np.frombuffer(row["outside"], np.int64).tolist(), np.frombuffer(rows[partner]["outside"], np.int64).tolist()))
-        lines = pa.decompress(row["text"], decompressed_size=row["size"], codec="zstd", asbytes=True).decode().split("\n") if row["size"] else []
-        kept, at, place = [], 0, 0
-        for state in row["states"]:
-            if state != KEEP:
-                gone = place in shared
-                place += 1
-            if state == KEEP or state == OPEN and not gone:
-                kept.append(lines[at])
-            at += state != DROP
-        out.append((row["page_id"], row["url"], "\n".join(kept)))
-    kinds = table.schema.field("page_id").type, table.schema.field("url").type, pa.string()
-    return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["page_id", "url", "text"])
+        if row["own"]:
+            near = [j for j in (i - 1, i + 1) if 0 <= j < len(rows) and rows[j]["host"] == row["host"]]
+            partner = max(near, key=lambda j: (_nearness(row["address"], rows[j]["address"]), j < i), default=None)
+            out.append((row["key"], None if partner is None else rows[partner]["outside"]))
+    return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.binary()))], ["key", "partner"])
+
+
+def _difference(batches):
+    for batch in batches:
+        out = []
+        for row in batch.select(["text", "size", "states", "outside", "partner"]).to_pylist():
+            shared = set(common(np.frombuffer(row["outside"], np.int64).tolist(), np.frombuffer(row["partner"] or b"", np.int64).tolist()))
+            lines = pa.decompress(row["text"], decompressed_size=row["size"], codec="zstd", asbytes=True).decode().split("\n") if row["size"] else []
+            kept, at, place = [], 0, 0
+            for state in row["states"]:
+                if state != KEEP:
+                    gone = place in shared
+                    place += 1
+                if state == KEEP or state == OPEN and not gone:
+                    kept.append(lines[at])
+                at += state != DROP
+            out.append("\n".join(kept))
+        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])

@@ -19,15 +19,16 @@ SALTS = 32
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://`` or for null."""
-    return F.translate(F.regexp_extract(_rest(url), r"^([^/?#]*)", 1), UPPER, LOWER)
+    return F.translate(F.regexp_extract(rest_of(url), r"^([^/?#]*)", 1), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
     """What follows the host up to ``?``, ``#`` or the end."""
-    return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(rest_of(url), r"^[^/?#]*([^?#]*)", 1)
 
 
-def _rest(url: Column) -> Column:
+def rest_of(url: Column) -> Column:
+    """What follows the first ``://``; empty without it or for null."""
     at = F.locate("://", F.coalesce(url, F.lit("")))
     return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
 

@@ -123,6 +123,17 @@ def test_pages_lose_what_they_share(spark):
         (5, "plain <b>"), (5, "plain <b>"), (6, "Same\nOwn line 2")]
 
 
+def test_partners_do_not_depend_on_buckets(spark):
+    """Addresses that differ in the query are compared, and a long run of rows of one address hides nothing."""
+    page = "<div>Template</div><p>Own %d</p>"
+    pages = [(i, f"http://q/index.php?id={i}", page % i) for i in range(3)]
+    pages += [(10, "http://h/a", page % 10), (900, "http://h/c", page % 900)] + [(100 + i, "http://h/b", page % (100 + i)) for i in range(700)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for rows_each in (64, 8192):
+        got = page_diff.main_text(frame, rows_each=rows_each).collect()
+        assert sorted((r.page_id, r.text) for r in got) == sorted((i, f"Own {i}") for i, _, _ in pages)
+
+
 def test_longest_common_subsequence():
     import random
     rng = random.Random(2)
