@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsmith.functions.session import cut_lineage
 from tabsmith.llm import text as tx
 
 PROBES = 4
-# A language keeps the n-grams that make up at least this share of its training text: at most 1 / SHARE of them.
-SHARE = 4e-6
+# N-grams in each part of the training that goes into the table at once.
+PART = 1_000_000
 
 _LETTER = np.zeros(256, np.uint32)
 _LETTER[97:123] = np.arange(97, 123)
@@ -47,17 +48,24 @@ def _slots(gram: np.ndarray, slots: int) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """languages: by how often they were seen; table: a bitmask of languages per slot, 64 languages to a plane."""
+    """languages: by how often they were seen; table: a bitmask of languages per slot, up to 64 languages to a plane.
+
+    The table has 16 to 32 slots for each distinct n-gram, however many there are.
+    """
 
     languages: list[str]
     table: np.ndarray
 
     def false_rate(self) -> np.ndarray:
-        return np.array([((self.table[j // 64] >> np.uint64(j % 64)) & np.uint64(1)).mean() ** PROBES for j in range(len(self.languages))])
+        kind, width = self.table.dtype.type, self.table.itemsize * 8
+        return np.array([((self.table[j // width] >> kind(j % width)) & kind(1)).mean() ** PROBES for j in range(len(self.languages))])
 
 
-def train(docs: DataFrame, training: Column) -> Filters:
-    """Filters from the rows of ``docs`` (text, lang) where ``training`` holds; rows without text or lang teach nothing."""
+def train(docs: DataFrame, training: Column, least: int = 2) -> Filters:
+    """Filters from the rows of ``docs`` (text, lang) where ``training`` holds; rows without text or lang teach nothing.
+
+    N-grams seen fewer than ``least`` times in a language are no part of its filter; with 1 it holds every one.
+    """
     known = docs.where(training).where("text is not null and lang is not null").select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     seen = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
@@ -90,14 +98,20 @@ def train(docs: DataFrame, training: Column) -> Filters:
         if size:
             yield batch_of(*merged())
     counted = known.mapInArrow(tx.tidy_batches(run), "lang int, gram long, count long").groupBy("lang", "gram").agg(F.sum("count").alias("count"))
-    total = counted.groupBy("lang").agg(F.sum("count").alias("total"))
-    kept = counted.join(F.broadcast(total), "lang").where((F.col("count") > 1) & (F.col("count") >= SHARE * F.col("total"))).select("lang", "gram").toArrow()
-    lang, gram = kept.column("lang").to_numpy(), kept.column("gram").to_numpy()
-    slots = 1 << max(12, (16 * len(np.unique(gram))).bit_length())
-    table = np.zeros((-(-len(languages) // 64) or 1, slots), np.uint64)
-    for j in range(len(languages)):
-        for slot in _slots(gram[lang == j], slots):
-            table[j // 64, slot] |= np.uint64(1 << j % 64)
+    counted = cut_lineage(counted.where(F.col("count") >= least).select("lang", "gram"))
+    distinct = counted.select("gram").distinct().count()
+    slots = 1 << max(12, (16 * distinct).bit_length())
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= k(0).itemsize * 8 or k is np.uint64)
+    width = kind(0).itemsize * 8
+    table = np.zeros((-(-len(languages) // width) or 1, slots), kind)
+    # One part of the n-grams after the other comes to the driver.
+    parts = -(-counted.count() // PART)
+    for part in range(parts):
+        kept = counted.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part).toArrow()
+        lang, gram = kept.column("lang").to_numpy(), kept.column("gram").to_numpy()
+        for j in np.unique(lang).tolist():
+            for slot in _slots(gram[lang == j], slots):
+                table[j // width, slot] |= kind(1 << j % width)
     return Filters(languages, table)
 
 
@@ -114,13 +128,12 @@ def predict(docs: DataFrame, model: Filters, keep: str = "*", share: float | Non
     text = "text" if "text" in names and dict(docs.dtypes)["text"] == "string" else "_text"
     rows = docs.select(*(F.col(f"`{n}`") for n in names), *([F.col("text").cast("string").alias(text)] if text == "_text" else []),
                        F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+    broadcast, false = docs.sparkSession.sparkContext.broadcast(model), model.false_rate()
     plain = docs.select(*(F.col(f"`{n}`") for n in names)).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def run(batches):
         model = broadcast.value
-        false, languages = model.false_rate(), model.languages
-        narrow = model.table[0].astype(np.uint8) if len(languages) <= 8 else None
+        languages, width = model.languages, model.table.itemsize * 8
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -131,12 +144,12 @@ def predict(docs: DataFrame, model: Filters, keep: str = "*", share: float | Non
                 slots = _slots(gram, model.table.shape[1])
                 best = np.full(end - at, -1.0)
                 for j in range(len(languages)):
-                    if j % 64 == 0:
-                        plane = narrow if narrow is not None else model.table[j // 64]
+                    if j % width == 0:
+                        plane = model.table[j // width]
                         mask = plane[slots[0]]
                         for slot in slots[1:]:
                             mask &= plane[slot]
-                    bit = np.concatenate(([0], np.cumsum(mask >> mask.dtype.type(j % 64) & mask.dtype.type(1), dtype=np.int64)))
+                    bit = np.concatenate(([0], np.cumsum(mask >> mask.dtype.type(j % width) & mask.dtype.type(1), dtype=np.int64)))
                     hits = bit[first[1:]] - bit[first[:-1]]
                     real = np.clip((hits - n * false[j]) / (1 - false[j]) if false[j] < 1 else 0.0 * n, 0, n)
                     better = real > best

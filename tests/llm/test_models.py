@@ -184,3 +184,20 @@ def test_every_counted_context_scores(spark):
     assert len(got) == len(rows)
     for i, t in rows[::40] + rows[-5:]:
         assert got[i] == pytest.approx(naive_log10(t, counts), rel=1e-5), t
+
+
+def test_language_with_one_short_text_is_known(spark):
+    """All its n-grams are in the filters, those seen once too, beside a language with very many."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(400)), "many") for i in range(100)]
+    rows.append((1000, "zuvor wusste xylophon quartz", "few"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(docs, langid.train(docs, F.lit(True), least=1), share=0.9).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == r.lang and r.score > 0.99 for r in got)
+
+
+def test_pipeline_keeps_languages_with_one_short_text(spark):
+    import corpus_pipeline
+    rows = [(i, "the same plain english text again and again", "en") for i in range(50)] + [(99, "zuvor wusste xylophon quartz", "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()} == {i for i, _, _ in rows}
