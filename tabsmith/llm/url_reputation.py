@@ -15,6 +15,21 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 32
+# Suffixes of several labels under which names are registered: second-level registries of countries and common hosting
+# domains.  Not the whole public suffix list (no wildcard rules, no regional suffixes of Japan, Norway or the US);
+# every other suffix is the last label.  ``suffixes`` of judge() replaces the list.
+SUFFIXES = tuple(f"{second}.{country}" for country, seconds in {
+    "uk": "co org me ltd plc net ac gov sch nhs police", "au": "com net org edu gov asn id", "nz": "co net org ac govt school geek gen iwi maori",
+    "jp": "co ne or ac go ed gr lg ad", "kr": "co ne or ac go re pe", "in": "co net org ac edu gov gen firm ind res nic", "za": "co net org ac gov web law",
+    "br": "com net org edu gov art blog eco eng ind inf jus leg mil", "cn": "com net org edu gov ac mil", "tw": "com net org edu gov idv", "hk": "com net org edu gov idv",
+    "sg": "com net org edu gov per", "my": "com net org edu gov mil name", "th": "co in ac go or net mi", "id": "co or ac go web sch net my", "ph": "com net org edu gov",
+    "vn": "com net org edu gov", "tr": "com net org edu gov bel pol gen web", "il": "co org net ac gov muni k12", "mx": "com net org edu gob", "ar": "com net org edu gob gov int mil",
+    "co": "com net org edu gov mil nom", "pe": "com net org edu gob nom", "ve": "co com net org edu gob web", "uy": "com net org edu gub", "ec": "com net org edu gob fin",
+    "ua": "com net org edu gov in", "pl": "com net org edu gov info waw", "ru": "com net org msk spb", "es": "com nom org gob edu", "pt": "com org edu gov", "gr": "com net org edu gov",
+    "cy": "com net org ac gov", "hu": "co org info", "at": "co or ac gv", "eg": "com net org edu gov", "sa": "com net org edu gov", "ae": "co net org ac gov sch", "pk": "com net org edu gov",
+    "bd": "com net org edu gov ac", "lk": "com net org edu gov ac", "ng": "com net org edu gov", "ke": "co or ne go ac sc", "gh": "com org edu gov", "tz": "co or go ac ne", "ug": "co or go ac ne com org",
+    "com": "blogspot appspot herokuapp wordpress weebly wixsite azurewebsites cloudfront", "io": "github gitlab readthedocs", "dev": "pages workers web", "app": "netlify vercel web firebaseapp",
+}.items() for second in seconds.split()) + ("s3.amazonaws.com", "blogspot.co.uk", "blogspot.com.au", "blogspot.com.br", "nsw.edu.au", "vic.edu.au")
 
 
 def host_of(url: Column) -> Column:
@@ -33,13 +48,22 @@ def rest_of(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The longest of ``suffixes`` that the host ends with, label by label, else the last label."""
+    return _fitting(host, suffixes, 0)
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels; a numeric address is its own domain."""
-    return F.when(host.rlike(r"^[0-9.:]+$"), host).otherwise(F.substring_index(host, ".", -2))
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """One label more than the suffix; a numeric address is its own domain, and a bare suffix too."""
+    return F.when(host.rlike(r"^[0-9.:]+$"), host).otherwise(_fitting(host, suffixes, 1))
+
+
+def _fitting(host: Column, suffixes: Sequence[str], more: int) -> Column:
+    """As many last labels of the host as its longest fitting suffix has, and ``more``."""
+    out = F.substring_index(host, ".", -1 - more)
+    for n in sorted({s.count(".") + 1 for s in suffixes} - {1}):
+        out = F.when(F.substring_index(host, ".", -n).isin([s for s in suffixes if s.count(".") + 1 == n]), F.substring_index(host, ".", -n - more)).otherwise(out)
+    return out
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -77,7 +101,7 @@ def _strength(units: DataFrame, floor: float, ceiling: float) -> float:
 
 
 def host_reputation(pages: DataFrame, labelled: DataFrame, threshold: float = 0.5, z: float = 1.645,
-                    floor: float = 2.0, ceiling: float = 1000.0) -> DataFrame:
+                    floor: float = 2.0, ceiling: float = 1000.0, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(host, n, bad, rate, low, blocked) for each host of ``pages`` (url).
 
     ``labelled`` has url and bad (0, 1 or null; null is no label).  ``rate`` is the mean of the beta posterior,
@@ -87,7 +111,7 @@ def host_reputation(pages: DataFrame, labelled: DataFrame, threshold: float = 0.
     rows = pages.select(host_of(F.col("url")).alias("host"), F.lit(0).alias("n"), F.lit(0).alias("bad")).unionAll(
         labelled.where("bad is not null").select(host_of(F.col("url")).alias("host"), F.lit(1).alias("n"), F.col("bad").cast("int").alias("bad")))
     hosts = rows.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     m = [_strength(x, floor, ceiling) for x in (suffixes, domains, hosts)]

@@ -181,3 +181,15 @@ def test_bad_hosts_are_blocked_and_their_relatives_suspected(spark):
     assert [r.verdict for r in got] == ["block", "block", "allow", "allow", "block"]
     rate = {r.host: r.rate for r in got}
     assert rate["a.bad.com"] > rate["new.bad.com"] > rate["new.org"] and rate["new.org"] > rate["good.com"]
+
+
+def test_sites_under_suffixes_of_several_labels_are_apart(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.github.io", "w.x.github.io", "notco.uk", "a.example.com", "10.0.0.1", "", "p.q.s3.amazonaws.com"]
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select(url_reputation.domain_of(F.col("host")), url_reputation.suffix_of(F.col("host"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("x.github.io", "github.io"), ("x.github.io", "github.io"), ("notco.uk", "uk"),
+        ("example.com", "com"), ("10.0.0.1", "1"), ("", ""), ("q.s3.amazonaws.com", "s3.amazonaws.com")]
+    labelled = [("http://a.bad.co.uk/", 1)] * 40 + [("http://b.bad.co.uk/", 1)] * 40 + [("http://a.good.co.uk/", 0)] * 40 + [("http://b.good.co.uk/", 0)] * 40
+    pages = spark.createDataFrame([(0, "http://new.bad.co.uk/"), (1, "http://new.good.co.uk/")], "page_id long, url string")
+    bad, good = url_reputation.judge(pages, spark.createDataFrame(labelled, "url string, bad int"), []).orderBy("page_id").collect()
+    assert bad.rate > 0.9 and good.rate < 0.1
