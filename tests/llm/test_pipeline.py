@@ -3,7 +3,8 @@
 import hashlib
 
 import corpus_pipeline
-from tabsmith.llm import queries
+from pyspark.sql import functions as F
+from tabsmith.llm import quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +26,11 @@ def test_run(spark):
     assert len(kept & bad) <= len(bad) * 0.1
     same = sum(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in got)
     assert same >= len(got) * 0.9 and all(r.n_tokens == len(r.ids) for r in got)
+
+
+def test_first_stage_is_the_decision_of_the_classifier(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = queries.documents(spark, sf)
+    scored = quality.score(docs, quality.fit(docs, queries.table(spark, sf, "labels"), F.lit(True))).select("doc_id", "score", "predicted").collect()
+    assert any(0.1 <= r.score < 0.5 for r in scored)
+    assert {r.doc_id for r in corpus_pipeline.good_quality(spark, docs, sf).collect()} == {r.doc_id for r in scored if r.predicted == 1}
