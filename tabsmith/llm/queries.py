@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import bpe, chat, ctph, decontaminate, langid, ngram_join, page_diff, ppm, quality, url_reputation
+from tabsmith.llm import bpe, chat, ctph, decontaminate, langid, line_dedup, ngram_join, page_diff, ppm, quality, url_reputation
 from tabsmith.llm.text import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,19 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = ctph.likeness(F.col("fingerprint"), F.col("edited_fingerprint")), ctph.likeness(F.col("fingerprint"), F.col("next_fingerprint"))
     return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                          near[0].alias("near_edited"), near[1].alias("near_next"))
+
+
+@query("op11_line_dedup", r"""
+with lines as (
+  select doc_id, generate_subscripts(l, 1) as place, unnest(l) as line
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)),
+keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+repeated as (select key, max(doc_id) as keeper from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5)
+select doc_id, count(*) as n_lines, count(*) filter (keeper is not null and keeper <> doc_id) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by place) filter (keeper is null or keeper = doc_id), '')) as kept_sha256
+from keyed left join repeated using (key) group by doc_id""")
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), least_chars=40, least_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
