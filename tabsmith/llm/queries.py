@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import bpe, chat, ctph, decontaminate, langid, line_dedup, ngram_join, page_diff, ppm, quality, url_reputation
+from tabsmith.llm import alignment, bpe, chat, collocations, ctph, decontaminate, langid, line_dedup, ngram_join, page_diff, ppm, quality, url_reputation
 from tabsmith.llm.text import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +237,40 @@ from keyed left join repeated using (key) group by doc_id""")
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), least_chars=40, least_docs=5)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = public_tokenizers.path
+    return alignment.score(documents(spark, sf_dir), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
+@query("op12_collocations", r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+grams as (
+  select lang, k, w[i:i + k - 1] as g from (
+    select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (values (1), (2), (3), (4), (5)) sizes(k) where len(w) >= k)),
+counts as (select lang, k, g, count(*) as f from grams group by all),
+totals as (select lang, cast(sum(f) as bigint) as n from counts where k = 1 group by lang),
+frequent as (select * from counts where f >= 100),
+longer as (
+  select lang, g, max(f) as f from (
+    select lang, g[1:k - 1] as g, f from frequent where k > 2 union all select lang, g[2:k] as g, f from frequent where k > 2) group by all),
+candidates as (
+  select c.lang, c.k, c.g, c.f as a from frequent c left join longer o on o.lang = c.lang and o.g = c.g
+  where c.k > 1 and (o.f is null or 100 * o.f < 100 * c.f)),
+cuts as (
+  select c.lang, c.g, c.a, c.j, l.f as l, r.f as r, n, cast((1000 * c.a::hugeint * n::hugeint) // (l.f::hugeint * r.f::hugeint) as bigint) as score
+  from (select *, unnest(range(1, k)) as j from candidates) c join totals t on t.lang = c.lang
+  join frequent l on l.lang = c.lang and l.k = c.j and l.g = c.g[1:c.j]
+  join frequent r on r.lang = c.lang and r.k = c.k - c.j and r.g = c.g[c.j + 1:c.k]),
+lowest as (select * from cuts qualify row_number() over (partition by lang, g order by score, j) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank,
+  array_to_string(g, ' ') as phrase, a, l, r, n, score
+from lowest qualify rank <= 2000""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), least=100, longest=5, top=2000)
