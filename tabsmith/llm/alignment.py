@@ -29,7 +29,7 @@ from tabsmith.llm.bpe import word_starts
 # Bytes of text whose links share one table of pairs.
 SHARD_BYTES = 8 << 20
 # Ids in windows, and words, that a worker remembers before it begins anew.
-MEMO_IDS, MEMO_WORDS = 1_000_000, 200_000
+MEMO_IDS, MEMO_WORDS = 3_000_000, 400_000
 
 _PER_DOC = ("n_a", "n_b", "n_groups", "n_links")
 SHARD = ("block long, doc_id array<long>, " + ", ".join(f"{n} array<int>" for n in _PER_DOC)
@@ -96,25 +96,27 @@ class Pieces:
         return np.concatenate(got or [np.zeros(0, np.int32)]), np.array([len(x) for x in got], np.int64)
 
 
-def align_window(a: list[int], b: list[int], size_a, size_b) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups (A ids, B ids) between shared ends, and all pairs of overlapping occurrences, of two id lists over the same bytes."""
-    groups, links = [], []
-    i = j = from_a = from_b = 0
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
+def align_window(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Ends (in a, in b) of the groups between shared ends, and the pairs of places of overlapping tokens, of two id lists over the same bytes."""
+    if len(a) == len(b) == 1:
+        return [(1, 1)], [(0, 0)]
+    ends, links = [], []
+    i, j, ahead = 0, 0, size_a[a[0]] - size_b[b[0]]
     while True:
         # What lies up to the nearer end is in exactly these two tokens.
-        links.append((a[i], b[j]))
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        i, j = i + step_a, j + step_b
-        if step_a and step_b:
-            groups.append((a[from_a:i], b[from_b:j]))
-            from_a, from_b = i, j
+        links.append((i, j))
+        if ahead < 0:
+            i += 1
+            ahead += size_a[a[i]]
+        elif ahead > 0:
+            j += 1
+            ahead -= size_b[b[j]]
+        else:
+            i, j = i + 1, j + 1
+            ends.append((i, j))
             if i == len(a):
-                return groups, links
-        if step_a:
-            end_a += size_a[a[i]]
-        if step_b:
-            end_b += size_b[b[j]]
+                return ends, links
+            ahead = size_a[a[i]] - size_b[b[j]]
 
 
 class Aligner:
@@ -125,6 +127,7 @@ class Aligner:
         self.sizes = [list(map(len, x.bytes)) for x in (self.a, self.b)]
         self.size_a, self.size_b = (np.array(x, np.int64) for x in self.sizes)
         self.space_a, self.space_b = (np.array([w[:1] == b" " for w in x.bytes]) for x in (self.a, self.b))
+        self.said = list(map(str, range(max(map(len, self.sizes)))))
         self.forget()
 
     def forget(self) -> None:
@@ -132,15 +135,22 @@ class Aligner:
         self.weight = 0
         self.texts: list[str] = []
         self.n_groups, self.first = array("i"), array("q", [0])
-        self.numbers: dict[tuple[int, int], int] = {}
+        self.numbers: dict[int, int] = {}
         self.links = array("i")  # numbers of pairs, window after window
 
     def _window(self, a: list[int], b: list[int]) -> int:
-        groups, links = align_window(a, b, *self.sizes)
-        self.texts.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-        self.n_groups.append(len(groups))
-        self.links.extend(self.numbers.setdefault(p, len(self.numbers)) for p in links)
-        self.first.append(len(self.links))
+        ends, links = align_window(a, b, *self.sizes)
+        said_a, said_b = [self.said[i] for i in a], [self.said[i] for i in b]
+        text, from_a, from_b = [], 0, 0
+        for to_a, to_b in ends:
+            text.append(",".join(said_a[from_a:to_a]) + "|" + ",".join(said_b[from_b:to_b]))
+            from_a, from_b = to_a, to_b
+        numbers, out = self.numbers, self.links
+        for i, j in links:
+            out.append(numbers.setdefault(a[i] << 32 | b[j], len(numbers)))
+        self.texts.append(";".join(text))
+        self.n_groups.append(len(ends))
+        self.first.append(len(out))
         self.weight += len(a) + len(b)
         return len(self.texts) - 1
 
@@ -202,7 +212,7 @@ class _Shard:
     def __init__(self):
         self.bytes, self.docs, self.doc_id = 0, 0, []
         self.per_doc: dict[str, list] = {n: [] for n in (*_PER_DOC, "groups_sha256", "n_pairs")}
-        self.a, self.b, self.times = [], [], []
+        self.pairs, self.times = [], []
 
     def add(self, doc_id: pa.Array, aligner: Aligner, data: np.ndarray, offsets: np.ndarray) -> None:
         _, _, n_a, n_b, windows, per_text = aligner.block(data, offsets)
@@ -216,22 +226,21 @@ class _Shard:
         link = np.frombuffer(aligner.links, np.int32)[np.repeat(first[windows] - end + many, many) + np.arange(many.sum())]
         width = max(1, len(aligner.numbers))
         held, times = np.unique(np.repeat(owner, many) * width + link, return_counts=True)
-        pairs = np.array(list(aligner.numbers), np.int32).reshape(-1, 2)[held % width]
+        pairs = np.fromiter(aligner.numbers, np.int64, len(aligner.numbers))[held % width]
         add = lambda of: np.bincount(owner, of, len(per_text)).astype(np.int64)
         new = {"n_a": n_a, "n_b": n_b, "n_groups": add(np.frombuffer(aligner.n_groups, np.int32)[windows]), "n_links": add(many), "groups_sha256": digests,
                "n_pairs": np.bincount(held // width, minlength=len(per_text))}
         for n, values in new.items():
             self.per_doc[n].append(values)
         self.doc_id.append(doc_id)
-        self.a.append(pairs[:, 0])
-        self.b.append(pairs[:, 1])
+        self.pairs.append(pairs)
         self.times.append(times)
         self.bytes += len(data)
         self.docs += len(doc_id)
 
     def row(self, block: int) -> pa.RecordBatch:
-        a, b, times = (np.concatenate(x).astype(np.int64) for x in (self.a, self.b, self.times))
-        distinct, places, held = np.unique(a << 32 | b, return_inverse=True, return_counts=True)
+        pairs, times = np.concatenate(self.pairs), np.concatenate(self.times)
+        distinct, places, held = np.unique(pairs, return_inverse=True, return_counts=True)
         one = lambda x, kind=pa.int32(): tx.ragged(x, [len(x)], kind)
         ids = pa.concat_arrays(self.doc_id)
         shas = [x for part in self.per_doc["groups_sha256"] for x in part]
