@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from array import array
 
 import numpy as np
@@ -50,6 +51,20 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+# White space by the Unicode property, as the pattern's \\s has it: runs that the pattern's engine cannot take at once.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+def _ids(encoding, text: str) -> list[int]:
+    """Ids of a word.  Of a long run of white space the last character goes with what follows, the rest is one piece."""
+    out, at = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += encoding.encode_ordinary(text[at:run.start()]) + encoding._encode_single_piece(text[run.start():end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where words begin: at each nonempty text's start and at single spaces between characters that are not white space."""
     n = len(data)
@@ -149,7 +164,7 @@ def _words(buckets: int):
 
 def _encode_bucket(path: str, pattern: str):
     def run(table: pa.Table) -> pa.Table:
-        encode, known = _encoder(path, pattern).encode_ordinary, {}
+        encoding, known = _encoder(path, pattern), {}
         counts, ids = [], []
         for words, lengths in zip(table.column("words").to_pylist(), table.column("lengths").to_pylist()):
             words = _unpressed(words)
@@ -158,7 +173,7 @@ def _encode_bucket(path: str, pattern: str):
             for end in ends:
                 word, at = words[at:end], end
                 if (got := known.get(word)) is None:
-                    got = known[word] = array("I", encode(word.decode()))
+                    got = known[word] = array("I", _ids(encoding, word.decode()))
                 found.append(got)
             counts.append(_pressed(np.array([len(x) for x in found], np.uint32).tobytes()))
             ids.append(_pressed(_narrow(np.frombuffer(b"".join(found), np.uint32))))
@@ -227,7 +242,10 @@ def encode(docs: DataFrame, path: str, pattern: str, back: bool = False) -> Data
     With ``back`` there is a third column ``decoded``, the bytes that the ids decode to, as ``decode`` gives them.
 
     A null or empty text has no ids.  Repeated rows and null doc_ids stay as they are: nothing is joined by doc_id.
-    ``path`` names a rank file that every executor can read; special tokens in a text are ordinary text.
+    ``path`` names a rank file that every executor can read; special tokens in a text are ordinary text.  A very long
+    text is one word block, and takes its task some twenty times its size; runs of white space may be of any length.
+    ``pattern`` must keep white space but for a run's last character in one piece, as those of the rank files do.  The
+    rows are read twice, and must come in the same order both times, as they do from files.
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = "block long, bucket int, counts binary, ids binary"
