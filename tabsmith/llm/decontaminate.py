@@ -152,8 +152,9 @@ class Automaton:
             if spans:
                 t = int(text[a])
                 base = int(at[a] - first[t])
-                out[t] = merge(out[t][0] + [(x + base, y + base) for x, y in spans]), out[t][1] | items
-        return out
+                out[t][0].extend((x + base, y + base) for x, y in spans)
+                out[t][1].update(items)
+        return [(merge(spans), items) for spans, items in out]
 
 
 def _within(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -194,7 +195,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: st
 
     A window is ``window`` consecutive words of an item of ``benchmark`` (item_id, text), or a shorter item whole; a
     word of a text is hit inside any occurrence of a window.  Null texts and items have no words; an item with a null
-    id hits words but is not among the items; repeated items count once.  Columns of ``docs`` with the names of the
+    id hits words but is not among the items; repeated items count once.  Repeated rows are each judged for themselves.
+    A very long text is streamed once, and takes its task some twenty times its size.  Columns of ``docs`` with the names of the
     result are replaced.  ``keep`` names the columns to keep, separated by commas.
     """
     new = [f.name for f in T._parse_datatype_string(FOUND).fields]

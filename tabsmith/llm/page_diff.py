@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -56,6 +57,7 @@ def lines_of(html: str) -> list[tuple[int, str]]:
     """
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter = Counter()
     state, piece, at, n = OPEN, [], 0, len(html)
 
     def close():
@@ -64,6 +66,18 @@ def lines_of(html: str) -> list[tuple[int, str]]:
             if text:
                 out.append((state, text))
             piece.clear()
+
+    def enter(name: str, was: int):
+        stack.append((name, was))
+        opened[name] += 1
+
+    def leave(name: str) -> int:
+        """The state before the innermost open element of that name."""
+        while True:
+            x, was = stack.pop()
+            opened[x] -= 1
+            if x == name:
+                return was
     while at < n:
         found = _TAG.search(html, at)
         if not found:
@@ -85,38 +99,84 @@ def lines_of(html: str) -> list[tuple[int, str]]:
                 piece.append(" ")
             elif not found.group(1) and _is_furniture(name, found.group(3), False):
                 close()
-                stack.append((name, state))
+                enter(name, state)
                 state = DROP
-            elif found.group(1) and any(x == name for x, _ in stack):
+            elif found.group(1) and opened[name]:
                 close()
-                while stack:
-                    x, state = stack.pop()
-                    if x == name:
-                        break
+                state = leave(name)
             continue
         close()
         if not found.group(1) and stack and stack[-1][0] == "p":
-            state = stack.pop()[1]
+            state = leave("p")
         if found.group(1):
-            if any(x == name for x, _ in stack):
-                while stack:
-                    x, state = stack.pop()
-                    if x == name:
-                        break
+            if opened[name]:
+                state = leave(name)
         elif name not in VOID and not found.group(3).endswith("/") and name != "p":
-            stack.append((name, state))
+            enter(name, state)
             if state != DROP:
                 in_content = state == KEEP
                 state = DROP if _is_furniture(name, found.group(3), in_content) else KEEP if name in CONTENT else state
         elif name == "p" and state != DROP and _is_furniture(name, found.group(3), False):
-            stack.append((name, state))
+            enter(name, state)
             state = DROP
     close()
     return out
 
 
 def common(a: list, b: list) -> list[int]:
-    """Places in ``a`` of a longest common subsequence of a and b, by longest increasing runs of matching places."""
+    """Places in ``a`` of a longest common subsequence of a and b.
+
+    Equal ends are taken as they are.  Between them few matching places are joined to rising runs one by one; where
+    lines repeat so often that they are many, rows of 64 places are worked off at a time, halving ``a`` (Hirschberg).
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    inner = _between(a[head:len(a) - tail], b[head:len(b) - tail])
+    return [*range(head), *(i + head for i in inner), *range(len(a) - tail, len(a))]
+
+
+def _between(a: list, b: list) -> list[int]:
+    times = Counter(b)
+    matches = sum(times[x] for x in a)
+    if matches <= max(100_000, 8 * (len(a) + len(b))):
+        return _rising(a, b) if matches else []
+    half = len(a) // 2
+    left, right = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])[::-1]
+    cut = int(np.argmax(left + right))
+    return [*_between(a[:half], b[:cut]), *(i + half for i in _between(a[half:], b[cut:]))]
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of a longest common subsequence of a and each beginning of b, the places of b being bits of one number."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    masks: dict = {}
+    ones = (1 << len(b)) - 1
+    row = ones
+    for x in a:
+        if x not in where:
+            continue
+        mask = masks.get(x)
+        if mask is None:
+            if len(where[x]) == 1:
+                mask = 1 << where[x][0]
+            else:
+                bits = np.zeros(len(b), np.uint8)
+                bits[where[x]] = 1
+                mask = masks[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        hit = row & mask
+        row = (row + hit | row - hit) & ones
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(b)]
+    return np.concatenate(([0], np.cumsum(bits == 0)))
+
+
+def _rising(a: list, b: list) -> list[int]:
+    """The same by longest rising runs of matching places."""
     where: dict = {}
     for j, x in enumerate(b):
         where.setdefault(x, []).append(j)
