@@ -1,8 +1,10 @@
 """Alignment of two tokenizers' tokens, with white-space tokens as anchors.
 
-Each text is tokenised whole by both.  Where tokens of both end at the same byte and the next tokens of both begin with
-a space, the text is cut; between two such anchors lies a window, a pair of short tuples of token ids.  Equal windows
-have equal alignments, so each distinct pair of tuples is aligned once and remembered.
+The ids are those of the texts tokenised whole.  Where tokens of both end at the same byte and the next tokens of both
+begin with a space, the text is cut; between two such anchors lies a window, a pair of short tuples of token ids.  Equal
+windows have equal alignments, so each distinct pair of tuples is aligned once and remembered.  No token of either side
+reaches over a single space between words, so a word's ids do not depend on what stands around it: each distinct word is
+tokenised and cut to windows once for a block of texts, and the block's texts are put together from their words.
 
 How many documents link two ids is counted over the corpus: tasks write shards (the links of some megabytes of text as
 places in the shard's table of distinct pairs), the shards' tables are summed, and each shard asks for the sums of the
@@ -12,6 +14,7 @@ pairs in its table.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import os
 from array import array
@@ -28,8 +31,8 @@ from tabsmith.llm.bpe import word_starts
 
 # Bytes of text whose links share one table of pairs.
 SHARD_BYTES = 8 << 20
-# Ids in windows, and words, that a worker remembers before it begins anew.
-MEMO_IDS, MEMO_WORDS = 3_000_000, 400_000
+# Words, and ids in them, that a worker remembers before it begins anew.
+MEMO_WORDS, MEMO_IDS = 400_000, 4_000_000
 
 _PER_DOC = ("n_a", "n_b", "n_groups", "n_links")
 SHARD = ("block long, doc_id array<long>, " + ", ".join(f"{n} array<int>" for n in _PER_DOC)
@@ -45,10 +48,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE of the tokenizers library, asked once for each distinct word of a block.
-
-    Words are cut at single inner spaces, which no pre-token crosses, so their ids in order are those of the whole text.
-    """
+    """A byte-level BPE of the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
@@ -59,27 +59,9 @@ class ByteLevel:
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-        self.known: dict[bytes, array] = {}
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of a block, and how many each text has."""
-        if len(self.known) > MEMO_WORDS:
-            self.known.clear()
-        at = word_starts(data, offsets)
-        end = np.append(at[1:], len(data)) if len(at) else at
-        _, first, where = np.unique(tx.span_hashes(data, at, end), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        words = [raw[i:j] for i, j in zip(at[first].tolist(), end[first].tolist())]
-        new = [w for w in words if w not in self.known]
-        got = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        self.known.update(zip(new, (array("i", x.ids) for x in got)))
-        ids = [self.known[w] for w in words]
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        size = np.array([len(x) for x in ids], np.int64)
-        begin, many = (np.cumsum(size) - size)[where], size[where]
-        total = np.concatenate(([0], np.cumsum(many)))
-        out = flat[np.repeat(begin - total[:-1], many) + np.arange(total[-1])]
-        return out, np.diff(total[np.searchsorted(at, offsets)])
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
 
 class Pieces:
@@ -90,115 +72,153 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [(self.model.id_to_piece(i), self.model.is_byte(i)) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces]
+        # Pieces have spaces at their beginning alone, so none reaches from one word to the next.
+        self.by_word = all("▁" not in p.lstrip("▁") for p, _ in pieces)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [np.array(x, np.int32) for x in self.model.encode(texts, num_threads=1)]
-        return np.concatenate(got or [np.zeros(0, np.int32)]), np.array([len(x) for x in got], np.int64)
-
-
-def align_window(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Ends (in a, in b) of the groups between shared ends, and the pairs of places of overlapping tokens, of two id lists over the same bytes."""
-    if len(a) == len(b) == 1:
-        return [(1, 1)], [(0, 0)]
-    ends, links = [], []
-    i, j, ahead = 0, 0, size_a[a[0]] - size_b[b[0]]
-    while True:
-        # What lies up to the nearer end is in exactly these two tokens.
-        links.append((i, j))
-        if ahead < 0:
-            i += 1
-            ahead += size_a[a[i]]
-        elif ahead > 0:
-            j += 1
-            ahead -= size_b[b[j]]
-        else:
-            i, j = i + 1, j + 1
-            ends.append((i, j))
-            if i == len(a):
-                return ends, links
-            ahead = size_a[a[i]] - size_b[b[j]]
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """Ids of texts that begin with the space which the model adds."""
+        return self.model.encode([w[1:] for w in words], num_threads=1)
 
 
 class Aligner:
-    """Both tokenizers of a worker, and the windows that it has aligned."""
+    """Both tokenizers of a worker, and the words and windows that it has aligned."""
 
     def __init__(self, byte_level: str, pieces: str):
         self.a, self.b = ByteLevel(byte_level), Pieces(pieces)
         self.sizes = [list(map(len, x.bytes)) for x in (self.a, self.b)]
-        self.size_a, self.size_b = (np.array(x, np.int64) for x in self.sizes)
-        self.space_a, self.space_b = (np.array([w[:1] == b" " for w in x.bytes]) for x in (self.a, self.b))
+        self.spaced = [[w[:1] == b" " for w in x.bytes] for x in (self.a, self.b)]
         self.said = list(map(str, range(max(map(len, self.sizes)))))
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[bytes, int] = {}
-        self.weight = 0
-        self.texts: list[str] = []
-        self.n_groups, self.first = array("i"), array("q", [0])
-        self.numbers: dict[int, int] = {}
-        self.links = array("i")  # numbers of pairs, window after window
-
-    def _window(self, a: list[int], b: list[int]) -> int:
-        ends, links = align_window(a, b, *self.sizes)
-        said_a, said_b = [self.said[i] for i in a], [self.said[i] for i in b]
-        text, from_a, from_b = [], 0, 0
-        for to_a, to_b in ends:
-            text.append(",".join(said_a[from_a:to_a]) + "|" + ",".join(said_b[from_b:to_b]))
-            from_a, from_b = to_a, to_b
-        numbers, out = self.numbers, self.links
-        for i, j in links:
-            out.append(numbers.setdefault(a[i] << 32 | b[j], len(numbers)))
-        self.texts.append(";".join(text))
-        self.n_groups.append(len(ends))
-        self.first.append(len(out))
-        self.weight += len(a) + len(b)
-        return len(self.texts) - 1
-
-    def _tokens(self, data: np.ndarray, offsets: np.ndarray):
-        """Ids and counts of both sides for a block of texts; a text whose bytes do not come back has none."""
-        raw = data.tobytes()
-        texts = [raw[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        there = np.array([len(t) > 0 for t in texts], bool)
-        spaced = [b" " + t for t in texts if t]
-        (a, n_a), (b, n_b) = (
-            self.a.encode(np.frombuffer(b"".join(spaced), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in spaced], dtype=np.int64)))),
-            self.b.encode([t.decode() for t in texts if t]))
-        fine, at_a, at_b = np.ones(len(spaced), bool), 0, 0
-        for k, (text, m, n) in enumerate(zip(spaced, n_a.tolist(), n_b.tolist())):
-            fine[k] = text == b"".join(map(self.a.bytes.__getitem__, a[at_a:at_a + m].tolist())) == b"".join(map(self.b.bytes.__getitem__, b[at_b:at_b + n].tolist()))
-            at_a, at_b = at_a + m, at_b + n
-        a, b = a[np.repeat(fine, n_a)], b[np.repeat(fine, n_b)]
-        counts = np.zeros((2, len(texts)), np.int64)
-        counts[:, there] = np.where(fine, n_a, 0), np.where(fine, n_b, 0)
-        return a, b, counts[0], counts[1]
-
-    def block(self, data: np.ndarray, offsets: np.ndarray):
-        """For a block of texts: ids, their counts, and the window numbers with their count for each text."""
-        if self.weight > MEMO_IDS:
+        self.windows: dict[tuple, tuple[str, int, tuple]] = {}  # by id tuples: text, number of groups, links
+        self.numbers: dict[int, int] = {}  # of linked ids (A << 32 | B)
+        self.words: dict[bytes, int] = {}
+        self.texts: list[str] = []  # of words, as all below
+        self.n_groups, self.bad = array("i"), array("b")
+        # Ids and numbers of links, word after word, and where each word's begin.
+        self.flat = {name: array("i") for name in ("a", "b", "links")}
+        self.first = {name: array("q", [0]) for name in self.flat}
+
+    def _align(self, a: tuple, b: tuple) -> tuple[str, int, tuple]:
+        """A window's groups between shared ends as text, their number, and the links: all pairs of tokens that share bytes."""
+        size_a, size_b = self.sizes
+        said, numbers, groups, links = self.said, self.numbers, [], []
+        i = j = 0
+        x, y = a[0], b[0]
+        ahead, group_a, group_b = size_a[x] - size_b[y], said[x], said[y]
+        while True:
+            # What lies up to the nearer end is in exactly these two tokens.
+            links.append(numbers.setdefault(x << 32 | y, len(numbers)))
+            if ahead < 0:
+                i += 1
+                x = a[i]
+                ahead += size_a[x]
+                group_a += "," + said[x]
+            elif ahead > 0:
+                j += 1
+                y = b[j]
+                ahead -= size_b[y]
+                group_b += "," + said[y]
+            else:
+                groups.append(group_a + "|" + group_b)
+                i, j = i + 1, j + 1
+                if i == len(a):
+                    return ";".join(groups), len(groups), tuple(links)
+                x, y = a[i], b[j]
+                ahead, group_a, group_b = size_a[x] - size_b[y], said[x], said[y]
+
+    def _cut(self, a: list[int], b: list[int]):
+        """The windows of a word: cut at shared ends where the next tokens of both begin with a space."""
+        (size_a, size_b), (space_a, space_b) = self.sizes, self.spaced
+        i = j = from_a = from_b = ahead = 0
+        while i < len(a):
+            if ahead <= 0:
+                ahead += size_a[a[i]]
+                i += 1
+            while ahead > 0:
+                ahead -= size_b[b[j]]
+                j += 1
+            if not ahead and (i == len(a) or space_a[a[i]] and space_b[b[j]]):
+                yield tuple(a[from_a:i]), tuple(b[from_b:j])
+                from_a, from_b = i, j
+
+    def _learn(self, words: list[bytes]) -> None:
+        gc.disable()  # what is remembered is much and has no cycles; looking through it for some takes almost half the time
+        try:
+            self._add(words)
+        finally:
+            gc.enable()
+
+    def _add(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        bytes_a, bytes_b = self.a.bytes, self.b.bytes
+        for word, a, b in zip(words, self.a.encode(texts), self.b.encode(texts)):
+            self.words[word] = len(self.texts)
+            fine = word == b"".join([bytes_a[i] for i in a]) == b"".join([bytes_b[i] for i in b])
+            said, count = [], 0
+            if fine:
+                # Most words have no further space, so they are one window.
+                for key in ((tuple(a), tuple(b)),) if word.rfind(b" ") == 0 else self._cut(a, b):
+                    window = self.windows.get(key)
+                    if window is None:
+                        window = self.windows[key] = self._align(*key)
+                    said.append(window[0])
+                    count += window[1]
+                    self.flat["links"].extend(window[2])
+                self.flat["a"].extend(a)
+                self.flat["b"].extend(b)
+            self.texts.append(";".join(said))
+            self.n_groups.append(count)
+            self.bad.append(not fine)
+            for name, first in self.first.items():
+                first.append(len(self.flat[name]))
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> "Block":
+        if len(self.words) > MEMO_WORDS or len(self.flat["a"]) > MEMO_IDS:
             self.forget()
-        a, b, n_a, n_b = self._tokens(data, offsets)
-        if not len(a):
-            return a, b, n_a, n_b, np.zeros(0, np.int64), np.zeros(len(n_a), np.int64)
-        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        # Shared ends; every text begins with a space, so the end of a text is an anchor too.
-        last_b = np.searchsorted(end_b, end_a)
-        last_a = np.flatnonzero(end_b[last_b] == end_a)
-        last_b = last_b[last_a]
-        anchor = np.append(self.space_a[a[last_a[:-1] + 1]] & self.space_b[b[last_b[:-1] + 1]], True)
-        last_a, last_b = last_a[anchor], last_b[anchor]
-        raw_a, raw_b, between = a.astype(np.uint32).tobytes(), b.astype(np.uint32).tobytes(), b"\xff" * 4
-        ends_a, ends_b = ((last_a + 1) * 4).tolist(), ((last_b + 1) * 4).tolist()
-        memo, windows = self.memo, array("q")
-        from_a = from_b = 0
-        for to_a, to_b in zip(ends_a, ends_b):
-            key = raw_a[from_a:to_a] + between + raw_b[from_b:to_b]
-            window = memo.get(key)
-            if window is None:
-                window = memo[key] = self._window(a[from_a // 4:to_a // 4].tolist(), b[from_b // 4:to_b // 4].tolist())
-            windows.append(window)
-            from_a, from_b = to_a, to_b
-        per_text = np.diff(np.searchsorted(last_a + 1, np.concatenate(([0], np.cumsum(n_a))), side="right"))
-        return a, b, n_a, n_b, np.frombuffer(windows, np.int64), per_text
+        raw = data.tobytes()
+        spaced = [b" " + raw[i:j] if j > i else b"" for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        raw = b"".join(spaced)
+        data, offsets = np.frombuffer(raw, np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in spaced], dtype=np.int64)))
+        at = word_starts(data, offsets) if self.b.by_word else offsets[:-1][np.diff(offsets) > 0]
+        end = np.append(at[1:], len(data)) if len(at) else at
+        _, one, where = np.unique(tx.span_hashes(data, at, end), return_index=True, return_inverse=True)
+        distinct = [raw[i:j] for i, j in zip(at[one].tolist(), end[one].tolist())]
+        self._learn([w for w in distinct if w not in self.words])
+        number = np.array([self.words[w] for w in distinct], np.int64)[where]
+        return Block(self, number, np.diff(np.searchsorted(at, offsets)))
+
+
+class Block:
+    """The words of some texts by their number with the aligner; a text with a word whose bytes do not come back has none."""
+
+    def __init__(self, aligner: Aligner, words: np.ndarray, counts: np.ndarray):
+        self.aligner = aligner
+        owner = np.repeat(np.arange(len(counts)), counts)
+        bad = np.zeros(len(counts), bool)
+        bad[owner[np.frombuffer(aligner.bad, np.int8)[words] != 0]] = True
+        self.words, self.owner = words[~bad[owner]], owner[~bad[owner]]
+        self.counts = np.where(bad, 0, counts)
+
+    def add(self, of: np.ndarray) -> np.ndarray:
+        """Sum over the words of each text."""
+        return np.bincount(self.owner, of, len(self.counts)).astype(np.int64)
+
+    def flat(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """What the words have, one after the other, and how many there are of each word."""
+        first = np.frombuffer(self.aligner.first[name], np.int64)
+        begin, many = first[self.words], (first[1:] - first[:-1])[self.words]
+        end = np.cumsum(many)
+        return np.frombuffer(self.aligner.flat[name], np.int32)[np.repeat(begin - end + many, many) + np.arange(many.sum())], many
+
+    def n_groups(self) -> np.ndarray:
+        return self.add(np.frombuffer(self.aligner.n_groups, np.int32)[self.words])
+
+    def texts(self) -> list[str]:
+        """The groups of each text."""
+        edge, listed, said = np.concatenate(([0], np.cumsum(self.counts))).tolist(), self.words.tolist(), self.aligner.texts
+        return [";".join([said[w] for w in listed[i:j]]) for i, j in zip(edge[:-1], edge[1:])]
 
 
 @functools.lru_cache(1)
@@ -215,25 +235,18 @@ class _Shard:
         self.pairs, self.times = [], []
 
     def add(self, doc_id: pa.Array, aligner: Aligner, data: np.ndarray, offsets: np.ndarray) -> None:
-        _, _, n_a, n_b, windows, per_text = aligner.block(data, offsets)
-        texts, edge = aligner.texts, np.concatenate(([0], np.cumsum(per_text))).tolist()
-        listed = windows.tolist()
-        digests = [hashlib.sha256(";".join(map(texts.__getitem__, listed[i:j])).encode()).hexdigest() if j > i else "" for i, j in zip(edge[:-1], edge[1:])]
-        owner = np.repeat(np.arange(len(per_text)), per_text)
-        first = np.frombuffer(aligner.first, np.int64)
-        many = (first[1:] - first[:-1])[windows]
-        end = np.cumsum(many)
-        link = np.frombuffer(aligner.links, np.int32)[np.repeat(first[windows] - end + many, many) + np.arange(many.sum())]
+        block = aligner.block(data, offsets)
+        digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in block.texts()]
+        links, many = block.flat("links")
         width = max(1, len(aligner.numbers))
-        held, times = np.unique(np.repeat(owner, many) * width + link, return_counts=True)
-        pairs = np.fromiter(aligner.numbers, np.int64, len(aligner.numbers))[held % width]
-        add = lambda of: np.bincount(owner, of, len(per_text)).astype(np.int64)
-        new = {"n_a": n_a, "n_b": n_b, "n_groups": add(np.frombuffer(aligner.n_groups, np.int32)[windows]), "n_links": add(many), "groups_sha256": digests,
-               "n_pairs": np.bincount(held // width, minlength=len(per_text))}
+        held, times = np.unique(np.repeat(block.owner, many) * width + links, return_counts=True)
+        per_text = lambda name: block.add(block.flat(name)[1])
+        new = {"n_a": per_text("a"), "n_b": per_text("b"), "n_groups": block.n_groups(), "n_links": block.add(many), "groups_sha256": digests,
+               "n_pairs": np.bincount(held // width, minlength=len(offsets) - 1)}
         for n, values in new.items():
             self.per_doc[n].append(values)
         self.doc_id.append(doc_id)
-        self.pairs.append(pairs)
+        self.pairs.append(np.fromiter(aligner.numbers, np.int64, len(aligner.numbers))[held % width])
         self.times.append(times)
         self.bytes += len(data)
         self.docs += len(doc_id)
@@ -264,16 +277,15 @@ def align(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
         aligner = _aligner(byte_level, pieces)
         for batch in batches:
             for at, end, data, offsets in tx.blocks(batch.column("text")):
-                a, b, n_a, n_b, windows, per_text = aligner.block(data, offsets)
-                cuts: list[list[list[int]]] = [[], []]
-                edge = np.concatenate(([0], np.cumsum(per_text))).tolist()
-                for i, j in zip(edge[:-1], edge[1:]):
-                    groups = [g.split("|") for w in windows[i:j].tolist() for g in aligner.texts[w].split(";")]
-                    for side in (0, 1):
-                        cuts[side].append(np.cumsum([g[side].count(",") + 1 for g in groups], dtype=np.int64))
-                ends = [tx.ragged(np.concatenate(x or [np.zeros(0)]), [len(y) for y in x], pa.int32()) for x in cuts]
-                yield pa.record_batch([batch.column("doc_id").slice(at, end - at), tx.ragged(a, n_a, pa.int32()), tx.ragged(b, n_b, pa.int32()), *ends],
-                                      ["doc_id", "a", "b", "group_a", "group_b"])
+                block = aligner.block(data, offsets)
+                lists = []
+                for name in "ab":
+                    ids, many = block.flat(name)
+                    lists.append(tx.ragged(ids, block.add(many), pa.int32()))
+                for side in (0, 1):
+                    ends = [np.cumsum([g.split("|")[side].count(",") + 1 for g in t.split(";")]) if t else np.zeros(0, np.int64) for t in block.texts()]
+                    lists.append(tx.ragged(np.concatenate(ends), [len(x) for x in ends], pa.int32()))
+                yield pa.record_batch([batch.column("doc_id").slice(at, end - at), *lists], ["doc_id", "a", "b", "group_a", "group_b"])
     return _texts(docs).mapInArrow(tx.tidy_batches(run), "doc_id long, a array<int>, b array<int>, group_a array<int>, group_b array<int>")
 
 

@@ -76,13 +76,26 @@ def test_groups_are_given_back(spark, all_rows):
 
 def test_forgetting_changes_nothing(monkeypatch):
     import numpy as np
-    monkeypatch.setattr(alignment, "MEMO_IDS", 5)
     monkeypatch.setattr(alignment, "MEMO_WORDS", 2)
     aligner = alignment.Aligner(A, B)
-    for text in ("one two three, four", "two three, five", "one two three, four") * 2:
+    for text in ("one two three, four", "two three, five  six", "one two three, four") * 2:
         data = np.frombuffer(text.encode(), np.uint8)
-        a, b, n_a, n_b, windows, per_text = aligner.block(data, np.array([0, len(data)]))
-        assert ";".join(aligner.texts[w] for w in windows) == ";".join(by_hand(a.tolist(), b.tolist())[0]) and per_text.tolist() == [len(windows)]
+        block = aligner.block(data, np.array([0, len(data)]))
+        (x, y), = plain([text])
+        assert block.texts() == [";".join(by_hand(x, y)[0])] and block.flat("a")[0].tolist() == x and block.flat("b")[0].tolist() == y
+
+
+def test_whole_texts_where_pieces_reach_over_words(all_rows):
+    """Without cuts at words the results are the same."""
+    import numpy as np
+    texts = [t for _, t in all_rows if t]
+    aligner, whole = alignment.Aligner(A, B), alignment.Aligner(A, B)
+    whole.b.by_word = False
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    one, other = aligner.block(data, offsets), whole.block(data, offsets)
+    assert one.texts() == other.texts() and one.n_groups().tolist() == other.n_groups().tolist()
+    assert sorted(one.flat("b")[0].tolist()) == sorted(other.flat("b")[0].tolist())
 
 
 def test_a_million_blanks_and_one_long_word(spark):
