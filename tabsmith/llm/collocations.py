@@ -6,13 +6,16 @@ that of its first symbols (its right extension), so each n-gram is met with its
 grows from a parent that cannot be frequent.  Counts are summed across shards; scores and the rule of contained phrases
 are joins over the table of frequent phrases.
 
-A phrase is no more frequent than its parts.  So words are counted first and then pairs, and what is known to be
-frequent goes back to the shards as a Bloom filter of bounded size.  A filter never loses a frequent part; where it is
-too full it lets more through, which costs work but changes no count.
+A phrase is no more frequent than its parts.  So words are counted first, then pairs, then phrases of three words and
+so on; what is known to be frequent goes back to the shards as a Bloom filter of bounded size, one for each length.  On
+the way up only hashes are counted, packed by bucket, some three bytes for each phrase of a shard.  The last pass counts
+the phrases themselves that all filters let through.  A filter never loses a frequent phrase; what it lets through beyond
+these costs work and is dropped by the last pass, which is exact.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +29,8 @@ from tabsmith.llm import text as tx
 # Words in one FM-index, about, and bytes of text whose distinct words are counted together.
 SHARD_WORDS = 1 << 20
 WORD_BYTES = 8 << 20
+# Hashes that a bucket counts in memory at once, about, and their bits inside a bucket.
+BUCKET_KEYS, LOW_BITS = 4_000_000, 32
 # Bits of a filter: sixteen for each key, up to 16 MB.
 MOST_BITS = 1 << 27
 # Parts in which the best phrases of a language are ranked first.
@@ -93,7 +98,7 @@ class Filter:
         return (both >> np.uint64(6) & np.uint64(size - 1)).astype(np.int64), np.uint64(1) << (both & np.uint64(63))
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        slot, bit = self.places(keys, len(self.slots))
+        slot, bit = self.places(tx.mix(keys), len(self.slots))
         return (self.slots[slot] & bit != 0).reshape(2, -1).all(axis=0)
 
 
@@ -105,35 +110,41 @@ def phrase_keys(words: np.ndarray) -> np.ndarray:
     return key
 
 
-def _filter(rows: DataFrame, columns: list[str]) -> Filter:
-    """Filter of the phrases in ``columns``; its slots come to the driver, whatever the rows at most ``MOST_BITS``."""
-    size = 1 << 10
-    wanted = min(16 * rows.count(), MOST_BITS) // 64
+def _filter(keys: DataFrame) -> Filter:
+    """Filter of the keys (column ``key``); its slots come to the driver, whatever the rows at most ``MOST_BITS``."""
+    size, wanted = 1, min(16 * keys.count(), MOST_BITS) // 64
     while size < wanted:
         size *= 2
 
     def run(batches):
         for batch in batches:
-            words = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.int64).view(np.uint64)
-            slot, bit = Filter.places(phrase_keys(words), size)
+            slot, bit = Filter.places(tx.mix(batch.column(0).to_numpy().view(np.uint64)), size)
             yield pa.record_batch([pa.array(slot), pa.array(bit.view(np.int64))], ["slot", "bits"])
-    found = rows.select(*columns).mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = keys.select("key").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     slots = np.zeros(size, np.uint64)
     slots[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return Filter(slots)
 
 
+def _hashes(column: pa.Array) -> np.ndarray:
+    names = column.dictionary_encode()
+    raw = [x.encode() for x in names.dictionary.to_pylist()]
+    ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
+    return tx.span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(x) for x in raw], ends)[names.indices.to_numpy()]
+
+
+def _keys(words: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """Key of each word in its language."""
+    return tx.mix(words + langs * _ODD)
+
+
 def _words(batch: pa.RecordBatch):
     """For each block of texts: its bytes in lower case, the words' starts, ends and keys, which begin a piece, and the first word of each text."""
-    lang = batch.column("lang").dictionary_encode()
-    names = [x.encode() for x in lang.dictionary.to_pylist()]
-    ends = np.cumsum([len(x) for x in names], dtype=np.int64)
-    salt = tx.span_hashes(np.frombuffer(b"".join(names), np.uint8), ends - [len(x) for x in names], ends)
-    of_row = salt[lang.indices.to_numpy()]
+    of_row = _hashes(batch.column("lang"))
     for at, end, data, offsets in tx.blocks(batch.column("text")):
         data = tx.LOWER[data]
         starts, ends, first = tx.spans(data, offsets, _WORD)
-        keys = tx.mix(tx.span_hashes(data, starts, ends) + np.repeat(of_row[at:end], np.diff(first)) * _ODD)
+        keys = _keys(tx.span_hashes(data, starts, ends), np.repeat(of_row[at:end], np.diff(first)))
         breaks = np.concatenate(([0], np.cumsum(_BREAK[data])))
         begins = np.ones(len(starts), bool)
         begins[1:] = breaks[starts[1:]] > breaks[ends[:-1]]
@@ -146,23 +157,22 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, key, f): how often each word stands in the texts of a language."""
+    """(lang, word, f): how often each word stands in the texts of a language."""
     def run(batches):
-        got: dict[tuple[str, bytes], list[int]] = {}
+        got: Counter = Counter()
         size = 0
 
         def rows():
-            keys, counts = zip(*got.values())
-            return pa.record_batch([pa.array([x for x, _ in got]), pa.array([w.decode() for _, w in got], pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())],
-                                   ["lang", "word", "key", "f"])
+            return pa.record_batch([pa.array([x for x, _ in got]), pa.array([w.decode() for _, w in got], pa.string()), pa.array(list(got.values()), pa.int64())],
+                                   ["lang", "word", "f"])
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for at, data, starts, ends, keys, _, first in _words(batch):
-                distinct, one, counts = np.unique(keys, return_index=True, return_counts=True)
+                _, one, counts = np.unique(keys, return_index=True, return_counts=True)
                 owner = (np.searchsorted(first, one, side="right") - 1 + at).tolist()
                 raw = data.tobytes()
-                for text, i, j, key, n in zip(owner, starts[one].tolist(), ends[one].tolist(), distinct.view(np.int64).tolist(), counts.tolist()):
-                    got.setdefault((langs[text], raw[i:j]), [key, 0])[1] += n
+                for text, i, j, n in zip(owner, starts[one].tolist(), ends[one].tolist(), counts.tolist()):
+                    got[langs[text], raw[i:j]] += n
                 size += len(data)
                 if size >= WORD_BYTES and got:
                     yield rows()
@@ -170,8 +180,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     size = 0
         if got:
             yield rows()
-    found = _texts(docs).mapInArrow(tx.tidy_batches(run), "lang string, word string, key long, f long")
-    return found.groupBy("lang", "word").agg(F.max("key").alias("key"), F.sum("f").alias("f"))
+    found = _texts(docs).mapInArrow(tx.tidy_batches(run), "lang string, word string, f long")
+    return found.groupBy("lang", "word").agg(F.sum("f").alias("f"))
+
+
+def _keyed(words: DataFrame) -> DataFrame:
+    """The words (lang, word, f) with their keys."""
+    def run(batches):
+        for batch in batches:
+            keys = _keys(_hashes(batch.column("word")), _hashes(batch.column("lang")))
+            yield pa.record_batch([*batch.columns, pa.array(keys.view(np.int64))], [*batch.schema.names, "key"])
+    return words.mapInArrow(run, "lang string, word string, f long, key long")
 
 
 def _index(keys: np.ndarray, begins: np.ndarray, depth: int) -> tuple[np.ndarray, FMIndex]:
@@ -182,61 +201,128 @@ def _index(keys: np.ndarray, begins: np.ndarray, depth: int) -> tuple[np.ndarray
     return np.concatenate((np.zeros(1, np.uint64), known)), FMIndex(text, depth)
 
 
-def _shards(words, batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of the words that the filter lets through, and which of them begin a run; single words are left out."""
-    got, size = [], 0
-    for batch in batches:
-        for _, _, _, _, keys, begins, _ in _words(batch):
-            at = np.flatnonzero(words.value.has(keys))
-            begin = begins[at]
-            begin[1:] |= at[1:] != at[:-1] + 1
-            begin[:1] = True
-            alone = begin & np.append(begin[1:], True)
-            got.append((keys[at[~alone]], begin[~alone]))
-            size += len(got[-1][0])
-            if size >= SHARD_WORDS:
-                yield tuple(map(np.concatenate, zip(*got)))
-                got, size = [], 0
-    if size:
-        yield tuple(map(np.concatenate, zip(*got)))
-
-
-def _counted(docs: DataFrame, sizes: range, words, pairs=None) -> DataFrame:
-    """(w0, w1, ..., f) of the phrases of these sizes, summed across shards; shorter phrases end in nulls."""
-    names, depth = [f"w{j}" for j in range(sizes[-1])], sizes[-1]
+def _cut(keys: np.ndarray, begins: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of at least ``shortest`` words."""
+    edge = np.append(np.flatnonzero(begins), len(keys))
+    long = np.repeat(np.diff(edge) >= shortest, np.diff(edge))
+    return keys[long], begins[long]
+
+
+class _Known:
+    """Filters of what is known to be frequent, by number of words, and how hashes are cut to keys."""
+
+    def __init__(self, buckets: int):
+        self.bits, self.filters, self.shard_words = buckets.bit_length() - 1, {}, SHARD_WORDS
+
+    def add(self, words: int, rows: DataFrame) -> None:
+        self.filters[words] = rows.sparkSession.sparkContext.broadcast(_filter(rows))
+
+    def key(self, words: np.ndarray) -> np.ndarray:
+        """Bucket and low bits of the phrases in the rows of ``words``, as one number."""
+        return phrase_keys(words) >> np.uint64(64 - LOW_BITS - self.bits)
+
+    def may_be(self, words: np.ndarray) -> np.ndarray:
+        n = words.shape[1]
+        return self.filters[n].value.has(self.key(words)) if n in self.filters else np.ones(len(words), bool)
+
+    def shards(self, batches, shortest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys of words in runs that the filters of words and pairs let through, and which of them begin a run."""
+        got, size = [], 0
+        for batch in batches:
+            for _, _, _, _, keys, begins, _ in _words(batch):
+                at = np.flatnonzero(self.filters[1].value.has(keys))
+                begin, keys = begins[at], keys[at]
+                begin[1:] |= at[1:] != at[:-1] + 1
+                begin[:1] = True
+                if 2 in self.filters and len(keys) > 1:
+                    begin[1:] |= ~self.may_be(np.column_stack((keys[:-1], keys[1:])))
+                got.append(_cut(keys, begin, shortest))
+                size += len(got[-1][0])
+                if size >= self.shard_words:
+                    yield tuple(map(np.concatenate, zip(*got)))
+                    got, size = [], 0
+        if size:
+            yield tuple(map(np.concatenate, zip(*got)))
+
+    def patterns(self, batches, longest: int, shortest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Word keys and counts of the phrases of each shard that the filters let through, a length at a time."""
+        for keys, begins in self.shards(batches, shortest):
+            known, index = _index(keys, begins, longest)
+            for symbols, counts in index.intervals(longest, lambda s: self.may_be(known[s])):  # noqa: B023
+                yield known[symbols], counts
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers by planes of their bytes."""
+    planes = values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _often(docs: DataFrame, words: int, known: _Known, least: int) -> DataFrame:
+    """Keys of the phrases of ``words`` words that stand at least ``least`` times, and of some that share a key with others."""
+    def send(batches):
+        for found, counts in known.patterns(batches, words, words):
+            if found.shape[1] < words or not len(found):
+                continue
+            key = known.key(found)
+            order = np.argsort(key)
+            key, counts = key[order], counts[order]
+            bucket = key >> np.uint64(LOW_BITS)
+            there, first = np.unique(bucket, return_index=True)
+            cut = [*first.tolist(), len(key)]
+            low = (key & np.uint64((1 << LOW_BITS) - 1)).astype(np.int64)
+            yield pa.record_batch(
+                [pa.array(there.astype(np.int64)), pa.array([_packed(np.diff(low[i:j], prepend=0)) for i, j in zip(cut[:-1], cut[1:])], pa.binary()),
+                 pa.array([_packed(counts[i:j]) for i, j in zip(cut[:-1], cut[1:])], pa.binary())], ["bucket", "low", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        low = np.concatenate([np.cumsum(_unpacked(x), dtype=np.int64) for x in table.column("low").to_pylist()])
+        counts = np.concatenate([_unpacked(x) for x in table.column("counts").to_pylist()]).astype(np.int64)
+        order = np.argsort(low)
+        low, counts = low[order], counts[order]
+        first = np.flatnonzero(np.diff(low, prepend=-1))
+        keys = low[first[np.add.reduceat(counts, first) >= least]] + (table.column("bucket")[0].as_py() << LOW_BITS)
+        return pa.table({"key": pa.array(keys)})
+    sent = _texts(docs).mapInArrow(tx.tidy_batches(send), "bucket long, low binary, counts binary")
+    return sent.groupBy("bucket").applyInArrow(tx.tidy_table(add), "key long")
+
+
+def _counted(docs: DataFrame, longest: int, known: _Known) -> DataFrame:
+    """(w0, w1, ..., f) of the phrases that the filters let through, summed across shards; shorter phrases end in nulls."""
+    names = [f"w{j}" for j in range(longest)]
 
     def run(batches):
-        for keys, begins in _shards(words, batches):
-            known, index = _index(keys, begins, depth)
-            may = None if pairs is None else lambda s: pairs.value.has(phrase_keys(known[s])) if s.shape[1] == 2 else np.ones(len(s), bool)  # noqa: B023
-            for symbols, counts in index.intervals(depth, may):
-                if symbols.shape[1] in sizes and len(symbols):
-                    found = known[symbols].view(np.int64)
-                    none = pa.nulls(len(found), pa.int64())
-                    yield pa.record_batch([*(pa.array(found[:, j]) if j < found.shape[1] else none for j in range(depth)), pa.array(counts)], [*names, "f"])
+        for words, counts in known.patterns(batches, longest, 2):
+            if len(words):
+                found, none = words.view(np.int64), pa.nulls(len(words), pa.int64())
+                yield pa.record_batch([*(pa.array(found[:, j]) if j < found.shape[1] else none for j in range(longest)), pa.array(counts)], [*names, "f"])
     found = _texts(docs).mapInArrow(tx.tidy_batches(run), ", ".join(f"{n} long" for n in names) + ", f long")
     return found.groupBy(*names).agg(F.sum("f").alias("f"))
 
 
+def _buckets(spark, words: int) -> int:
+    """How many buckets keep each to ``BUCKET_KEYS``, a power of two."""
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // BUCKET_KEYS))
+    return 1 << (wanted - 1).bit_length()
+
+
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables of what stands at least ``least`` times: phrases (phrase: word keys, f), words (lang, word, key, f); and totals (lang, n) of all words."""
-    spark = docs.sparkSession
+    """Tables of what stands at least ``least`` times: phrases (phrase: word keys, f), words (lang, word, f, key); and totals (lang, n) of all words."""
     every = cut_lineage(word_counts(docs))
     totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = cut_lineage(every.where(F.col("f") >= least))
-    known = spark.sparkContext.broadcast(_filter(words, ["key"]))
-    levels = [words.select(F.array("key").alias("phrase"), "f")]
-    pairs = cut_lineage(_counted(docs, range(2, 3), known).where(F.col("f") >= least))
-    levels.append(pairs.select(F.array("w0", "w1").alias("phrase"), "f"))
-    if longest > 2:
-        links = spark.sparkContext.broadcast(_filter(pairs, ["w0", "w1"]))
-        longer = _counted(docs, range(3, longest + 1), known, links).where(F.col("f") >= least)
-        names = [f"w{j}" for j in range(longest)]
-        levels.append(cut_lineage(longer.select(F.array_compact(F.array(*names)).alias("phrase"), "f")))
-    phrases = levels[0]
-    for level in levels[1:]:
-        phrases = phrases.unionAll(level)
-    return phrases, words, totals
+    words = cut_lineage(_keyed(every.where(F.col("f") >= least)))
+    known = _Known(_buckets(docs.sparkSession, every.agg(F.sum("f")).first()[0] or 0))
+    known.add(1, words)
+    for size in range(2, longest + 1):
+        known.add(size, cut_lineage(_often(docs, size, known, least)))
+    phrases = cut_lineage(_counted(docs, longest, known).where(F.col("f") >= least))
+    phrases = phrases.select(F.array_compact(F.array(*(f"w{j}" for j in range(longest)))).alias("phrase"), "f")
+    return words.select(F.array("key").alias("phrase"), "f").unionAll(phrases), words, totals
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
