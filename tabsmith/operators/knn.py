@@ -8,7 +8,8 @@ whose nearest possible point is farther are skipped.  What remains is an equi-jo
 crowded a cell is.  The k best per block are merged per query.
 
 Distances are euclidean over coordinates present on both sides, scaled up by
-total / shared coordinates, so vectors may have gaps.
+total / shared coordinates, so vectors may have gaps; or, by ``metric="chebyshev"``, the
+largest difference of a coordinate present on both sides.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def _cells_of(x: np.ndarray, dims: np.ndarray, cuts: np.ndarray, depth: int) ->
     return node - ((1 << depth) - 1)
 
 
-def block_distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+def block_distances(q: np.ndarray, d: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     """Distances of every query to every donor of one block; NaN where nothing is shared."""
     out = np.empty((len(q), len(d)))
     dims = q.shape[1]
@@ -68,7 +69,10 @@ def block_distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     step = max(1, 4_000_000 // max(1, len(d) * dims))
     for s in range(0, len(q), step):
         diff = q[s:s + step, None, :] - d[None, :, :]
-        if gaps:
+        if metric == "chebyshev":
+            ok = ~np.isnan(diff)
+            out[s:s + step] = np.where(ok.any(axis=2), np.where(ok, np.abs(diff), -np.inf).max(axis=2), np.nan)
+        elif gaps:
             ok = ~np.isnan(diff)
             n = ok.sum(axis=2)
             total = np.where(ok, diff * diff, 0.0).sum(axis=2)
@@ -79,7 +83,7 @@ def block_distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return out
 
 
-def _visits(x: np.ndarray, boxes: dict, k: int) -> list[list[int]]:
+def _visits(x: np.ndarray, boxes: dict, k: int, metric: str = "euclidean") -> list[list[int]]:
     """Cells that can hold one of the k nearest donors of each query."""
     lo, hi, holes, full, ids = boxes["lo"], boxes["hi"], boxes["holes"], boxes["full"], boxes["ids"]
     dims = x.shape[1]
@@ -94,9 +98,12 @@ def _visits(x: np.ndarray, boxes: dict, k: int) -> list[list[int]]:
         far = np.maximum(np.abs(v - lo[None]), np.abs(hi[None] - v))
         use_near = seen[:, None, :] & ~holes[None]
         use_far = seen[:, None, :]
-        near2 = np.where(use_near, near * near, 0.0).sum(axis=2) * dims / n_seen
         # Only complete donors count towards the upper bound.
-        far2 = np.where(use_far, far * far, 0.0).sum(axis=2) * dims / n_seen
+        if metric == "chebyshev":
+            near2, far2 = (np.where(use, x, 0.0).max(axis=2) for use, x in ((use_near, near), (use_far, far)))
+        else:
+            near2 = np.where(use_near, near * near, 0.0).sum(axis=2) * dims / n_seen
+            far2 = np.where(use_far, far * far, 0.0).sum(axis=2) * dims / n_seen
         for i in range(len(q)):
             order = np.argsort(far2[i], kind="stable")
             reach = np.cumsum(full[order])
@@ -107,7 +114,7 @@ def _visits(x: np.ndarray, boxes: dict, k: int) -> list[list[int]]:
 
 
 def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool = False,
-             cell_rows: int = CELL_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+             cell_rows: int = CELL_ROWS, query_rows: int = QUERY_ROWS, metric: str = "euclidean") -> DataFrame:
     """``(q_id, d_id, distance, rank)`` of the k nearest donors of each query, ties by id.
 
     Inputs have ``id`` (a long on the donor side) and ``vec array<double>``.
@@ -161,7 +168,7 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def visits(vectors: pd.Series) -> pd.Series:
-        return pd.Series(_visits(_matrix(vectors), boxes, wanted))
+        return pd.Series(_visits(_matrix(vectors), boxes, wanted, metric))
 
     asked = queries.withColumn("cell", F.explode(visits("q_vec")))
     load = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
@@ -185,7 +192,7 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
         if not len(q) or not len(d):
             return empty
         qi, di = q["q_id"].to_numpy(), d["d_id"].to_numpy()
-        dist = block_distances(_matrix(q["q_vec"]), _matrix(d["d_vec"]))
+        dist = block_distances(_matrix(q["q_vec"]), _matrix(d["d_vec"]), metric)
         value = d["value"].to_numpy(dtype=float) if extra else None
         if exclude_self:
             dist[qi[:, None] == di[None, :]] = np.nan

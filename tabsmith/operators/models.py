@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.session import cut_lineage
+from tabsmith.functions.space import Choice, Real, Space, Whole
+from tabsmith.operators.boosting import BoostedModel, Boosting, fit_boosting
 from tabsmith.operators.knn import knn_join
 
 KEEP = ("prediction", "probability")
@@ -40,21 +42,15 @@ class Task:
 
 @dataclass
 class Family:
+    """``space`` has the ranges that a search draws from; without one the defaults are used."""
+
     name: str
     fit: Callable[[DataFrame, Task, dict], Any]
     defaults: dict = field(default_factory=dict)
-    space: Callable[[np.random.Generator], dict] | None = None
+    space: Space | None = None
     slow: bool = False
 
 
-def _log_uniform(rng: np.random.Generator, lo: float, hi: float) -> float:
-    return float(math.exp(rng.uniform(math.log(lo), math.log(hi))))
-
-
-def _step(rng: np.random.Generator, lo: int, hi: int, step: int = 1) -> int:
-    return int(lo + step * rng.integers(0, (hi - lo) // step + 1))
-
-
 def _weights(task: Task) -> dict:
     return {"weightCol": "weight"} if task.weighted else {}
 
@@ -88,6 +84,13 @@ def _fit_boosting(df: DataFrame, task: Task, p: dict):
     return OneVsRest(classifier=mlc.GBTClassifier(**common), parallelism=min(4, task.classes), **_weights(task)).fit(df)
 
 
+def _fit_histogram(df: DataFrame, task: Task, p: dict) -> BoostedModel:
+    """One booster for all classes; levels alone bound the tree unless ``leaves`` is given."""
+    return fit_boosting(df, max(2, task.classes) if task.classification else 0, Boosting(
+        p["trees"], p["max_depth"], p.get("leaves") or 2 ** p["max_depth"], p["learning_rate"], l1=p.get("l1", 0.0), l2=p.get("l2", 1.0),
+        min_rows=p.get("min_rows", 1), rows=p.get("subsample", 1.0), columns=p.get("columns", 1.0), oblivious=p.get("oblivious", False)))
+
+
 def _fit_svm(df: DataFrame, task: Task, p: dict):
     svc = mlc.LinearSVC(regParam=1.0 / (p["C"] * max(task.rows, 1)), maxIter=100, standardization=False)
     if task.classes <= 2:
@@ -186,27 +189,30 @@ def _fit_knn(df: DataFrame, task: Task, p: dict) -> KnnModel:
 
 
 def registry(classification: bool, fast: bool = False) -> dict[str, Family]:
-    """Families by name; ``fast`` leaves out the slow ones."""
+    """Families by name; ``fast`` leaves out the slow ones.  The ranges of the search spaces are fixed values."""
+    rate, share, penalty = Real(1e-3, 0.3, log=True), Real(0.5, 1.0), Real(1e-8, 10.0, log=True)
     fams = [
-        Family("logistic_regression", _fit_logistic, {"C": 1.0}, lambda r: {"C": _log_uniform(r, 1e-4, 100.0)})
+        Family("logistic_regression", _fit_logistic, {"C": 1.0}, {"C": Real(1e-4, 100.0, log=True)})
         if classification else
-        Family("ridge", _fit_ridge, {"alpha": 1.0}, lambda r: {"alpha": _log_uniform(r, 1e-3, 100.0)}),
-        Family("random_forest", _fit_forest, {"trees": 50, "max_depth": 10}, lambda r: {
-            "trees": _step(r, 50, 400, 50), "max_depth": _step(r, 3, 25), "min_rows": _step(r, 1, 10),
-            "max_features": str(r.choice(["sqrt", "log2"]))}),
-        Family("gradient_boosting", _fit_boosting, {"trees": 50, "max_depth": 3, "learning_rate": 0.1}, lambda r: {
-            "trees": _step(r, 50, 300, 50), "max_depth": _step(r, 2, 7), "learning_rate": _log_uniform(r, 1e-3, 0.3),
-            "subsample": float(r.uniform(0.5, 1.0))}),
-        Family("knn", _fit_knn, {"k": 5}, lambda r: {
-            "k": _step(r, 3, 30), "weights": str(r.choice(["uniform", "distance"]))}),
+        Family("ridge", _fit_ridge, {"alpha": 1.0}, {"alpha": Real(1e-3, 100.0, log=True)}),
+        Family("random_forest", _fit_forest, {"trees": 50, "max_depth": 10}, {
+            "trees": Whole(50, 400, step=50), "max_depth": Whole(3, 25), "min_rows": Whole(1, 10), "max_features": Choice(("sqrt", "log2"))}),
+        Family("gradient_boosting", _fit_boosting, {"trees": 50, "max_depth": 3, "learning_rate": 0.1}, {
+            "trees": Whole(50, 300, step=50), "max_depth": Whole(2, 7), "learning_rate": rate, "subsample": share}),
+        Family("histogram_boosting", _fit_histogram, {"trees": 100, "max_depth": 6, "learning_rate": 0.3}, {
+            "trees": Whole(100, 500, step=100), "max_depth": Whole(3, 9), "learning_rate": rate, "subsample": share, "columns": share, "l1": penalty}, slow=True),
+        Family("leafwise_boosting", _fit_histogram, {"trees": 100, "max_depth": 9, "leaves": 31, "learning_rate": 0.1, "l2": 0.0, "min_rows": 20}, {
+            "trees": Whole(100, 500, step=100), "max_depth": Whole(3, 9), "learning_rate": rate, "leaves": Whole(20, 150), "subsample": share, "l1": penalty}, slow=True),
+        Family("level_boosting", _fit_histogram, {"trees": 100, "max_depth": 6, "learning_rate": 0.1, "l2": 3.0, "oblivious": True}, {
+            "trees": Whole(100, 500, step=100), "max_depth": Whole(3, 8), "learning_rate": rate, "l2": Real(1.0, 10.0)}, slow=True),
+        Family("knn", _fit_knn, {"k": 5}, {"k": Whole(3, 30), "weights": Choice(("uniform", "distance"))}),
     ]
     if classification:
-        hidden = [[64], [128], [256], [128, 64], [256, 128]]
         fams += [
             Family("adaboost", _fit_adaboost, {"rounds": 100}),
             Family("naive_bayes", _fit_bayes),
-            Family("svm", _fit_svm, {"C": 1.0}, lambda r: {"C": _log_uniform(r, 1e-3, 100.0)}, slow=True),
-            Family("mlp", _fit_mlp, {"hidden": [64]}, lambda r: {"hidden": hidden[int(r.integers(len(hidden)))]}, slow=True),
+            Family("svm", _fit_svm, {"C": 1.0}, {"C": Real(1e-3, 100.0, log=True)}, slow=True),
+            Family("mlp", _fit_mlp, {"hidden": (64,)}, {"hidden": Choice(((64,), (128,), (256,), (128, 64), (256, 128)))}, slow=True),
         ]
     return {f.name: f for f in fams if not (fast and f.slow)} | {
         n: f for n, f in CUSTOM.items() if f.name not in {x.name for x in fams}}
@@ -223,8 +229,8 @@ def register_model(family: Family) -> None:
 # Names that users give to the families.
 ALIASES = {
     "neural_net": "mlp", "neural_network": "mlp", "mlp": "mlp", "gradient_boosting": "gradient_boosting",
-    "xgboost": "gradient_boosting", "lightgbm": "gradient_boosting", "lgbm": "gradient_boosting",
-    "catboost": "gradient_boosting", "random_forest": "random_forest", "extra_trees": "random_forest",
+    "xgboost": "histogram_boosting", "lightgbm": "leafwise_boosting", "lgbm": "leafwise_boosting",
+    "catboost": "level_boosting", "random_forest": "random_forest", "extra_trees": "random_forest",
     "adaboost": "adaboost", "svm": "svm", "knn": "knn", "naive_bayes": "naive_bayes",
     "logistic_regression": "linear", "linear": "linear", "linear_regression": "linear", "lasso": "linear", "ridge": "linear",
 }

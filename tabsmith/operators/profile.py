@@ -21,7 +21,7 @@ from tabsmith.functions.expr import (
 from tabsmith.operators.correlation import (
     multicollinear, pearson_pairs, spearman_pairs, target_correlations, top_correlations,
 )
-from tabsmith.operators.information import mutual_information
+from tabsmith.operators.information import mutual_information, neighbour_information
 from tabsmith.operators.roles import MAX_CLASSES, distinct_counts, screened_distinct_counts
 from tabsmith.operators.stats import (
     ColumnSummary, clean_values, conditional_counts, null_counts, report, summarize,
@@ -309,8 +309,11 @@ class TableProfile:
         return top_correlations(self.correlations.where(
             (F.col("f1") != self.target) & (F.col("f2") != self.target)), k)
 
-    def mutual_information(self, bins: int = 10) -> DataFrame:
+    def mutual_information(self, bins: int = 10, neighbours: int = 0) -> DataFrame:
+        """Binned at exact quantiles; with ``neighbours`` from distances to the k-th nearest neighbour."""
         features = [c for c in self.numeric if c != self.target]
+        if neighbours:
+            return neighbour_information(self.df, features, self.target, self.target_is_discrete, neighbours)
         return mutual_information(self.df, features, self.target, self.target_is_discrete, bins)
 
     # scores and findings ------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.expr import as_double, numeric_columns, ref
 from tabsmith.operators.features import date_part_columns
 from tabsmith.operators.fitted import ColumnEstimator, FittedColumns
-from tabsmith.operators.information import mutual_information
+from tabsmith.operators.information import mutual_information, neighbour_information
 from tabsmith.operators.stats import summarize
 
 
@@ -38,11 +38,12 @@ def low_variance(df: DataFrame, cols: Sequence[str], threshold: float = 1e-5) ->
     return [c for c, s in stats.items() if not s.n or s.m2 / s.n <= threshold]
 
 
-def best_by_information(df: DataFrame, cols: Sequence[str], target: str, k: int, classification: bool) -> list[str]:
-    """The k columns with most mutual information, in input order."""
+def best_by_information(df: DataFrame, cols: Sequence[str], target: str, k: int, classification: bool, estimator: str = "bins") -> list[str]:
+    """The k columns with most mutual information, in input order; ``estimator`` is ``bins`` or ``neighbours``."""
     if k >= len(cols):
         return list(cols)
-    scores = {r["feature"]: r["mi"] for r in mutual_information(df, cols, target, classification).collect()}
+    measure = {"bins": mutual_information, "neighbours": neighbour_information}[estimator]
+    scores = {r["feature"]: r["mi"] for r in measure(df, cols, target, classification).collect()}
     ranked = sorted(cols, key=lambda c: (-scores.get(c, 0.0), cols.index(c)))[:k]
     return [c for c in cols if c in ranked]
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import factorial
+
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabsmith.operators import explain
+from tabsmith.operators import explain, tree_shapley
 from tabsmith.operators.models import Task, registry
 from tabsmith.operators.stats import round_doubles, summarize
+from tabsmith.operators.trees import Tree
 from tabsmith.plans.catalogue import query, table
 from tabsmith.plans.catalogue.modelling import trained
 
@@ -49,6 +54,64 @@ def shap_sampled(spark, sf_dir):
     return round_doubles(explain.mean_abs_shapley(values), 6)
 
 
+# A tree with given splits: node -> (feature, threshold, left, right) or the value of a leaf.
+GIVEN_TREE = {0: ("l_quantity", 24.0, 1, 2), 1: ("l_discount", 0.04, 3, 4), 2: ("l_tax", 0.03, 5, 6), 3: 1.0, 4: 2.5, 5: -1.0,
+              6: ("l_quantity", 40.0, 7, 8), 7: 0.5, 8: 4.0}
+
+
+def _coalition_sql(inside: tuple, node: int = 0) -> str:
+    """What the given tree says when only the features ``inside`` are known: others weigh both sides by their rows."""
+    if not isinstance(GIVEN_TREE[node], tuple):
+        return str(GIVEN_TREE[node])
+    column, at, left, right = GIVEN_TREE[node]
+    sides = _coalition_sql(inside, left), _coalition_sql(inside, right)
+    if column in inside:
+        return f"(case when {column} <= {at} then {sides[0]} else {sides[1]} end)"
+    return f"(s{node} * {sides[0]} + (1 - s{node}) * {sides[1]})"
+
+
+def _given_shares_sql(node: int = 0, way: str = "true") -> list[str]:
+    if not isinstance(GIVEN_TREE[node], tuple):
+        return []
+    column, at, left, right = GIVEN_TREE[node]
+    here = f"count(*) filter ({way} and {column} <= {at}) / count(*) filter ({way}) as s{node}"
+    return [here, *_given_shares_sql(left, f"{way} and {column} <= {at}"), *_given_shares_sql(right, f"{way} and {column} > {at}")]
+
+
+def _enumerated_sql(feature: str) -> str:
+    others = [c for c in COEFS if c != feature]
+    terms = [f"{factorial(k) * factorial(2 - k)} / 6.0 * ({_coalition_sql((*s, feature))} - {_coalition_sql(s)})" for k in range(3) for s in combinations(others, k)]
+    return " + ".join(terms)
+
+
+TREE_SQL = f"""with shares as (select {', '.join(_given_shares_sql())} from lineitem),
+  v as ({' union all '.join(f"select '{c}' as feature, {_enumerated_sql(c)} as value from lineitem, shares" for c in COEFS)})
+  select feature, round(avg(abs(value)), 6) as mean_abs_shap, round(avg(value), 6) as mean_shap, round(min(value), 6) as low, round(max(value), 6) as high from v group by feature"""
+
+
+def given_tree(df) -> Tree:
+    """The given splits with the rows of ``df`` counted in every node."""
+    way = {0: F.lit(True)}
+    for node, split in sorted(GIVEN_TREE.items()):
+        if isinstance(split, tuple):
+            way[split[2]], way[split[3]] = way[node] & (F.col(split[0]) <= split[1]), way[node] & (F.col(split[0]) > split[1])
+    cover = df.agg(*(F.count_if(way[n]).alias(f"n{n}") for n in sorted(way))).first()
+    inner = [GIVEN_TREE[n] if isinstance(GIVEN_TREE[n], tuple) else (None, 0.0, -1, -1) for n in sorted(GIVEN_TREE)]
+    names = list(COEFS)
+    return Tree(np.array([names.index(f) if f else -1 for f, *_ in inner]), np.array([t for _, t, *_ in inner]), np.array([x[2] for x in inner]),
+                np.array([x[3] for x in inner]), np.array([[0.0 if isinstance(GIVEN_TREE[n], tuple) else GIVEN_TREE[n]] for n in sorted(GIVEN_TREE)]),
+                np.array(list(cover), float))
+
+
+@query("tree_shapley", TREE_SQL)
+def exact_tree_shapley(spark, sf_dir):
+    """Exact values of a tree with given splits for every row; the SQL adds up all coalitions."""
+    model = tree_shapley.Ensemble([given_tree(table(spark, sf_dir, "lineitem"))], [0.0])
+    values = tree_shapley.tree_shapley(model, _vectors(spark, sf_dir), list(COEFS), ["row"])
+    return round_doubles(values.groupBy("feature").agg(
+        F.avg(F.abs("value")).alias("mean_abs_shap"), F.avg("value").alias("mean_shap"), F.min("value").alias("low"), F.max("value").alias("high")), 6)
+
+
 @query("local_surrogate")
 def local_surrogate(spark, sf_dir):
     df = _vectors(spark, sf_dir)

@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabsmith.operators import knn, metrics
+from tabsmith.operators import boosting, knn, metrics
 from tabsmith.operators.models import Task, registry, score
 from tabsmith.operators.profile import TableProfile
 from tabsmith.operators.stats import report, round_doubles
@@ -119,6 +119,54 @@ def ridge_fit(spark, sf_dir):
     return round_doubles(report(spark, [(float(model.coefficients[0]),)], "slope double"))
 
 
+def _best_split_sql(name: str, side: str) -> str:
+    """Best split of each group by second-order gain, from the cells of a frame with (out, side, j, v, g, h)."""
+    return f"""{name}_cells as (select out, {side} as side, j, v, sum(g) as g, sum(h) as h from {name}_long group by all),
+  {name}_sums as (select *, sum(g) over along as lg, sum(h) over along as lh, sum(g) over whole as tg, sum(h) over whole as th, count(*) over whole as bins,
+    row_number() over along as bin from {name}_cells window along as (partition by out, side, j order by v), whole as (partition by out, side, j)),
+  {name}_best as (select *, 0.5 * (lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1)) as gain from {name}_sums where bin < bins
+    qualify row_number() over (partition by out, side order by gain desc, j, v) = 1)"""
+
+
+def _long_sql(rows: str, keep: str) -> str:
+    return " union all ".join(f"select {keep}, {j} as j, x{j} as v, g, h from {rows}" for j in range(3))
+
+
+# Every feature has fewer distinct values than bins, so the bins are the values.
+FIRST_TREE_SQL = f"""with f as (select (dense_rank() over (order by l_returnflag) - 1)::int as y, l_quantity as x0, l_discount as x1, l_tax as x2 from lineitem),
+  shares as (select y as out, count(*) / (select count(*) from f) as p from f group by y),
+  r as (select out, x0, x1, x2, p - (y = out)::int as g, p * (1 - p) as h from f, shares),
+  root_long as ({_long_sql('r', 'out')}), {_best_split_sql('root', '0')},
+  s as (select r.*, (case b.j when 0 then x0 when 1 then x1 else x2 end > b.v)::int as side from r join root_best b using (out)),
+  child_long as ({_long_sql('s', 'out, side')}), {_best_split_sql('child', 'side')},
+  deeper as (select * from child_best qualify row_number() over (partition by out order by gain desc, side) = 1)
+  select b.out, b.j as root_feature, b.v as root_threshold, d.side, d.j as child_feature, d.v as child_threshold, round(b.gain, 6) as root_gain,
+    round(-d.lg / (d.lh + 1), 6) as left_value, round(-(d.tg - d.lg) / (d.th - d.lh + 1), 6) as right_value,
+    round(case when d.side = 0 then -(b.tg - b.lg) / (b.th - b.lh + 1) else -b.lg / (b.lh + 1) end, 6) as other_value
+  from root_best b join deeper d using (out)"""
+
+
+def flag_vectors(spark, sf_dir):
+    """Three numbers of ``lineitem`` as features and the return flag as class."""
+    df = table(spark, sf_dir, "lineitem").select(
+        F.expr("case l_returnflag when 'A' then 0.0D when 'N' then 1.0D else 2.0D end").alias("label"), "l_quantity", "l_discount", "l_tax")
+    return VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(df)
+
+
+@query("boosted_first_tree", FIRST_TREE_SQL)
+def boosted_first_tree(spark, sf_dir):
+    """The first round of a booster for three classes: one leaf-wise tree with three leaves for each class."""
+    p = boosting.Boosting(rounds=1, depth=2, leaves=3, rate=1.0, l2=1.0)
+    rows = []
+    for out, t in enumerate(boosting.fit_boosting(flag_vectors(spark, sf_dir), 3, p).rounds[0]):
+        side = int(t.feature[t.left[0]] < 0)
+        child, other = (t.right[0], t.left[0]) if side else (t.left[0], t.right[0])
+        rows.append((out, int(t.feature[0]), float(t.threshold[0]), side, int(t.feature[child]), float(t.threshold[child]), float(t.gain[0]),
+                     *(float(t.value[i, 0]) for i in (t.left[child], t.right[child], other))))
+    return round_doubles(report(spark, rows, "out int, root_feature int, root_threshold double, side int, child_feature int, child_threshold double, "
+                                             "root_gain double, left_value double, right_value double, other_value double"), 6)
+
+
 @query("balanced_weights", """with v as (select dense_rank() over (order by toxic) - 1 as label, count(*) as n from labels group by toxic)
   select cast(label as double) as label, n, round((select sum(n) from v) / (2 * n), 6) as weight from v""")
 def balanced_weights(spark, sf_dir):

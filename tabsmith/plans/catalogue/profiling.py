@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.operators import roles
 from tabsmith.operators.correlation import spearman_pairs
+from tabsmith.operators.information import neighbour_information
 from tabsmith.operators.profile import TableProfile, hash_sample, histogram, top_values, value_counts
 from tabsmith.operators.stats import report, round_doubles
 from tabsmith.plans.catalogue import query, table
@@ -285,6 +286,40 @@ def binned_mi(spark, sf_dir):
     return round_doubles(TableProfile(table(spark, sf_dir, "lineitem"), "l_returnflag").mutual_information())
 
 
+# The digamma function of a whole number from its harmonic sum.
+PSI_SQL = """psi as (select n, -0.5772156649015329 + sum(case when n > 1 then 1.0::double / (n - 1) else 0 end) over (order by n) as psi
+    from (select unnest(range(1, (select count(*) from part) + 1)) as n))"""
+INSIDE_SQL = "case when c.r = 0 then b.{x} = c.{x} else b.{x} > c.{x} - c.r and b.{x} < c.{x} + c.r end"
+
+
+@query("neighbour_mi", f"""with {PSI_SQL}, p as (select row_number() over () as id, * from part),
+  every as (select 'p_size' as feature, id, p_brand as y, p_size::double as x from p union all select 'p_retailprice', id, p_brand, p_retailprice from p),
+  own as (select *, least(3, size - 1) as k from (select *, count(*) over (partition by feature, y) as size from every) where size > 1),
+  c as (select a.feature, a.id, any_value(a.x) as x, any_value(a.size) as size, any_value(a.k) as k, list_extract(min(abs(b.x - a.x), 3), any_value(a.k)) as r
+    from own a join own b on a.feature = b.feature and a.y = b.y and a.id <> b.id group by a.feature, a.id),
+  m as (select c.feature, c.id, any_value(c.size) as size, any_value(c.k) as k, count(*) as m from c join own b on b.feature = c.feature and {INSIDE_SQL.format(x='x')}
+    group by c.feature, c.id)
+  select feature, round(greatest(0, (select psi from psi where n = any_value(total)) + avg(pk.psi) - avg(ps.psi) - avg(pm.psi)), 6) as mi
+  from (select *, count(*) over (partition by feature) as total from m) m join psi pk on pk.n = k join psi ps on ps.n = size join psi pm on pm.n = m group by feature""")
+def neighbour_mi(spark, sf_dir):
+    """Third-nearest-neighbour information of two numbers about a class."""
+    profile = TableProfile(table(spark, sf_dir, "part").select("p_brand", "p_size", "p_retailprice"), "p_brand", "classification")
+    return round_doubles(profile.mutual_information(neighbours=3), 6)
+
+
+@query("neighbour_mi_numeric", f"""with {PSI_SQL}, s as (select format('{{:.9g}}', stddev_pop(p_size))::double as sx, format('{{:.9g}}', stddev_pop(p_retailprice))::double as sy from part),
+  p as (select row_number() over () as id, p_size / sx as x, p_retailprice / sy as y from part, s),
+  c as (select a.id, any_value(a.x) as x, any_value(a.y) as y, list_extract(min(greatest(abs(b.x - a.x), abs(b.y - a.y)), 3), 3) as r
+    from p a join p b on a.id <> b.id group by a.id),
+  mx as (select c.id, count(*) as m from c join p b on {INSIDE_SQL.format(x='x')} group by c.id),
+  my as (select c.id, count(*) as m from c join p b on {INSIDE_SQL.format(x='y')} group by c.id)
+  select 'p_size' as feature, round(greatest(0, (select psi from psi where n = (select count(*) from part)) + (select psi from psi where n = 3) - avg(px.psi) - avg(py.psi)), 6) as mi
+  from mx join my using (id) join psi px on px.n = mx.m join psi py on py.n = my.m""")
+def neighbour_mi_numeric(spark, sf_dir):
+    """The same about a number, with distances in both values."""
+    return round_doubles(neighbour_information(table(spark, sf_dir, "part"), ["p_size"], "p_retailprice", False), 6)
+
+
 def _extreme_sql(tab: str, cols) -> str:
     return union(f"""select avg(case when {c} < q1 - 3 * (q3 - q1) or {c} > q3 + 3 * (q3 - q1) then 1.0 else 0.0 end) as f from {tab},
       (select quantile_cont(cast({c} as double), 0.25) as q1, quantile_cont(cast({c} as double), 0.75) as q3 from {tab}) where {c} is not null"""

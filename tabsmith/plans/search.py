@@ -26,6 +26,7 @@ from tabsmith.operators.models import (
 from tabsmith.operators.profile import TableProfile
 from tabsmith.operators.roles import ColumnRoles, detect_id_columns, detect_problem_type, drop_all_unique_strings, split_columns
 from tabsmith.operators.split import assign_folds, assign_split
+from tabsmith.plans import parzen
 from tabsmith.plans.recipe import FAILED, GRID, FittedRecipe, best_recipe
 
 ORDER = "_order"  # repeatable hash of the row, carried along for splits and folds
@@ -119,39 +120,33 @@ def prepare(df: DataFrame, target: str, classification: bool, key: Sequence[str]
 
 
 # tuning -----------------------------------------------------------------------
-def cross_val_scores(family: Family, params: dict, folded: DataFrame, task: Task, k: int, parallelism: int = 4) -> list[float]:
-    """Primary metric per fold; ``folded`` has a ``fold`` column.  Folds run side by side."""
+def cross_val_scores(family: Family, params: dict, folded: DataFrame, task: Task, k: int, parallelism: int = 4, folds: Sequence[int] | None = None) -> list[float]:
+    """Primary metric per fold (of ``folds`` or all); ``folded`` has a ``fold`` column.  Folds run side by side."""
 
     def one(f: int) -> float:
         model = family.fit(folded.where(F.col("fold") != f), task, params)
         scored = score(model, folded.where(F.col("fold") == f)).drop("probability")
         return evaluate(scored, task.classification, task.classes)[primary_metric(task.classification)]
-
-    with ThreadPoolExecutor(min(k, parallelism)) as pool:
-        return list(pool.map(one, range(k)))
+    folds = range(k) if folds is None else folds
+    with ThreadPoolExecutor(max(1, min(len(folds), parallelism))) as pool:
+        return list(pool.map(one, folds))
 
 
 def tune(family: Family, folded: DataFrame, task: Task, trials: int, k: int, seconds: float | None = None,
-         seed: int = 42) -> tuple[dict, float | None]:
-    """Best of ``trials`` seeded random draws by mean fold score.  All draws are made unless
-    ``seconds`` sets a time limit, checked between draws.  A draw that fails counts as -999 and
-    gives a warning."""
-    if family.space is None or trials <= 0:
+         seed: int = 42, history: str | None = None) -> tuple[dict, float | None]:
+    """Best parameters and mean fold score of a model-based search with successive halving over the folds.
+
+    All trials are made unless ``seconds`` sets a time limit, checked between trials.  A trial that fails gives a
+    warning.  With ``history`` trials are kept in the Parquet table of the family under that path, and a search that
+    finds trials there goes on from them.
+    """
+    if not family.space or trials <= 0:
         return dict(family.defaults), None
-    rng = np.random.default_rng(seed)
-    start, best, best_score = time.time(), dict(family.defaults), None
-    for _ in range(trials):
-        params = {**family.defaults, **family.space(rng)}
-        try:
-            value = float(np.mean(cross_val_scores(family, params, folded, task, k)))
-        except Exception as e:
-            warnings.warn(f"{family.name} with {params}: {type(e).__name__}: {str(e)[:300]}", RuntimeWarning, stacklevel=2)
-            value = FAILED
-        if best_score is None or value > best_score:
-            best, best_score = params, value
-        if seconds is not None and time.time() - start > seconds:
-            break
-    return best, best_score
+    table = parzen.TrialTable(folded.sparkSession, history and f"{history}/{family.name}")
+    parzen.search(lambda params, folds: cross_val_scores(family, params, folded, task, k, folds=folds), family.space, trials, k, table,
+                  seconds, seed, family.defaults)
+    found = parzen.best(table)
+    return ({**family.defaults, **found.params}, found.value) if found else (dict(family.defaults), FAILED)
 
 
 def train_one(family: Family, train: DataFrame, val: DataFrame, task: Task, trials: int, folded: DataFrame | None,

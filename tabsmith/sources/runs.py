@@ -5,12 +5,17 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabsmith.operators.boosting import BoostedModel
 from tabsmith.operators.models import AdaBoostModel, KnnModel, StackingModel, VotingModel
+from tabsmith.operators.trees import LevelTree, Tree
 
+TREES = ("round int, output int, feature array<long>, threshold array<double>, left array<long>, right array<long>, value array<array<double>>, "
+         "cover array<double>, gain array<double>, levels array<struct<feature: long, threshold: double>>")
 RUNS = ("run_id string, dataset string, status string, problem_type string, target string, n_rows long, n_cols int, "
         "best_model string, best_score double, recipe string, seconds double, created_at timestamp")
 
@@ -40,6 +45,12 @@ def save_model(spark: SparkSession, model, path: str) -> None:
     elif isinstance(model, KnnModel):
         model.train.write.mode("overwrite").parquet(f"{path}/train")
         _put(spark, f"{path}/facts", {"kind": "knn", "k": model.k, "weights": model.weights, "classes": model.classes})
+    elif isinstance(model, BoostedModel):
+        rows = [(i, k, *(getattr(t, f).tolist() for f in ("feature", "threshold", "left", "right", "value", "cover", "gain")),
+                 [(int(f), float(x)) for f, x in t.levels] if isinstance(t, LevelTree) else None)
+                for i, group in enumerate(model.rounds) for k, t in enumerate(group)]
+        spark.createDataFrame(rows, TREES).write.mode("overwrite").parquet(f"{path}/trees")
+        _put(spark, f"{path}/facts", {"kind": "boosted", "base": model.base, "classes": model.classes, "width": model.width})
     else:
         PipelineModel([model]).write().overwrite().save(f"{path}/model")
         _put(spark, f"{path}/facts", {"kind": "single"})
@@ -59,6 +70,13 @@ def load_model(spark: SparkSession, path: str):
         return AdaBoostModel(stumps, facts["alphas"], facts["classes"])
     if kind == "knn":
         return KnnModel(spark.read.parquet(f"{path}/train"), facts["k"], facts["weights"], facts["classes"])
+    if kind == "boosted":
+        rounds: dict[int, list[Tree]] = {}
+        for r in sorted(spark.read.parquet(f"{path}/trees").collect(), key=lambda r: (r["round"], r["output"])):
+            arrays = [np.array(x) for x in r[2:-1]]
+            rounds.setdefault(r["round"], []).append(
+                Tree(*arrays) if r["levels"] is None else LevelTree(*arrays, levels=[(x["feature"], x["threshold"]) for x in r["levels"]]))
+        return BoostedModel(list(rounds.values()), facts["base"], facts["classes"], facts["width"])
     return PipelineModel.load(f"{path}/model").stages[0]
 
 
