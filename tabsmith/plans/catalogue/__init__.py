@@ -28,5 +28,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load() -> None:
     """Import the modules that register queries."""
     from tabsmith.plans.catalogue import (  # noqa: F401
-        drifting, explaining, modelling, preparing, profiling, running,
+        drifting, explaining, modelling, preparing, profiling, running, storing,
     )

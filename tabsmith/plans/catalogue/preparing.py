@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tabsmith.operators import encode, features, impute, scale, split
+from tabsmith.operators import encode, features, impute, ordered_boosting, scale, split
 from tabsmith.operators.isolation import mark_outliers
 from tabsmith.operators.select import best_by_information, low_variance, reduce_dimensions
 from tabsmith.operators.stats import report, round_doubles
@@ -294,6 +294,24 @@ def target_enc_out_of_fold(spark, sf_dir):
     return round_doubles(out.select("p_partkey", "p_brand_te"))
 
 
+ORDER_HASH = "(({k} + 7) * 2654435761) % 4294967296"
+
+
+@query("ordered_statistics", f"""with o as (select *, {ORDER_HASH.format(k='o_orderkey')} as h, (o_orderstatus = 'F')::int as f from orders)
+  select o_orderkey, {', '.join(f"round((coalesce(sum({t}) over {w}, 0) + 2.0 * (select avg({t}) from o)) / (count(*) over {w} + 2.0), 6) as {n}_{c}"
+    for c, w in (("status", "s"), ("priority", "p")) for t, n in (("o_totalprice", "price"), ("f", "done")))} from o
+  window s as (partition by o_orderstatus order by h, o_orderkey rows between unbounded preceding and 1 preceding),
+    p as (partition by o_orderpriority order by h, o_orderkey rows between unbounded preceding and 1 preceding)""")
+def ordered_target_statistics(spark, sf_dir):
+    """Two targets by two columns of categories, in some twenty buckets of the order."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    out = ordered_boosting.ordered_statistics(
+        df, ["o_orderstatus", "o_orderpriority"], {"price": F.col("o_totalprice"), "done": (F.col("o_orderstatus") == "F").cast("int")},
+        F.expr(ORDER_HASH.format(k="o_orderkey")), 1 << 32, prior=2.0, bucket_rows=max(1, df.count() // 20))
+    names = {f"o_order{c}~{t}": f"{t}_{c}" for c in ("status", "priority") for t in ("price", "done")}
+    return round_doubles(out.select("o_orderkey", *(F.col(f"`{a}`").alias(b) for a, b in names.items())), 6)
+
+
 @query("label_encode", """select o_orderkey, cast(dense_rank() over (order by o_orderstatus) - 1 as double) as label, o_orderstatus as decoded from orders""")
 def label_encode(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
