@@ -292,17 +292,37 @@ def _often(docs: DataFrame, words: int, known: _Known, least: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(tx.tidy_table(add), "key long")
 
 
-def _counted(docs: DataFrame, longest: int, known: _Known) -> DataFrame:
-    """(w0, w1, ..., f) of the phrases that the filters let through, summed across shards; shorter phrases end in nulls."""
-    names = [f"w{j}" for j in range(longest)]
+def _counted(docs: DataFrame, longest: int, known: _Known, least: int) -> DataFrame:
+    """(phrase, f) of the phrases that the filters let through and that stand at least ``least`` times, summed across shards."""
+    buckets = 1 << known.bits
 
-    def run(batches):
+    def send(batches):
         for words, counts in known.patterns(batches, longest, 2):
-            if len(words):
-                found, none = words.view(np.int64), pa.nulls(len(words), pa.int64())
-                yield pa.record_batch([*(pa.array(found[:, j]) if j < found.shape[1] else none for j in range(longest)), pa.array(counts)], [*names, "f"])
-    found = _texts(docs).mapInArrow(tx.tidy_batches(run), ", ".join(f"{n} long" for n in names) + ", f long")
-    return found.groupBy(*names).agg(F.sum("f").alias("f"))
+            if not len(words):
+                continue
+            bucket = (phrase_keys(words) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            there, first = np.unique(bucket[order], return_index=True)
+            parts = list(zip(np.split(words[order], first[1:]), np.split(counts[order], first[1:])))
+            yield pa.record_batch(
+                [pa.array(there), pa.array(np.full(len(there), words.shape[1], np.int32)), pa.array([w.tobytes() for w, _ in parts], pa.binary()),
+                 pa.array([_packed(n) for _, n in parts], pa.binary())], ["bucket", "size", "words", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        phrases, sums, sizes = [], [], table.column("size").to_numpy()
+        for size in np.unique(sizes):
+            rows = table.filter(pa.array(sizes == size))
+            words = np.frombuffer(b"".join(rows.column("words").to_pylist()), np.int64).reshape(-1, size)
+            counts = np.concatenate([_unpacked(x) for x in rows.column("counts").to_pylist()]).astype(np.int64)
+            order = np.lexsort(words.T)
+            words = words[order]
+            first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1)))
+            total = np.add.reduceat(counts[order], first)
+            phrases.append(tx.ragged(words[first[total >= least]].ravel(), np.full(int((total >= least).sum()), size), pa.int64()))
+            sums.append(total[total >= least])
+        return pa.table({"phrase": pa.concat_arrays(phrases), "f": pa.array(np.concatenate(sums))})
+    sent = _texts(docs).mapInArrow(tx.tidy_batches(send), "bucket long, size int, words binary, counts binary")
+    return sent.groupBy("bucket").applyInArrow(tx.tidy_table(add), "phrase array<long>, f long")
 
 
 def _buckets(spark, words: int) -> int:
@@ -320,8 +340,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tup
     known.add(1, words)
     for size in range(2, longest + 1):
         known.add(size, cut_lineage(_often(docs, size, known, least)))
-    phrases = cut_lineage(_counted(docs, longest, known).where(F.col("f") >= least))
-    phrases = phrases.select(F.array_compact(F.array(*(f"w{j}" for j in range(longest)))).alias("phrase"), "f")
+    phrases = cut_lineage(_counted(docs, longest, known, least))
     return words.select(F.array("key").alias("phrase"), "f").unionAll(phrases), words, totals
 
 
