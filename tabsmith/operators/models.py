@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.session import cut_lineage
 from tabsmith.functions.space import Choice, Real, Space, Whole
 from tabsmith.operators.boosting import BoostedModel, Boosting, fit_boosting
+from tabsmith.operators.kernel import KernelMachine, fit_kernel_machine
 from tabsmith.operators.knn import knn_join
 
 KEEP = ("prediction", "probability")
@@ -98,6 +99,10 @@ def _fit_svm(df: DataFrame, task: Task, p: dict):
     return OneVsRest(classifier=svc, parallelism=min(4, task.classes), **_weights(task)).fit(df)
 
 
+def _fit_kernel(df: DataFrame, task: Task, p: dict) -> KernelMachine:
+    return fit_kernel_machine(df, max(2, task.classes) if task.classification else 0, p["C"], p["kernel"], p.get("epsilon", 0.1), p.get("landmarks", 256))
+
+
 def _fit_mlp(df: DataFrame, task: Task, p: dict):
     layers = [task.width, *p["hidden"], max(2, task.classes)]
     return mlc.MultilayerPerceptronClassifier(layers=layers, maxIter=p.get("max_iter", 100), seed=42).fit(df)
@@ -205,13 +210,14 @@ def registry(classification: bool, fast: bool = False) -> dict[str, Family]:
             "trees": Whole(100, 500, step=100), "max_depth": Whole(3, 9), "learning_rate": rate, "leaves": Whole(20, 150), "subsample": share, "l1": penalty}, slow=True),
         Family("level_boosting", _fit_histogram, {"trees": 100, "max_depth": 6, "learning_rate": 0.1, "l2": 3.0, "oblivious": True}, {
             "trees": Whole(100, 500, step=100), "max_depth": Whole(3, 8), "learning_rate": rate, "l2": Real(1.0, 10.0)}, slow=True),
+        Family("kernel_svm", _fit_kernel, {"C": 1.0, "kernel": "rbf"}, {"C": Real(1e-3, 100.0, log=True), "kernel": Choice(("rbf", "poly"))}, slow=True),
         Family("knn", _fit_knn, {"k": 5}, {"k": Whole(3, 30), "weights": Choice(("uniform", "distance"))}),
     ]
     if classification:
         fams += [
             Family("adaboost", _fit_adaboost, {"rounds": 100}),
             Family("naive_bayes", _fit_bayes),
-            Family("svm", _fit_svm, {"C": 1.0}, {"C": Real(1e-3, 100.0, log=True)}, slow=True),
+            Family("linear_svm", _fit_svm, {"C": 1.0}, {"C": Real(1e-3, 100.0, log=True)}, slow=True),
             Family("mlp", _fit_mlp, {"hidden": (64,)}, {"hidden": Choice(((64,), (128,), (256,), (128, 64), (256, 128)))}, slow=True),
         ]
     return {f.name: f for f in fams if not (fast and f.slow)} | {
@@ -231,7 +237,7 @@ ALIASES = {
     "neural_net": "mlp", "neural_network": "mlp", "mlp": "mlp", "gradient_boosting": "gradient_boosting",
     "xgboost": "histogram_boosting", "lightgbm": "leafwise_boosting", "lgbm": "leafwise_boosting",
     "catboost": "level_boosting", "random_forest": "random_forest", "extra_trees": "random_forest",
-    "adaboost": "adaboost", "svm": "svm", "knn": "knn", "naive_bayes": "naive_bayes",
+    "adaboost": "adaboost", "svm": "kernel_svm", "knn": "knn", "naive_bayes": "naive_bayes",
     "logistic_regression": "linear", "linear": "linear", "linear_regression": "linear", "lasso": "linear", "ridge": "linear",
 }
 

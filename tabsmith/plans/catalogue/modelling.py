@@ -208,7 +208,7 @@ def linear_svm_and_mlp(spark, sf_dir):
     p = search.prepare(table(spark, sf_dir, "labels"), "quality", True, ["doc_id"], grid=ONE)
     entries = search.train_all(p.train, p.val, p.task, trials=0, params=LIGHT, models=["naive_bayes"], ensembles=False)
     fams = registry(True)
-    for name in ("svm", "mlp"):
+    for name in ("linear_svm", "mlp"):
         entries.append(search.train_one(fams[name], p.train, p.val, p.task, 0, None, 3, 60.0, LIGHT.get(name)))
     return search.leaderboard_table(spark, entries, True).select("model_name", "score")
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.operators.boosting import BoostedModel
+from tabsmith.operators.kernel import KernelMachine, KernelMap
 from tabsmith.operators.models import AdaBoostModel, KnnModel, StackingModel, VotingModel
 from tabsmith.operators.trees import LevelTree, Tree
 
@@ -45,6 +46,9 @@ def save_model(spark: SparkSession, model, path: str) -> None:
     elif isinstance(model, KnnModel):
         model.train.write.mode("overwrite").parquet(f"{path}/train")
         _put(spark, f"{path}/facts", {"kind": "knn", "k": model.k, "weights": model.weights, "classes": model.classes})
+    elif isinstance(model, KernelMachine):
+        _put(spark, f"{path}/facts", {"kind": "kernel", "landmarks": model.to.landmarks.tolist(), "kernel": model.to.kernel, "gamma": model.to.gamma,
+                                      "weights": model.weights.tolist(), "classes": model.classes, "sigmoids": model.sigmoids})
     elif isinstance(model, BoostedModel):
         rows = [(i, k, *(getattr(t, f).tolist() for f in ("feature", "threshold", "left", "right", "value", "cover", "gain")),
                  [(int(f), float(x)) for f, x in t.levels] if isinstance(t, LevelTree) else None)
@@ -70,6 +74,9 @@ def load_model(spark: SparkSession, path: str):
         return AdaBoostModel(stumps, facts["alphas"], facts["classes"])
     if kind == "knn":
         return KnnModel(spark.read.parquet(f"{path}/train"), facts["k"], facts["weights"], facts["classes"])
+    if kind == "kernel":
+        to = KernelMap(np.array(facts["landmarks"]), facts["kernel"], facts["gamma"])
+        return KernelMachine(to, np.array(facts["weights"]), facts["classes"], facts["sigmoids"])
     if kind == "boosted":
         rounds: dict[int, list[Tree]] = {}
         for r in sorted(spark.read.parquet(f"{path}/trees").collect(), key=lambda r: (r["round"], r["output"])):
