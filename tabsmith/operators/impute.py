@@ -149,8 +149,27 @@ class ChainedFillModel(FittedColumns):
         return packed.withColumns({c: F.get("_filled", F.lit(i)) for i, c in enumerate(cols)}).drop("_filled")
 
 
+def bayesian_ridge(products: np.ndarray, pulls: np.ndarray, square: float, n: float, steps: int = 300, tol: float = 1e-3) -> np.ndarray:
+    """Coefficients of a regression whose noise and weight precisions follow from the evidence.
+
+    ``products``, ``pulls`` and ``square`` are the centred sums x x', x y and y y of ``n`` rows, all that the updates need.
+    Both precisions have a flat gamma prior (1e-6, 1e-6).
+    """
+    values, vectors = np.linalg.eigh(products)
+    values, turned = np.maximum(values, 0.0), vectors.T @ pulls
+    noise, weight, coef = 1.0 / (square / n + np.finfo(float).eps), 1.0, np.zeros(len(pulls))
+    for step in range(steps):
+        old, coef = coef, vectors @ (turned / (values + weight / noise))
+        left = max(square - 2.0 * float(coef @ pulls) + float(coef @ products @ coef), 0.0)
+        known = float((noise * values / (weight + noise * values)).sum())
+        weight, noise = (known + 2e-6) / (float(coef @ coef) + 2e-6), (n - known + 2e-6) / (left + 2e-6)
+        if step and float(np.abs(old - coef).sum()) < tol:
+            break
+    return vectors @ (turned / (values + weight / noise))
+
+
 class ChainedFill(ColumnEstimator):
-    """Round-robin ridge regression of each gappy column on the others.
+    """Round-robin regression of each gappy column on the others: ``estimator`` is ``ridge`` (a slight fixed penalty) or ``bayesian``.
 
     A step needs only the sums of products over rows where the column is present, so the
     matrix of (columns + 1)^2 numbers is what tasks send.  Steps already fitted are
@@ -173,7 +192,7 @@ class ChainedFill(ColumnEstimator):
                 change = 0.0
                 for c in order:
                     j = cols.index(c)
-                    coef, intercept = self._solve(wide, cols, means, scale, steps, j)
+                    coef, intercept = self._solve(wide, cols, means, scale, steps, j, self.option("estimator", "ridge"))
                     steps.append((j, coef, intercept))
                     new = np.append(coef * scale / scale[j], intercept / scale[j])
                     change = max(change, float(np.max(np.abs(new - last[j]))) if j in last else np.inf)
@@ -185,7 +204,7 @@ class ChainedFill(ColumnEstimator):
             "steps": [{"col": j, "coef": b.tolist(), "intercept": float(a)} for j, b, a in steps]})
 
     @staticmethod
-    def _solve(wide: DataFrame, cols, means, scale, steps, j: int) -> tuple[np.ndarray, float]:
+    def _solve(wide: DataFrame, cols, means, scale, steps, j: int, estimator: str = "ridge") -> tuple[np.ndarray, float]:
         d = len(cols)
         fixed = list(steps)
 
@@ -203,6 +222,15 @@ class ChainedFill(ColumnEstimator):
         for r in sums:
             g[r["cell"]] = r["s"]
         g = g.reshape(d + 1, d + 1)
+        if estimator == "bayesian":
+            others, n = [i for i in range(d) if i != j], max(g[d, d], 1.0)
+            centred = (g[:d, :d] - np.outer(g[:d, d], g[:d, d]) / n) * np.outer(scale, scale)
+            coef = np.zeros(d)
+            coef[others] = bayesian_ridge(centred[np.ix_(others, others)], centred[others, j], float(centred[j, j]), n)
+            at = means + scale * g[:d, d] / n
+            return coef, float(at[j] - coef @ at)
+        if estimator != "ridge":
+            raise ValueError(f"unknown estimator {estimator!r}")
         use = [i for i in range(d + 1) if i != j]
         a = g[np.ix_(use, use)] + np.diag([1e-6 * g[d, d] if i != d else 0.0 for i in use])
         b = np.linalg.lstsq(a, g[use, j], rcond=None)[0]
@@ -219,5 +247,5 @@ def imputer(strategy: str, cols: Sequence[str]) -> ColumnEstimator:
     if strategy == "knn":
         return KnnFill.of(cols, k=5)
     if strategy == "iterative":
-        return ChainedFill.of(cols)
+        return ChainedFill.of(cols, estimator="bayesian")
     return Fill.of(cols, strategy=strategy if strategy in ("mean", "median", "zero") else "median")

@@ -22,6 +22,7 @@ from tabsmith.operators.correlation import (
     multicollinear, pearson_pairs, spearman_pairs, target_correlations, top_correlations,
 )
 from tabsmith.operators.information import mutual_information, neighbour_information
+from tabsmith.operators.normality import shapiro_francia, shapiro_table
 from tabsmith.operators.roles import MAX_CLASSES, distinct_counts, screened_distinct_counts
 from tabsmith.operators.stats import (
     ColumnSummary, clean_values, conditional_counts, null_counts, report, summarize,
@@ -309,6 +310,13 @@ class TableProfile:
         return top_correlations(self.correlations.where(
             (F.col("f1") != self.target) & (F.col("f2") != self.target)), k)
 
+    def shapiro(self, sample: int = 500, first: int = 10) -> DataFrame:
+        """Shapiro-Wilk of the first numeric columns on a bounded sample (8 values at least); ``shapiro_francia`` takes all rows."""
+        return shapiro_table(self.df, self.numeric[:first], sample)
+
+    def shapiro_francia(self) -> DataFrame:
+        return shapiro_francia(self.df, self.numeric)
+
     def mutual_information(self, bins: int = 10, neighbours: int = 0) -> DataFrame:
         """Binned at exact quantiles; with ``neighbours`` from distances to the k-th nearest neighbour."""
         features = [c for c in self.numeric if c != self.target]

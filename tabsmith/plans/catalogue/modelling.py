@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabsmith.operators import boosting, knn, metrics
+from tabsmith.operators import boosting, knn, metrics, near
 from tabsmith.operators.models import Task, registry, score
 from tabsmith.operators.profile import TableProfile
 from tabsmith.operators.stats import report, round_doubles
@@ -97,6 +97,17 @@ def knn_regress(spark, sf_dir):
     return round_doubles(knn.knn_regress(v, v, 5, exclude_self=True, cell_rows=64, query_rows=100), 6)
 
 
+@query("cell_search", """with n as (select q.vec_id as q_id, d.vec_id as d_id, list_distance(q.embedding::double[], d.embedding::double[]) as distance,
+    row_number() over (partition by q.vec_id order by list_distance(q.embedding::double[], d.embedding::double[]), d.vec_id) as rank
+    from embeddings q join embeddings d on q.vec_id % 50 = 0 and q.vec_id <> d.vec_id qualify rank <= 10)
+  select q_id, cast(rank as int) as rank, d_id, round(distance, 6) as distance from n""")
+def cell_search(spark, sf_dir):
+    """Every cell of the index is searched, which is exact; the queries are the ids divisible by 50."""
+    v = _vectors(spark, sf_dir).select("id", "vec")
+    index = near.cell_index(v)
+    return round_doubles(index.search(v.where("id % 50 = 0"), 10, len(index.centres), exclude_self=True).select("q_id", "rank", "d_id", "distance"), 6)
+
+
 @query("gaussian_nb_fit", """with f as (select (dense_rank() over (order by l_returnflag) - 1) as c, l_quantity as q, l_discount as d, l_tax as t from lineitem)
   select cast(c as int) as class, round(avg(q), 4) as mean_q, round(avg(d), 4) as mean_d, round(avg(t), 4) as mean_t, round(var_pop(q), 4) as var_q from f group by 1""")
 def gaussian_nb_fit(spark, sf_dir):
