@@ -6,7 +6,8 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tabsmith.operators import roles
+from tabsmith.functions.session import shared_folder
+from tabsmith.operators import roles, sketches
 from tabsmith.operators.correlation import spearman_pairs
 from tabsmith.operators.information import neighbour_information
 from tabsmith.operators.profile import TableProfile, hash_sample, histogram, top_values, value_counts
@@ -320,6 +321,29 @@ def neighbour_mi_numeric(spark, sf_dir):
     return round_doubles(neighbour_information(table(spark, sf_dir, "part"), ["p_size"], "p_retailprice", False), 6)
 
 
+SKETCHED = ["l_quantity", "l_extendedprice", "l_tax"]
+
+
+@query("sketched_profile", f"""with g as {GAPS_SQL} {union(f"""select '{c}' as "column", count(distinct l_orderkey % 4) as parts, count(*) as rows, count(*) - count({c}) as missing, round(avg({c}), 4) as mean,
+  round(stddev_samp({c}), 4) as std, min({c}) as low, max({c}) as high, true as near from g""" for c in SKETCHED)}""")
+def sketched_profile(spark, sf_dir):
+    """Sketches of four parts of the lines, each added to the stored table by itself, merged to a profile.
+
+    ``near``: the ranks of the median and quartiles, counted in the table, are within the error stated for the sketches.
+    """
+    df, path = gaps(spark, sf_dir), shared_folder(spark, "sketches")
+    for part in range(4):
+        sketches.append_sketches(df.where(F.col("l_orderkey") % 4 == part), F.lit(part), path, SKETCHED)
+    found = sketches.profile_of(sketches.stored_sketches(spark, path))
+    at = {r["column"]: r["quantiles"] for r in found.collect()}
+    share = lambda c, p, q: F.avg((F.col(c) < q).cast("int")) - 2 * sketches.rank_error() <= p
+    upto = lambda c, p, q: F.avg((F.col(c) <= q).cast("int")) + 2 * sketches.rank_error() >= p
+    checks = [F.lit(True) if c not in at or not at[c] else share(c, p, q) & upto(c, p, q) for c in SKETCHED for p, q in zip((0.25, 0.5, 0.75), at[c])]
+    flags = df.agg(*(x.alias(f"c{i}") for i, x in enumerate(checks))).first()
+    near = spark.createDataFrame([(c, all(flags[3 * i:3 * i + 3])) for i, c in enumerate(SKETCHED)], "column string, near boolean")
+    return round_doubles(found.join(near, "column").select("column", "parts", "rows", "missing", "mean", "std", "low", "high", "near"))
+
+
 def _extreme_sql(tab: str, cols) -> str:
     return union(f"""select avg(case when {c} < q1 - 3 * (q3 - q1) or {c} > q3 + 3 * (q3 - q1) then 1.0 else 0.0 end) as f from {tab},
       (select quantile_cont(cast({c} as double), 0.25) as q1, quantile_cont(cast({c} as double), 0.75) as q3 from {tab}) where {c} is not null"""
