@@ -25,6 +25,7 @@ from tabsmith.functions.space import Choice, Real, Space, Whole
 from tabsmith.operators.boosting import BoostedModel, Boosting, fit_boosting
 from tabsmith.operators.kernel import KernelMachine, fit_kernel_machine
 from tabsmith.operators.knn import knn_join
+from tabsmith.operators.network import Network, fit_network
 
 KEEP = ("prediction", "probability")
 
@@ -108,6 +109,10 @@ def _fit_mlp(df: DataFrame, task: Task, p: dict):
     return mlc.MultilayerPerceptronClassifier(layers=layers, maxIter=p.get("max_iter", 100), seed=42).fit(df)
 
 
+def _fit_network(df: DataFrame, task: Task, p: dict) -> Network:
+    return fit_network(df, max(2, task.classes) if task.classification else 0, p["hidden"], p["penalty"], p["rate"], p.get("epochs", 40), p.get("batches", 8))
+
+
 def _fit_bayes(df: DataFrame, task: Task, p: dict):
     return mlc.NaiveBayes(modelType="gaussian", **_weights(task)).fit(df)
 
@@ -193,6 +198,9 @@ def _fit_knn(df: DataFrame, task: Task, p: dict) -> KnnModel:
     return KnnModel(df.select("features", "label"), p["k"], p.get("weights", "uniform"), task.classes)
 
 
+HIDDEN = ((64,), (128,), (256,), (128, 64), (256, 128))
+
+
 def registry(classification: bool, fast: bool = False) -> dict[str, Family]:
     """Families by name; ``fast`` leaves out the slow ones.  The ranges of the search spaces are fixed values."""
     rate, share, penalty = Real(1e-3, 0.3, log=True), Real(0.5, 1.0), Real(1e-8, 10.0, log=True)
@@ -211,6 +219,8 @@ def registry(classification: bool, fast: bool = False) -> dict[str, Family]:
         Family("level_boosting", _fit_histogram, {"trees": 100, "max_depth": 6, "learning_rate": 0.1, "l2": 3.0, "oblivious": True}, {
             "trees": Whole(100, 500, step=100), "max_depth": Whole(3, 8), "learning_rate": rate, "l2": Real(1.0, 10.0)}, slow=True),
         Family("kernel_svm", _fit_kernel, {"C": 1.0, "kernel": "rbf"}, {"C": Real(1e-3, 100.0, log=True), "kernel": Choice(("rbf", "poly"))}, slow=True),
+        Family("network", _fit_network, {"hidden": (64,), "penalty": 1e-4, "rate": 1e-3}, {
+            "hidden": Choice(HIDDEN), "penalty": Real(1e-5, 1e-1, log=True), "rate": Real(1e-4, 1e-2, log=True)}, slow=True),
         Family("knn", _fit_knn, {"k": 5}, {"k": Whole(3, 30), "weights": Choice(("uniform", "distance"))}),
     ]
     if classification:
@@ -218,7 +228,7 @@ def registry(classification: bool, fast: bool = False) -> dict[str, Family]:
             Family("adaboost", _fit_adaboost, {"rounds": 100}),
             Family("naive_bayes", _fit_bayes),
             Family("linear_svm", _fit_svm, {"C": 1.0}, {"C": Real(1e-3, 100.0, log=True)}, slow=True),
-            Family("mlp", _fit_mlp, {"hidden": (64,)}, {"hidden": Choice(((64,), (128,), (256,), (128, 64), (256, 128)))}, slow=True),
+            Family("mlp", _fit_mlp, {"hidden": (64,)}, {"hidden": Choice(HIDDEN)}, slow=True),
         ]
     return {f.name: f for f in fams if not (fast and f.slow)} | {
         n: f for n, f in CUSTOM.items() if f.name not in {x.name for x in fams}}
@@ -234,7 +244,7 @@ def register_model(family: Family) -> None:
 
 # Names that users give to the families.
 ALIASES = {
-    "neural_net": "mlp", "neural_network": "mlp", "mlp": "mlp", "gradient_boosting": "gradient_boosting",
+    "neural_net": "network", "neural_network": "network", "mlp": "network", "gradient_boosting": "gradient_boosting",
     "xgboost": "histogram_boosting", "lightgbm": "leafwise_boosting", "lgbm": "leafwise_boosting",
     "catboost": "level_boosting", "random_forest": "random_forest", "extra_trees": "random_forest",
     "adaboost": "adaboost", "svm": "kernel_svm", "knn": "knn", "naive_bayes": "naive_bayes",

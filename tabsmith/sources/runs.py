@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tabsmith.operators.boosting import BoostedModel
 from tabsmith.operators.kernel import KernelMachine, KernelMap
 from tabsmith.operators.models import AdaBoostModel, KnnModel, StackingModel, VotingModel
+from tabsmith.operators.network import Network
 from tabsmith.operators.trees import LevelTree, Tree
 
 TREES = ("round int, output int, feature array<long>, threshold array<double>, left array<long>, right array<long>, value array<array<double>>, "
@@ -46,6 +47,8 @@ def save_model(spark: SparkSession, model, path: str) -> None:
     elif isinstance(model, KnnModel):
         model.train.write.mode("overwrite").parquet(f"{path}/train")
         _put(spark, f"{path}/facts", {"kind": "knn", "k": model.k, "weights": model.weights, "classes": model.classes})
+    elif isinstance(model, Network):
+        _put(spark, f"{path}/facts", {"kind": "network", "flat": model.flat.tolist(), "sizes": model.sizes, "classes": model.classes, "losses": model.losses})
     elif isinstance(model, KernelMachine):
         _put(spark, f"{path}/facts", {"kind": "kernel", "landmarks": model.to.landmarks.tolist(), "kernel": model.to.kernel, "gamma": model.to.gamma,
                                       "weights": model.weights.tolist(), "classes": model.classes, "sigmoids": model.sigmoids})
@@ -74,6 +77,8 @@ def load_model(spark: SparkSession, path: str):
         return AdaBoostModel(stumps, facts["alphas"], facts["classes"])
     if kind == "knn":
         return KnnModel(spark.read.parquet(f"{path}/train"), facts["k"], facts["weights"], facts["classes"])
+    if kind == "network":
+        return Network(np.array(facts["flat"]), facts["sizes"], facts["classes"], facts["losses"])
     if kind == "kernel":
         to = KernelMap(np.array(facts["landmarks"]), facts["kernel"], facts["gamma"])
         return KernelMachine(to, np.array(facts["weights"]), facts["classes"], facts["sigmoids"])
