@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tabsmith.functions.session import cut_lineage
 from tabsmith.operators import boosting, knn, metrics, near
 from tabsmith.operators.models import Task, registry, score
 from tabsmith.operators.profile import TableProfile
@@ -203,6 +204,7 @@ def leaderboard(spark, sf_dir):
     p = search.prepare(_orders(spark, sf_dir), "o_orderstatus", True, ["o_orderkey"], grid=ONE)
     entries = search.train_all(p.train, p.val, p.task, trials=0, params=LIGHT, ensembles=False,
                                models=["logistic_regression", "random_forest", "gradient_boosting", "adaboost", "naive_bayes", "knn"])
+    p.release()
     out = search.leaderboard_table(spark, entries, True)
     return out.select("model_name", "model_type", "metric", "score")
 
@@ -211,6 +213,7 @@ def leaderboard(spark, sf_dir):
 def leaderboard_regression(spark, sf_dir):
     p = search.prepare(table(spark, sf_dir, "part"), "p_retailprice", False, ["p_partkey"], grid=ONE)
     entries = search.train_all(p.train, p.val, p.task, trials=0, params=LIGHT, models=["ridge", "random_forest", "gradient_boosting"])
+    p.release()
     return search.leaderboard_table(spark, entries, False).select("model_name", "model_type", "metric", "score")
 
 
@@ -221,6 +224,7 @@ def linear_svm_and_mlp(spark, sf_dir):
     fams = registry(True)
     for name in ("linear_svm", "mlp"):
         entries.append(search.train_one(fams[name], p.train, p.val, p.task, 0, None, 3, 60.0, LIGHT.get(name)))
+    p.release()
     return search.leaderboard_table(spark, entries, True).select("model_name", "score")
 
 
@@ -235,14 +239,18 @@ def _members(spark, sf_dir):
 def voting(spark, sf_dir):
     p, entries = _members(spark, sf_dir)
     model = search.add_voting(entries, p.val, p.task).model
-    return score(model, p.val).select(search.ORDER, "label", "prediction")
+    out = cut_lineage(score(model, p.val).select(search.ORDER, "label", "prediction"))
+    p.release()
+    return out
 
 
 @query("stacking")
 def stacking(spark, sf_dir):
     p, entries = _members(spark, sf_dir)
     model = search.add_stacking(entries, p.train, p.val, p.task).model
-    return score(model, p.val).select(search.ORDER, "label", "prediction")
+    out = cut_lineage(score(model, p.val).select(search.ORDER, "label", "prediction"))
+    p.release()
+    return out
 
 
 @query("cv_report")
@@ -273,12 +281,19 @@ def adaptive_search(spark, sf_dir):
     return report(spark, history, search.HISTORY)
 
 
-@query("error_analysis", """select 'class_imbalance' as finding, 'use balanced class weights' as suggestion, round(min(n) / max(n), 6) as value
-    from (select count(*) as n from labels group by toxic) having min(n) / max(n) < 0.3
-  union all select 'low_accuracy', 'more trials or stronger families', 0.7 union all select 'large_model_spread', 'tune only the leading families', 0.2""")
+@query("error_analysis", f"""with a as (select avg((y = p::int)::int) as a, avg((y = (s > 0.5)::int)::int) as b, avg((y = 1)::int) as c from {SCORED}),
+  best as (select greatest(a, b, c) as best, round(greatest(a, b, c) - least(a, b, c), 4) as spread from a),
+  r as (select min(n) / max(n) as ratio from (select count(*) as n from labels group by quality))
+  select 'class_imbalance' as finding, 'use balanced class weights' as suggestion, round(ratio, 6) as value from r where ratio < 0.3
+  union all select 'low_accuracy', 'more trials or stronger families', round(best, 6) from best where best < 0.75
+  union all select 'suspiciously_high_accuracy', 'remove columns derived from the target', round(best, 6) from best where best > 0.98
+  union all select 'large_model_spread', 'tune only the leading families', spread from best where spread > 0.1""")
 def error_analysis(spark, sf_dir):
-    profile = TableProfile(table(spark, sf_dir, "labels"), "toxic", "classification")
-    return round_doubles(search.analyze_errors(profile, [0.7, 0.6, 0.5], True), 6)
+    """Findings about three predictors of the quality label, from their accuracies on the whole table."""
+    scored = _scored(spark, sf_dir).withColumns({"half": (F.col("s") > 0.5).cast("int"), "always": F.lit(1)})
+    scores = [metrics.classification_metrics(scored, "y", c).first()["accuracy"] for c in ("p", "half", "always")]
+    profile = TableProfile(table(spark, sf_dir, "labels"), "quality", "classification")
+    return round_doubles(search.analyze_errors(profile, scores, True), 6)
 
 
 @query("default_plan", """select case when n < 500 then 12 when n < 5000 then 25 else 40 end as trials, case when n < 500 then 'svm' else 'gradient_boosting' end as has_family
@@ -299,11 +314,16 @@ def batch_predict(spark, sf_dir):
     return auto.scorer.predict(table(spark, sf_dir, "customer").drop("c_mktsegment")).select("c_custkey", "prediction", "confidence")
 
 
-@query("naive_bayes_scores")
+@query("naive_bayes_scores", """with f as (select row_number() over () as id, case l_returnflag when 'A' then 0.0 when 'N' then 1.0 else 2.0 end::double as label,
+    l_quantity as a, l_discount as b, l_tax as c from lineitem),
+  e as (select 1e-9 * greatest(var_pop(a), var_pop(b), var_pop(c)) as e from f),
+  m as (select label as k, count(*)::double as n, avg(a) as ma, var_pop(a) + any_value(e) as va, avg(b) as mb, var_pop(b) + any_value(e) as vb,
+    avg(c) as mc, var_pop(c) + any_value(e) as vc from f, e group by label),
+  s as (select id, label, k, ln(n) - 0.5 * (ln(va) + pow(a - ma, 2) / va + ln(vb) + pow(b - mb, 2) / vb + ln(vc) + pow(c - mc, 2) / vc) as s from f, m),
+  p as (select id, any_value(label) as label, arg_max(k, s) as prediction, 1 / sum(exp(s - top)) as confidence from (select *, max(s) over (partition by id) as top from s) group by id)
+  select label, prediction, count(*) as n, round(avg(confidence), 6) as confidence from p group by label, prediction""")
 def naive_bayes_scores(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").select(
-        F.expr("case l_returnflag when 'A' then 0.0D when 'N' then 1.0D else 2.0D end").alias("label"), "l_quantity", "l_discount", "l_tax")
-    vec = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(df)
+    vec = flag_vectors(spark, sf_dir)
     scored = score(NaiveBayes(modelType="gaussian").fit(vec), vec)
-    return scored.groupBy("label", "prediction").agg(F.count("*").alias("n"),
-                                                     F.avg(F.array_max(vector_to_array("probability"))).alias("confidence"))
+    return round_doubles(scored.groupBy("label", "prediction").agg(F.count("*").alias("n"),
+                                                                  F.avg(F.array_max(vector_to_array("probability"))).alias("confidence")), 6)

@@ -11,7 +11,7 @@ from tabsmith.operators.isolation import mark_outliers
 from tabsmith.operators.select import best_by_information, low_variance, reduce_dimensions
 from tabsmith.operators.stats import report, round_doubles
 from tabsmith.plans.catalogue import query, table
-from tabsmith.plans.catalogue.profiling import GAPS_SQL, gaps
+from tabsmith.plans.catalogue.profiling import GAPS_SQL, _mi_sql, gaps
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_SQL = "(select l_orderkey, l_quantity, l_extendedprice, l_discount, l_tax from lineitem)"
@@ -326,11 +326,15 @@ def low_variance_columns(spark, sf_dir):
     return report(spark, [(c,) for c in low_variance(df, ["l_quantity", "l_discount", "l_tax"], 0.0008)], "column string")
 
 
-@query("select_k_best")
+_PRICE_EDGES = ", ".join(f"quantile_cont(l_extendedprice, {i / 10})" for i in range(1, 10))
+PRICE_BINS = f"(select lineitem.*, len(list_filter(edges, lambda e: e < l_extendedprice)) as price_bin from lineitem, (select list_distinct([{_PRICE_EDGES}]) as edges from lineitem))"
+CHOSEN = ["l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"]
+
+
+@query("select_k_best", f"""select feature as "column" from ({_mi_sql(PRICE_BINS, CHOSEN, 'price_bin').replace(', 4) as mi', ', 12) as mi')}) order by mi desc limit 3""")
 def select_k_best(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    cols = ["l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"]
-    return report(spark, [(c,) for c in best_by_information(df, cols, "l_extendedprice", 3, False)], "column string")
+    return report(spark, [(c,) for c in best_by_information(df, CHOSEN, "l_extendedprice", 3, False)], "column string")
 
 
 @query("pca_reduce")

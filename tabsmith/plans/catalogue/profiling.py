@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.session import shared_folder
@@ -218,9 +219,10 @@ def spearman(spark, sf_dir):
 
 @query("spearman_gaps", _spearman_sql(GAPS_SQL, ["l_quantity", "l_extendedprice", "l_tax"]))
 def spearman_gaps(spark, sf_dir):
-    # (order, line) repeats in this table, so a row number, stable for a file scan, is the key.
-    keyed = gaps(spark, sf_dir).withColumn("_row", F.monotonically_increasing_id())
-    return round_doubles(spearman_pairs(keyed, ["l_quantity", "l_extendedprice", "l_tax"], ["_row"]))
+    # (order, line) repeats in this table, so the key is a hash of the row and its place among equal rows.
+    df = gaps(spark, sf_dir)
+    keyed = df.withColumn("_row", F.xxhash64(*df.columns)).withColumn("_copy", F.row_number().over(Window.partitionBy("_row").orderBy(*df.columns)))
+    return round_doubles(spearman_pairs(keyed, ["l_quantity", "l_extendedprice", "l_tax"], ["_row", "_copy"]))
 
 
 @query("top_corr", f"""select f1, f2, round(r, 4) as r from ({union(f'''select '{a}' as f1, '{b}' as f2, corr({a}, {b}) as r from lineitem'''
