@@ -18,6 +18,7 @@ from tabsmith.operators.models import score
 from tabsmith.operators.profile import TableProfile
 from tabsmith.operators.roles import detect_problem_type
 from tabsmith.operators.stats import summarize
+from tabsmith.operators.tree_shapley import tree_shapley
 from tabsmith.plans.recipe import GRID, scores_table
 from tabsmith.plans.search import Entry, leaderboard_table, prepare, train_all
 from tabsmith.sources import runs as run_store
@@ -142,6 +143,11 @@ class AutoTable:
         return explain.shapley_values(self.entries[0].model, self.prepared.val, self.names, [ORDER],
                                       self.prepared.task.classes, permutations)
 
+    def exact_shapley(self) -> DataFrame:
+        """Exact values of the winner for every validation row, if it is a tree model; see ``tree_shapley.ensemble_of`` for its outputs."""
+        from tabsmith.plans.search import ORDER
+        return tree_shapley(self.entries[0].model, self.prepared.val, self.names, [ORDER])
+
     def feature_stats(self):
         cols = [c for c in self.prepared.roles.numeric]
         return summarize(self.df, cols, (0.5,), moments=2)

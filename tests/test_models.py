@@ -124,7 +124,7 @@ def test_regression_end_to_end(spark):
 
 
 def test_requested_families():
-    assert list(requested_families(["lgbm", "xgboost", "linear"], True)) == ["gradient_boosting", "logistic_regression"]
+    assert list(requested_families(["lgbm", "xgboost", "linear"], True)) == ["leafwise_boosting", "histogram_boosting", "logistic_regression"]
     assert set(requested_families(["unheard_of"], False)) == set(registry(False))
     plan = default_plan({"rows": 100, "task": "classification", "cat_feats": 5, "missing_pct": 0.0, "high_skew": [], "classes": 2})
     assert plan["models"][0] == "gradient_boosting" and plan["trials"] == 12 and plan["metric"] == "roc_auc"
@@ -150,3 +150,12 @@ def test_ridge_equals_the_closed_form(spark):
     model = registry(False)["ridge"].fit(vec, Task(False, rows=120, width=2, label_std=float(y.std())), {"alpha": 5.0})
     xc, yc = x - x.mean(axis=0), y - y.mean()
     assert model.coefficients.toArray() == pytest.approx(np.linalg.solve(xc.T @ xc + 5.0 * np.eye(2), xc.T @ yc), abs=1e-8)
+
+
+def test_exact_shapley_of_the_winner(flowers):
+    auto = AutoTable(flowers, "species", key=["key"], trials=0, grid=ONE, params=LIGHT, models=["random_forest"], ensembles=False).run()
+    values = auto.exact_shapley()
+    rows, outputs = auto.prepared.val.count(), 3
+    assert values.count() == rows * outputs * len(auto.names)
+    top = values.groupBy("feature").agg(F.avg(F.abs("value")).alias("v")).orderBy(F.desc("v")).first()["feature"]
+    assert top in ("petal", "sepal")
