@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import (
-    as_double, clip, double_arrays, ref, unpivot_numeric, with_positions, yeo_johnson,
+    as_double, clip, double_arrays, ref, with_positions, yeo_johnson,
 )
 from tabsmith.operators.fitted import ColumnEstimator, FittedColumns
+from tabsmith.operators.order_stats import COLUMNS_PER_JOB
 from tabsmith.operators.stats import clean_values, summarize
 
 # Coefficients of Acklam's rational approximation of the normal quantile.
@@ -63,41 +66,96 @@ class OutlierClip(ColumnEstimator):
         return ClipModel.of(bounds)
 
 
+def _power_moments(wanted: dict[int, list[float]]):
+    """Per task: count, mean and squared deviations of each transformed column, and its sum of signed logarithms."""
+    def run(batches):
+        state: dict[tuple[int, float], np.ndarray] = {}
+        for batch in batches:
+            for at, lams in wanted.items():
+                x = batch.column(at).drop_null().to_numpy(zero_copy_only=False)
+                x = x[~np.isnan(x)]
+                if not len(x):
+                    continue
+                size, down = np.log1p(np.abs(x)), x < 0
+                some_down = bool(down.any())
+                jacobian = float(np.where(down, -size, size).sum())
+                for lam in lams:
+                    y = size if abs(lam) < 1e-12 else (np.exp(lam * size) - 1.0) / lam
+                    if some_down:
+                        back = 2.0 - lam
+                        y = np.where(down, -size if abs(back) < 1e-12 else (1.0 - np.exp(back * size)) / back, y)
+                    mean = y.mean()
+                    d = y - mean
+                    new = np.array([len(y), mean, (d * d).sum(), jacobian])
+                    state[at, lam] = _joined(np.stack([state[at, lam], new])) if (at, lam) in state else new
+        keys = list(state)
+        rows = np.array([state[k] for k in keys]).reshape(-1, 4)
+        yield pa.record_batch([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.float64()), *map(pa.array, rows.T)], _MOMENTS)
+
+    def quiet(batches):
+        with np.errstate(over="ignore", invalid="ignore"):  # exponents that pass the range are not usable
+            yield from run(batches)
+    return quiet
+
+
+_MOMENTS = ["at", "lam", "n", "mean", "m2", "j"]
+_MOMENT_TYPES = "at int, lam double, n double, mean double, m2 double, j double"
+
+
+def _joined(parts: np.ndarray) -> np.ndarray:
+    """Moments (n, mean, m2, j) of all parts together."""
+    n, mean, m2, j = parts.T
+    whole = (n * mean).sum() / n.sum()
+    return np.array([n.sum(), whole, (m2 + n * (mean - whole) ** 2).sum(), j.sum()])
+
+
+def _join_moments(table: pa.Table) -> pa.Table:
+    with np.errstate(over="ignore", invalid="ignore"):
+        whole = _joined(np.column_stack([table.column(c).to_numpy() for c in _MOMENTS[2:]]))
+    return pa.table([table.column("at").slice(0, 1), table.column("lam").slice(0, 1), *(pa.array([v]) for v in whole)], _MOMENTS)
+
+
+def _likelihoods(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[tuple[str, float], float]:
+    """Log-likelihood of each wanted exponent of each column that has values; a task sends only its moments."""
+    out = {}
+    cols = [c for c in wanted if wanted[c]]
+    for start in range(0, len(cols), COLUMNS_PER_JOB):
+        chunk = cols[start:start + COLUMNS_PER_JOB]
+        rows = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(chunk)])
+        moments = rows.mapInArrow(_power_moments({i: list(wanted[c]) for i, c in enumerate(chunk)}), _MOMENT_TYPES)
+        # A row for each column and exponent.
+        for r in moments.groupBy("at", "lam").applyInArrow(_join_moments, _MOMENT_TYPES).collect():
+            v = r["m2"] / r["n"]
+            usable = v == v and v > 0 and not math.isinf(v)
+            out[chunk[r["at"]], r["lam"]] = -r["n"] / 2.0 * math.log(v) + (r["lam"] - 1.0) * r["j"] if usable else -math.inf
+    return out
+
+
 def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], points: int = 7, rounds: int = 5) -> dict[str, float]:
     """Maximum-likelihood exponent per column.
 
-    Every round evaluates ``points`` exponents of every column in one aggregate (groups are
-    columns), then narrows around the best; a parabola through the last three finishes.
+    Every round evaluates ``points`` exponents of every column, those of earlier rounds not
+    again, then narrows around the best; a parabola through the last three finishes.
     """
-    spark = df.sparkSession
-    values = clean_values(df, cols)
-    long = unpivot_numeric(df.select(*[values[c].alias(c) for c in cols]), cols)
     lo = dict.fromkeys(cols, -4.0)
     hi = dict.fromkeys(cols, 6.0)
     out: dict[str, float] = {}
+    known: dict[tuple[str, float], float] = {}
     for _ in range(rounds):
-        grids = {c: [lo[c] + i * (hi[c] - lo[c]) / (points - 1) for i in range(points)] for c in lo}
-        table = spark.createDataFrame(
-            [(c, i, lam) for c, grid in grids.items() for i, lam in enumerate(grid)], "column string, i int, lam double")
-        # ``points`` rows per column are broadcast; each value meets only its column's rows.
-        tried = long.join(F.broadcast(table), "column")
-        signed_log = F.signum("value") * F.log1p(F.abs("value"))
-        cells = tried.groupBy("column", "i").agg(
-            F.count("*").alias("n"), F.sum(signed_log).alias("j"),
-            F.var_pop(yeo_johnson(F.col("value"), F.col("lam"))).alias("v")).collect()
-        by_column: dict[str, dict[int, object]] = {}
-        for cell in cells:
-            by_column.setdefault(cell["column"], {})[cell["i"]] = cell
-        rows = by_column.items()
-        for c, tests in rows:
+        grids = {}
+        for c in lo:
+            grid = [lo[c] + i * (hi[c] - lo[c]) / (points - 1) for i in range(points)]
+            # The same exponent comes again with other last digits.
+            tried = [lam for name, lam in known if name == c]
+            grids[c] = [next((t for t in tried if abs(t - lam) < 1e-9 * (hi[c] - lo[c])), lam) for lam in grid]
+        known |= _likelihoods(df, {c: [lam for lam in grids[c] if (c, lam) not in known] for c in grids})
+        for c in [c for c in grids if all((c, lam) not in known for lam in grids[c])]:
+            lo.pop(c)  # a column without values
+        for c in lo:
             grid = grids[c]
-            fit = []
-            for i, lam in enumerate(grid):
-                n, j, v = (tests[i][k] for k in ("n", "j", "v"))
-                usable = v is not None and v == v and v > 0 and not math.isinf(v)
-                fit.append(-n / 2.0 * math.log(v) + (lam - 1.0) * j if usable else -math.inf)
+            fit = [known[c, lam] for lam in grid]
             best = max(range(points), key=fit.__getitem__)
-            step = grid[1] - grid[0]
+            step = (hi[c] - lo[c]) / (points - 1)
             out[c] = grid[best]
             if 0 < best < points - 1 and min(fit[best - 1], fit[best + 1]) > -math.inf:
                 a, b, d = fit[best - 1], fit[best], fit[best + 1]
