@@ -1,8 +1,9 @@
 """Explanations of fitted models, as one scoring job over exploded what-if rows.
 
 Shapley values and local surrogates are linear in the model's outputs on a fixed set of
-perturbations, so a row's explanation is a weighted sum of its scores.  The exploded
-copies of a row sit in one task and are combined there before the shuffle.
+perturbations, so a row's explanation is a weighted sum of its scores.  Rows are dealt
+out by key before they are copied, so the copies of a row are scored and summed in one
+task without another shuffle, and a task holds the sums of a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -104,9 +105,20 @@ def _outputs(scored: DataFrame, classes: int) -> tuple[DataFrame, list[Column]]:
     return scored, [F.col("prediction")]
 
 
+# Sums that a task holds at a time.
+TASK_SUMS = 1_000_000
+
+
+def _dealt(df: DataFrame, key: Sequence[str], sums: int) -> DataFrame:
+    """``df`` by key, in parts whose rows have ``TASK_SUMS`` sums together, ``sums`` a row."""
+    parts = math.ceil(df.count() * sums / TASK_SUMS)
+    return df.repartition(max(parts, 2 * df.sparkSession.sparkContext.defaultParallelism), *[ref(k) for k in key])
+
+
 def _weighted_outputs(df: DataFrame, model, key: Sequence[str], points: Column, weights: np.ndarray, classes: int) -> DataFrame:
     """Per key: ``w<c>_<j>`` = sum over perturbations s of weights[s, j] * output c."""
-    exploded = df.select(*[ref(k) for k in key], F.posexplode(points).alias("_s", "_x"))
+    dealt = _dealt(df.select(*[ref(k) for k in key], "features"), key, weights.shape[1] * max(1, classes))
+    exploded = dealt.select(*[ref(k) for k in key], F.posexplode(points).alias("_s", "_x"))
     exploded = exploded.select(*[ref(k) for k in key], "_s", array_to_vector("_x").alias("features"))
     scored, outs = _outputs(score(model, exploded), classes)
     # Weights are looked up once per exploded row.
@@ -166,9 +178,18 @@ def local_surrogate(model, df: DataFrame, names: Sequence[str], key: Sequence[st
     noise = double_arrays((z * np.array(scales)[None, :]).tolist())
     points = F.transform(noise, lambda n: F.zip_with(x, n, lambda a, b: a + b))
     sums = _weighted_outputs(df, model, key, points, solution.T[:, :d], classes)
-    long = _long(sums, key, names, classes, "weight")
-    w = Window.partitionBy(*[ref(k) for k in key], "output").orderBy(F.abs("weight").desc(), "feature")
-    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= features)
+    # Largest weights first within the row: absent ones last, not-a-numbers first, ties by name.
+    lists: dict[int, list[Column]] = {}
+    for c in [c for c in sums.columns if c not in key]:
+        output, j = int(c.split("_")[0][1:]), int(c.split("_")[1])
+        w = F.col(c)
+        lists.setdefault(output, []).append(F.struct(
+            w.isNull().alias("none"), (~F.coalesce(F.isnan(w), F.lit(False))).alias("number"), (-F.abs(w)).alias("size"),
+            F.lit(names[j]).alias("feature"), w.alias("weight")))
+    ranked = sums.select(*[ref(k) for k in key], F.inline(F.array(*[
+        F.struct(F.lit(output).alias("output"), F.slice(F.array_sort(F.array(*structs)), 1, features).alias("_top")) for output, structs in lists.items()])))
+    return ranked.select(*[ref(k) for k in key], "output", F.posexplode("_top").alias("_at", "_w")).select(
+        *[ref(k) for k in key], "output", "_w.feature", "_w.weight", (F.col("_at") + 1).alias("rank"))
 
 
 # what-if grids ----------------------------------------------------------------
