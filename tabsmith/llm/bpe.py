@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from tabsmith.llm import packed
 from tabsmith.llm import text as tx
 
-# Bytes of text whose positions one task puts together at a time.
+# Bytes of text whose positions one task puts together at a time, and words whose ids it lays out at a time.
 ASSEMBLY_BYTES = 8 << 20
+LAYOUT_WORDS = 1 << 17
 
 # Bytes beside which a single space may be a cut: printable ASCII, and lead bytes of no white-space character.
 _PLAIN = np.zeros(256, bool)
@@ -91,6 +92,7 @@ def _blocks(docs: DataFrame, schema: str, emit) -> DataFrame:
                 if size >= ASSEMBLY_BYTES:
                     yield emit(_Block(got))
                     got, size = [], 0
+                    tx.release()
         if got:
             yield emit(_Block(got))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -225,14 +227,22 @@ def _assembled(table: pa.Table, path: str | None) -> pa.Table:
             raise ValueError("words of a block did not come back")
         planes = np.frombuffer(_unpressed(row["places"]), np.uint8).reshape(4, -1)
         where = by_frequency[np.ascontiguousarray(planes.T).view(np.uint32).ravel()]
-        many = per_word[where]
-        end = np.cumsum(many)
-        flat = ids[np.repeat(first[where] - end + many, many) + np.arange(end[-1] if len(end) else 0)]
+        del planes
         words = np.concatenate(([0], np.cumsum(read(row["counts"]), dtype=np.int64)))
-        ends = np.concatenate(([0], end))[words]
-        got = [pa.array(row["doc_id"], pa.int64()), tx.ragged(flat, np.diff(ends), pa.int32())]
-        names = ["doc_id", "ids"]
-        out.append(pa.table([*got, _decoded(flat, ends[1:], path)], [*names, "decoded"]) if path else pa.table(got, names))
+        doc_id = pa.array(row["doc_id"], pa.int64())
+        # Whole rows at a time, as places and ids in full width are many times the text.
+        at = 0
+        while at < len(doc_id):
+            to = max(at + 1, int(np.searchsorted(words, words[at] + LAYOUT_WORDS, side="right")) - 1)
+            part = where[words[at]:words[to]]
+            many = per_word[part]
+            end = np.cumsum(many)
+            flat = ids[np.repeat(first[part] - end + many, many) + np.arange(end[-1] if len(end) else 0)]
+            ends = np.concatenate(([0], end))[words[at:to + 1] - words[at]]
+            got = [doc_id.slice(at, to - at), tx.ragged(flat, np.diff(ends), pa.int32())]
+            names = ["doc_id", "ids"]
+            out.append(pa.table([*got, _decoded(flat, ends[1:], path)], [*names, "decoded"]) if path else pa.table(got, names))
+            at = to
     return pa.concat_tables(out)
 
 
