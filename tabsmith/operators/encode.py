@@ -29,6 +29,10 @@ def _text(name: str) -> Column:
 class CodeMapModel(FittedColumns):
     """Inline form: ``{column: {"map": {category: [codes]}, "default": [...], "names": [...]}}``."""
 
+    @property
+    def outputs(self) -> list[str]:
+        return [n for f in self.fitted.values() for n in f["names"]]
+
     def _transform(self, df: DataFrame) -> DataFrame:
         # One lookup per column; the codes are then taken from it in a second projection.
         found, out = {}, {}
@@ -47,6 +51,10 @@ class CodeMapModel(FittedColumns):
 class CodeTableModel(TableModel):
     """Join form, for columns with very many categories."""
 
+    @property
+    def outputs(self) -> list[str]:
+        return [n for f in self.fitted["columns"].values() for n in f["names"]]
+
     def _transform(self, df: DataFrame) -> DataFrame:
         small = self.fitted["rows"] <= BROADCAST_ROWS
         for c, f in self.fitted["columns"].items():

@@ -52,19 +52,23 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, clas
         .agg(F.count("*").alias("n"))
     )
 
-    def entropy_sum(counts: DataFrame, name: str) -> DataFrame:
-        return counts.groupBy("feature").agg(F.sum(F.col("n") * F.ln("n")).alias(name), F.sum("n").alias("total"))
-
-    # n * MI = sum nxy ln nxy - sum nx ln nx - sum ny ln ny + n ln n
-    joint = entropy_sum(cells, "sxy")
-    by_x = entropy_sum(cells.groupBy("feature", "bx").agg(F.sum("n").alias("n")), "sx").drop("total")
-    by_y = entropy_sum(cells.groupBy("feature", "by").agg(F.sum("n").alias("n")), "sy").drop("total")
+    # n * MI = sum nxy ln nxy - sum nx ln nx - sum ny ln ny + n ln n, all three sums from one count of the cells
+    none = F.lit(None)
+    sides = F.array(
+        F.struct(F.lit("xy").alias("side"), F.col("bx"), F.col("by")),
+        F.struct(F.lit("x").alias("side"), F.col("bx"), none.cast("string").alias("by")),
+        F.struct(F.lit("y").alias("side"), none.cast("int").alias("bx"), F.col("by")))
+    counts = cells.select("feature", "n", F.inline(sides)).groupBy("feature", "side", "bx", "by").agg(F.sum("n").alias("n"))
+
+    def over(side: str, value: Column) -> Column:
+        return F.sum(F.when(F.col("side") == side, value))
+
+    term = F.col("n") * F.ln("n")
+    sums = counts.groupBy("feature").agg(
+        over("xy", term).alias("sxy"), over("x", term).alias("sx"), over("y", term).alias("sy"), over("xy", F.col("n")).alias("total"))
     n = F.col("total")
     mi = (F.col("sxy") - F.col("sx") - F.col("sy") + n * F.ln(n)) / n
-    return (
-        joint.join(by_x, "feature").join(by_y, "feature")
-        .select("feature", F.greatest(mi, F.lit(0.0)).alias("mi"))
-    )
+    return sums.select("feature", F.greatest(mi, F.lit(0.0)).alias("mi"))
 
 
 # nearest neighbours ----------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.expr import row_key
 from tabsmith.functions.session import cut_lineage
 from tabsmith.operators.order_stats import running_totals
-from tabsmith.operators.scale import normal_quantile
+from tabsmith.operators.scale import with_normal_quantiles
 from tabsmith.operators.stats import clean_values, report, summarize
 
 # Polynomials of Royston's approximation (AS R94), lowest power first.
@@ -106,6 +106,6 @@ def shapiro_francia(df: DataFrame, cols: Sequence[str], bucket_rows: int | None
     facts = spark.createDataFrame([(c, stats[c].n, float(stats[c].mean), float(stats[c].m2)) for c in used], "column string, n long, mean double, m2 double")
     each = ranked.join(F.broadcast(facts), "column").select(  # a row for each column
         "column", "n", "m2", (F.col("v") - F.col("mean")).alias("d"), F.explode(F.sequence(F.col("cum_k") - F.col("k") + 1, F.col("cum_k"))).alias("rank"))
-    scored = each.withColumn("m", normal_quantile((F.col("rank") - 0.375) / (F.col("n") + 0.25)))
+    scored = with_normal_quantiles(each, {"m": (F.col("rank") - 0.375) / (F.col("n") + 0.25)})
     found = scored.groupBy("column", "n", "m2").agg(F.sum(F.col("m") * F.col("d")).alias("both"), F.sum(F.col("m") * F.col("m")).alias("mm"))
     return found.select("column", "n", (F.col("both") * F.col("both") / (F.col("mm") * F.col("m2"))).alias("w"))

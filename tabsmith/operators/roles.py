@@ -135,11 +135,11 @@ def split_columns(df: DataFrame, target: str | None, drop: Sequence[str] = ()) -
     roles = ColumnRoles(numeric_columns(df, skip), boolean_columns(df, skip), dropped=list(drop))
     text_dates: list[str] = []
     if strings:
-        r = df.agg(*[
-            F.avg(F.when(ref(c).isNotNull(), parse_timestamp(ref(c)).isNotNull().cast("int"))).alias(f"c{i}")
-            for i, c in enumerate(strings)
-        ]).first()
-        text_dates = [c for i, c in enumerate(strings) if (r[i] or 0.0) > 0.8]
+        # Several formats are tried, so each text once: its rows are counted first.
+        texts = unpivot_strings(df, strings).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+        parsed = F.when(parse_timestamp(F.col("value")).isNotNull(), F.col("n")).otherwise(0)
+        shares = texts.groupBy("column").agg((F.sum(parsed) / F.sum("n")).alias("share")).collect()
+        text_dates = [c for c in strings if any(r["column"] == c and r["share"] > 0.8 for r in shares)]
     cats = [c for c in strings if c not in text_dates]
     distinct = screened_distinct_counts(df, {}, cats, near=LOW_CARDINALITY)
     roles.low_card = [c for c in cats if distinct[c] <= LOW_CARDINALITY]

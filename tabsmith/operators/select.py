@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -32,19 +32,38 @@ class DateParts(ColumnEstimator):
         return DatePartsModel.of(self.cols)
 
 
+def variances(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """Population variance of each column, None without values."""
+    stats = summarize(df, cols, (), moments=2)
+    return {c: s.m2 / s.n if s.n else None for c, s in stats.items()}
+
+
 def low_variance(df: DataFrame, cols: Sequence[str], threshold: float = 1e-5) -> list[str]:
     """Columns whose population variance does not exceed ``threshold``."""
-    stats = summarize(df, cols, (), moments=2)
-    return [c for c, s in stats.items() if not s.n or s.m2 / s.n <= threshold]
+    return _dull(variances(df, cols), threshold)
+
+
+def _dull(found: Mapping[str, float | None], threshold: float) -> list[str]:
+    return [c for c, v in found.items() if v is None or v <= threshold]
+
+
+def information(df: DataFrame, cols: Sequence[str], target: str, classification: bool, estimator: str = "bins") -> dict[str, float]:
+    """Mutual information of each column with the target; ``estimator`` is ``bins`` or ``neighbours``."""
+    measure = {"bins": mutual_information, "neighbours": neighbour_information}[estimator]
+    scores = {r["feature"]: r["mi"] for r in measure(df, cols, target, classification).collect()}
+    return {c: scores.get(c, 0.0) for c in cols}
 
 
 def best_by_information(df: DataFrame, cols: Sequence[str], target: str, k: int, classification: bool, estimator: str = "bins") -> list[str]:
     """The k columns with most mutual information, in input order; ``estimator`` is ``bins`` or ``neighbours``."""
     if k >= len(cols):
         return list(cols)
-    measure = {"bins": mutual_information, "neighbours": neighbour_information}[estimator]
-    scores = {r["feature"]: r["mi"] for r in measure(df, cols, target, classification).collect()}
-    ranked = sorted(cols, key=lambda c: (-scores.get(c, 0.0), cols.index(c)))[:k]
+    return _leading(information(df, cols, target, classification, estimator), k)
+
+
+def _leading(scores: Mapping[str, float], k: int) -> list[str]:
+    cols = list(scores)
+    ranked = sorted(cols, key=lambda c: (-scores[c], cols.index(c)))[:k]
     return [c for c in cols if c in ranked]
 
 
@@ -72,14 +91,20 @@ class FeatureVector(ColumnEstimator):
     """
 
     def _fit(self, df: DataFrame) -> FeatureVectorModel:
+        return self.fit_measured(df, lambda kind, cols, measure: measure(cols))
+
+    def fit_measured(self, df: DataFrame, measured: Callable) -> FeatureVectorModel:
+        """``fit`` where ``measured(kind, cols, measure)`` gives the measure of each column, from ``measure(cols)`` or known before."""
         exclude = self.option("exclude", [])
-        target = self.option("target")
+        target, classification = self.option("target"), self.option("classification", True)
         cols = [c for c in numeric_columns(df, [*exclude, target])]
-        dull = set(low_variance(df, cols, self.option("min_variance", 1e-5)))
+        spread = measured("variance", cols, lambda some: variances(df, some))
+        dull = set(_dull({c: spread[c] for c in cols}, self.option("min_variance", 1e-5)))
         keep = [c for c in cols if c not in dull] or cols
         k = self.option("k")
-        if k:
-            keep = best_by_information(df, keep, target, k, self.option("classification", True))
+        if k and k < len(keep):
+            scores = measured(f"information:{classification}", keep, lambda some: information(df, some, target, classification))
+            keep = _leading({c: scores[c] for c in keep}, k)
         return FeatureVectorModel.of({"keep": keep, "output": self.option("output", "features")})
 
 

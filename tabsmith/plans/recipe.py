@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from threading import Lock
@@ -107,12 +107,17 @@ def _stages(recipe: Recipe, roles: ColumnRoles, classes: int) -> list:
 
 
 class StageCache:
-    """Fits shared by recipes: a stage that sees the same rows is fitted once."""
+    """Fits and column measures shared by recipes: what derives in the same way from the same columns is worked out once."""
 
     def __init__(self):
-        self._lock, self._fits = Lock(), {}
+        self._lock, self._fits, self._measures, self._numbers = Lock(), {}, {}, {}
 
-    def fit(self, key: tuple, stage, df: DataFrame):
+    def number(self, derivation: tuple) -> int:
+        """A short name of a derivation."""
+        with self._lock:
+            return self._numbers.setdefault(derivation, len(self._numbers))
+
+    def fit(self, key: int, run: Callable):
         with self._lock:
             future = self._fits.get(key)
             mine = future is None
@@ -120,26 +125,66 @@ class StageCache:
                 future = self._fits[key] = Future()
         if mine:
             try:
-                future.set_result(stage.fit(df) if isinstance(stage, Estimator) else stage)
+                future.set_result(run())
             except BaseException as e:
                 future.set_exception(e)
         return future.result()
 
+    def measure(self, keys: dict[str, tuple], run: Callable) -> dict:
+        """``run(columns)`` for the columns whose keys are new; the others as measured before, or at this time by another recipe."""
+        mine, others = {}, {}
+        with self._lock:
+            for c, key in keys.items():
+                if key in self._measures:
+                    others[c] = self._measures[key]
+                else:
+                    mine[c] = self._measures[key] = Future()
+        found = {}
+        if mine:
+            try:
+                found = run(list(mine))
+                for c, future in mine.items():
+                    future.set_result(found[c])
+            except BaseException as e:
+                for future in mine.values():
+                    if not future.done():
+                        future.set_exception(e)
+                raise
+        # A failure may be due to another recipe's columns, so it is not shared.
+        failed = [c for c, future in others.items() if future.exception()]
+        found.update({c: future.result() for c, future in others.items() if c not in failed})
+        return {**found, **run(failed)} if failed else found
+
 
 def _fit_stages(stages: list, df: DataFrame, complete: bool, cache: StageCache) -> list:
-    """Fit one stage after the other.  Where the numbers have no gaps every imputer leaves
-    them alone, so the stages behind it do not depend on which one it was."""
-    key: tuple = ()
+    """Fit one stage after the other.  A fit depends on the columns it reads, a column on the fit that wrote it, so stages of
+    categories and dates do not depend on the scaler.  Where the numbers have no gaps every imputer leaves them alone, so
+    the stages behind it do not depend on which one it was."""
+    origin = {c: cache.number((c,)) for c in df.columns}
     models = []
     for stage in stages:
         options = stage.getOrDefault("options") if stage.hasParam("options") else stage.getOrDefault("spec")
-        cols = tuple(stage.cols) if hasattr(stage, "cols") else ()
-        own = (type(stage).__name__, cols, options)
-        model = cache.fit((*key, own), stage, df)
+        cols = stage.cols if hasattr(stage, "cols") else list(stage.fitted)
+        target = stage.option("target") if hasattr(stage, "option") else None
+        chooses = isinstance(stage, FeatureVector)
+        reads = df.columns if chooses else [*cols, *([target] if target else [])]
+        key = cache.number((type(stage).__name__, tuple(cols), options, tuple((c, origin[c]) for c in reads)))
+
+        def measured(kind, names, measure, y=target):
+            return cache.measure({c: (kind, origin[c], origin[y]) for c in names}, measure)
+
+        def fit(stage=stage, df=df, chooses=chooses, measured=measured):
+            if chooses:
+                return stage.fit_measured(df, measured)
+            return stage.fit(df) if isinstance(stage, Estimator) else stage
+
+        model = cache.fit(key, fit)
+        skip = complete and not models and isinstance(stage, (Fill, KnnFill, ChainedFill))
         models.append(model)
-        df = model.transform(df)
-        skip = complete and not models[:-1] and isinstance(stage, (Fill, KnnFill, ChainedFill))
-        key = key if skip else (*key, own)
+        before, df = set(df.columns), model.transform(df)
+        written = {*cols, *getattr(model, "outputs", ())}
+        if not skip:
+            origin |= {c: cache.number((key, c)) for c in df.columns if c in written or c not in before}
     return models
 
 
