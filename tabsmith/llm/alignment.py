@@ -6,6 +6,9 @@ windows have equal alignments, so each distinct pair of tuples is aligned once a
 reaches over a single space between words, so a word's ids do not depend on what stands around it: each distinct word is
 tokenised and cut to windows once for a block of texts, and the block's texts are put together from their words.
 
+Words and windows are remembered in flat arrays, since two workers share an executor with its JVM and an object for each
+id, tuple and text takes several times the room.  New windows are aligned many at a time.
+
 How many documents link two ids is counted over the corpus: tasks write shards (the links of some megabytes of text as
 places in the shard's table of distinct pairs), the shards' tables are summed, and each shard asks for the sums of the
 pairs in its table.
@@ -14,10 +17,11 @@ pairs in its table.
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import os
 from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +37,14 @@ from tabsmith.llm.bpe import word_starts
 SHARD_BYTES = 8 << 20
 # Words, and ids in them, that a worker remembers before it begins anew.
 MEMO_WORDS, MEMO_IDS = 400_000, 4_000_000
+# Indices that are laid out at a time: they take many times the bytes that they point to.
+INDICES = 1 << 18
+# Words that are tokenised at a time: what the tokenizers give for a token is many times an id.
+ENCODE_WORDS = 1 << 13
 
 _PER_DOC = ("n_a", "n_b", "n_groups", "n_links")
 SHARD = ("block long, doc_id array<long>, " + ", ".join(f"{n} array<int>" for n in _PER_DOC)
-         + ", groups_sha256 array<string>, n_pairs array<int>, places array<int>, times array<int>, a array<int>, b array<int>, held array<int>")
+         + ", groups_sha256 array<string>, n_pairs array<int>, places binary, times binary, a array<int>, b array<int>, held array<int>")
 SCORED = "doc_id long, " + ", ".join(f"{n} long" for n in _PER_DOC) + ", n_best long, count_sum long, groups_sha256 string"
 
 
@@ -61,7 +69,7 @@ class ByteLevel:
             self.bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
 class Pieces:
@@ -80,145 +88,269 @@ class Pieces:
         return self.model.encode([w[1:] for w in words], num_threads=1)
 
 
+def _runs(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The indices of runs, one run after the other."""
+    end = np.cumsum(many)
+    return np.repeat(begin - end + many, many) + np.arange(end[-1] if len(end) else 0)
+
+
+def _pieces(many: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and end of stretches of runs with about ``INDICES`` numbers; a longer run is one by itself."""
+    end, at = np.cumsum(many), 0
+    while at < len(many):
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + INDICES, side="right")))
+        yield at, to
+        at = to
+
+
+def _take(values: np.ndarray, begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after the other."""
+    out, at = np.empty(many.sum(), values.dtype), 0
+    for i, j in _pieces(many):
+        some = values[begin[i]:begin[i] + many[i]] if j == i + 1 else values[_runs(begin[i:j], many[i:j])]
+        out[at:at + len(some)] = some
+        at += len(some)
+    return out
+
+
+class _Rows:
+    """Rows of numbers, one after the other in one array, and where each begins."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.forget()
+
+    def forget(self) -> None:
+        self._flat, self._first = array(self.kind), array("q", [0])
+
+    def __len__(self) -> int:
+        return len(self._first) - 1
+
+    @property
+    def flat(self) -> np.ndarray:
+        """A view; none may be kept over ``add``."""
+        return np.frombuffer(self._flat, self.kind)
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.frombuffer(self._first, np.int64)
+
+    def many(self, rows: np.ndarray) -> np.ndarray:
+        first = self.first
+        return first[rows + 1] - first[rows]
+
+    def add(self, values: np.ndarray, many: np.ndarray) -> None:
+        self._flat.frombytes(values.astype(self.kind, copy=False).tobytes())
+        self._first.frombytes((self._first[-1] + np.cumsum(many, dtype=np.int64)).tobytes())
+
+
+class _Known(_Rows):
+    """Distinct rows and their numbers.  Rows are found by a hash and compared, so hashes that meet do no harm."""
+
+    def forget(self) -> None:
+        super().forget()
+        self._hashes, self._number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def _same(self, values: np.ndarray, begin: np.ndarray, many: np.ndarray, other: np.ndarray, at: np.ndarray, as_many: np.ndarray) -> np.ndarray:
+        """Whether runs of ``values`` are those of ``other``."""
+        same = many == as_many
+        for i, j in _pieces(many):
+            rows = i + np.flatnonzero(same[i:j])
+            n = many[rows]
+            unlike = np.flatnonzero(_take(values, begin[rows], n) != _take(other, at[rows], n))
+            same[rows[np.searchsorted(np.cumsum(n), unlike, side="right")]] = False
+        return same
+
+    def numbers(self, values: np.ndarray, begin: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each run of ``values``, and which runs are new: one of each, which get the next numbers in this order."""
+        width = values.itemsize
+        hashes = tx.span_hashes(values.view(np.uint8), begin * width, (begin + many) * width)
+        found, one, where = np.unique(hashes, return_index=True, return_inverse=True)
+        # Runs that only share the hash of the first one with it stand for themselves.
+        first = one[where]
+        again = np.flatnonzero(first != np.arange(len(first)))
+        first = first[again]
+        unlike = again[~self._same(values, begin[again], many[again], values, begin[first], many[first])]
+        one, found = np.append(one, unlike), np.append(found, hashes[unlike])
+        where[unlike] = np.arange(len(one) - len(unlike), len(one))
+        number = np.full(len(one), -1, np.int64)
+        if len(self):
+            at = np.minimum(np.searchsorted(self._hashes, found), len(self._hashes) - 1)
+            seen = np.flatnonzero(self._hashes[at] == found)
+            is_it = self._number[at[seen]].astype(np.int64)
+            same = self._same(values, begin[one[seen]], many[one[seen]], self.flat, self.first[is_it], self.many(is_it))
+            number[seen[same]] = is_it[same]
+        new = np.flatnonzero(number < 0)
+        number[new] = np.arange(len(self), len(self) + len(new))
+        order = np.argsort(found[new], kind="stable")
+        at = np.searchsorted(self._hashes, found[new][order])
+        self._hashes = np.insert(self._hashes, at, found[new][order])
+        self._number = np.insert(self._number, at, number[new][order].astype(np.int32))
+        self.add(_take(values, begin[one[new]], many[one[new]]), many[one[new]])
+        return number[where], one[new]
+
+
 class Aligner:
     """Both tokenizers of a worker, and the words and windows that it has aligned."""
 
     def __init__(self, byte_level: str, pieces: str):
         self.a, self.b = ByteLevel(byte_level), Pieces(pieces)
-        self.sizes = [list(map(len, x.bytes)) for x in (self.a, self.b)]
-        self.spaced = [[w[:1] == b" " for w in x.bytes] for x in (self.a, self.b)]
-        self.said = list(map(str, range(max(map(len, self.sizes)))))
+        self.sizes = [np.array(list(map(len, x.bytes)), np.int64) for x in (self.a, self.b)]
+        self.spaced = [np.array([w[:1] == b" " for w in x.bytes]) for x in (self.a, self.b)]
+        # Bytes of each side's tokens, and the tokens' ids as digits with a comma.
+        self.spelt = [_Rows("B"), _Rows("B")]
+        for rows, x, size in zip(self.spelt, (self.a, self.b), self.sizes):
+            rows.add(np.frombuffer(b"".join(x.bytes), np.uint8), size)
+        said = [f"{i},".encode() for i in range(max(map(len, self.sizes)))]
+        self.said = _Rows("B")
+        self.said.add(np.frombuffer(b"".join(said), np.uint8), np.array(list(map(len, said))))
+        self.width = len(self.sizes[1])  # linked ids are A * width + B
+        self.words, self.windows = _Known("B"), _Known("i")  # a window is the number of its A ids, these, and its B ids
+        self.held = _Rows("i")  # windows of each word
+        self.links, self.texts = _Rows("q"), _Rows("B")  # of windows; groups are text with a semicolon after each
         self.forget()
 
     def forget(self) -> None:
-        self.windows: dict[tuple, tuple[str, int, tuple]] = {}  # by id tuples: text, number of groups, links
-        self.numbers: dict[int, int] = {}  # of linked ids (A << 32 | B)
-        self.words: dict[bytes, int] = {}
-        self.texts: list[str] = []  # of words, as all below
-        self.n_groups, self.bad = array("i"), array("b")
-        # Ids and numbers of links, word after word, and where each word's begin.
-        self.flat = {name: array("i") for name in ("a", "b", "links")}
-        self.first = {name: array("q", [0]) for name in self.flat}
-
-    def _align(self, a: tuple, b: tuple) -> tuple[str, int, tuple]:
-        """A window's groups between shared ends as text, their number, and the links: all pairs of tokens that share bytes."""
-        size_a, size_b = self.sizes
-        said, numbers, groups, links = self.said, self.numbers, [], []
-        i = j = 0
-        x, y = a[0], b[0]
-        ahead, group_a, group_b = size_a[x] - size_b[y], said[x], said[y]
-        while True:
-            # What lies up to the nearer end is in exactly these two tokens.
-            links.append(numbers.setdefault(x << 32 | y, len(numbers)))
-            if ahead < 0:
-                i += 1
-                x = a[i]
-                ahead += size_a[x]
-                group_a += "," + said[x]
-            elif ahead > 0:
-                j += 1
-                y = b[j]
-                ahead -= size_b[y]
-                group_b += "," + said[y]
-            else:
-                groups.append(group_a + "|" + group_b)
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return ";".join(groups), len(groups), tuple(links)
-                x, y = a[i], b[j]
-                ahead, group_a, group_b = size_a[x] - size_b[y], said[x], said[y]
-
-    def _cut(self, a: list[int], b: list[int]):
-        """The windows of a word: cut at shared ends where the next tokens of both begin with a space."""
-        (size_a, size_b), (space_a, space_b) = self.sizes, self.spaced
-        i = j = from_a = from_b = ahead = 0
-        while i < len(a):
-            if ahead <= 0:
-                ahead += size_a[a[i]]
-                i += 1
-            while ahead > 0:
-                ahead -= size_b[b[j]]
-                j += 1
-            if not ahead and (i == len(a) or space_a[a[i]] and space_b[b[j]]):
-                yield tuple(a[from_a:i]), tuple(b[from_b:j])
-                from_a, from_b = i, j
-
-    def _learn(self, words: list[bytes]) -> None:
-        gc.disable()  # what is remembered is much and has no cycles; looking through it for some takes almost half the time
-        try:
-            self._add(words)
-        finally:
-            gc.enable()
-
-    def _add(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        bytes_a, bytes_b = self.a.bytes, self.b.bytes
-        for word, a, b in zip(words, self.a.encode(texts), self.b.encode(texts)):
-            self.words[word] = len(self.texts)
-            fine = word == b"".join([bytes_a[i] for i in a]) == b"".join([bytes_b[i] for i in b])
-            said, count = [], 0
-            if fine:
-                # Most words have no further space, so they are one window.
-                for key in ((tuple(a), tuple(b)),) if word.rfind(b" ") == 0 else self._cut(a, b):
-                    window = self.windows.get(key)
-                    if window is None:
-                        window = self.windows[key] = self._align(*key)
-                    said.append(window[0])
-                    count += window[1]
-                    self.flat["links"].extend(window[2])
-                self.flat["a"].extend(a)
-                self.flat["b"].extend(b)
-            self.texts.append(";".join(said))
-            self.n_groups.append(count)
-            self.bad.append(not fine)
-            for name, first in self.first.items():
-                first.append(len(self.flat[name]))
+        for rows in (self.words, self.windows, self.held, self.links, self.texts):
+            rows.forget()
+        self.n_groups, self.bad = array("i"), array("b")  # of windows; of words
+
+    def _align(self, ids: list[np.ndarray], many: list[np.ndarray]) -> None:
+        """Remember windows: the groups between shared ends as text, their number, and the links: all pairs of tokens that share bytes."""
+        ends = [np.cumsum(size[x]) for size, x in zip(self.sizes, ids)]
+        edge = np.cumsum(many[0])
+        edge = ends[0][edge - 1] if len(edge) else edge
+        ending = np.zeros((2, edge[-1] if len(edge) else 0), bool)
+        for side in (0, 1):
+            ending[side, ends[side] - 1] = True
+        shared = ending[0] & ending[1]
+        per_window = lambda at: np.diff(np.searchsorted(at, edge), prepend=0)
+        # What lies up to the nearer end is in exactly these two tokens.
+        at = np.flatnonzero(ending[0] | ending[1])
+        x, y = (side_ids[np.searchsorted(side_ends, at + 1)] for side_ids, side_ends in zip(ids, ends))
+        self.links.add(x.astype(np.int64) * self.width + y, per_window(at))
+        group_ends = np.flatnonzero(shared)
+        self.n_groups.frombytes(per_window(group_ends).astype(np.int32).tobytes())
+        # A group's A tokens come after the B tokens of the groups before, its B tokens after its own A tokens too.
+        group = [np.searchsorted(group_ends, side_ends - 1) for side_ends in ends]
+        of_group = [np.concatenate(([0], np.searchsorted(side_ends, group_ends + 1) + 1)) for side_ends in ends]
+        place_a = np.arange(len(ids[0])) + of_group[1][group[0]]
+        place_b = np.arange(len(ids[1])) + of_group[0][group[1] + 1]
+        merged = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        merged[place_a], merged[place_b] = ids
+        size = self.said.many(merged)
+        said, said_to = _take(self.said.flat, self.said.first[merged], size), np.cumsum(size)
+        said[said_to[place_a[shared[ends[0] - 1]]] - 1] = ord("|")
+        said[said_to[place_b[shared[ends[1] - 1]]] - 1] = ord(";")
+        tokens = np.cumsum(many[0] + many[1])
+        self.texts.add(said, np.diff(said_to[tokens - 1], prepend=0) if len(tokens) else tokens)
+
+    def _cut(self, ids: list[np.ndarray], edge: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Where the windows of words end in both sides' ids, and the number of each word's windows.
+
+        They end at shared ends where the next tokens of both begin with a space, and with the words, whose bytes end at ``edge``.
+        """
+        ends = [np.cumsum(size[x]) for size, x in zip(self.sizes, ids)]
+        shared = np.intersect1d(*ends, assume_unique=True)
+        after = [np.searchsorted(x, shared) + 1 for x in ends]
+        spaced = [np.append(space[x], True)[at] for space, x, at in zip(self.spaced, ids, after)]
+        last = np.zeros(len(shared), bool)
+        last[np.searchsorted(shared, edge)] = True
+        cut = np.flatnonzero(last | spaced[0] & spaced[1])
+        return [x[cut] for x in after], np.diff(np.searchsorted(shared[cut], edge, side="right"), prepend=0)
+
+    def _learn(self, words: np.ndarray, many: np.ndarray) -> None:
+        """Tokenise new words, all their bytes side by side, and align those of their windows that are new."""
+        end = np.cumsum(many)
+        raw = words.tobytes()
+        texts = [raw[i:j].decode() for i, j in zip((end - many).tolist(), end.tolist())]
+        ids, counts, fine = [], [], np.ones(len(texts), bool)
+        for encoder, size in zip((self.a, self.b), self.sizes):
+            got = encoder.encode(texts)
+            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.int32, counts[-1].sum()))
+            fine &= np.diff(np.concatenate(([0], np.cumsum(size[ids[-1]])))[np.cumsum(counts[-1])], prepend=0) == many
+        # Of words of the right length, the tokens have to say the bytes.
+        right = fine.copy()
+        text = words[np.repeat(fine, many)]
+        for x, n, spelt, size in zip(ids, counts, self.spelt, self.sizes):
+            x = x[np.repeat(fine, n)]
+            unlike = np.flatnonzero(_take(spelt.flat, spelt.first[x], size[x]) != text)
+            right[np.flatnonzero(fine)[np.searchsorted(np.cumsum(many[fine]), unlike, side="right")]] = False
+        ids = [x[np.repeat(right, n)] for x, n in zip(ids, counts)]
+        to, of_word = self._cut(ids, np.cumsum(many[right]))
+        from_ = [np.concatenate(([0], x[:-1])) if len(x) else x for x in to]
+        n_a, n_b = (x - y for x, y in zip(to, from_))
+        begin = np.arange(len(n_a)) + from_[0] + from_[1]
+        rows = np.empty(len(ids[0]) + len(ids[1]) + len(begin), np.int32)
+        rows[begin], rows[_runs(begin + 1, n_a)], rows[_runs(begin + 1 + n_a, n_b)] = n_a, ids[0], ids[1]
+        number, new = self.windows.numbers(rows, begin, 1 + n_a + n_b)
+        self._align([_take(x, at[new], n[new]) for x, at, n in zip(ids, from_, (n_a, n_b))], [n_a[new], n_b[new]])
+        windows = np.zeros(len(texts), np.int64)
+        windows[right] = of_word
+        self.held.add(number, windows)
+        self.bad.frombytes((~right).astype(np.int8).tobytes())
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> "Block":
-        if len(self.words) > MEMO_WORDS or len(self.flat["a"]) > MEMO_IDS:
+        if len(self.words) > MEMO_WORDS or len(self.windows.flat) > 2 * MEMO_IDS:
             self.forget()
         raw = data.tobytes()
         spaced = [b" " + raw[i:j] if j > i else b"" for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         raw = b"".join(spaced)
         data, offsets = np.frombuffer(raw, np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in spaced], dtype=np.int64)))
         at = word_starts(data, offsets) if self.b.by_word else offsets[:-1][np.diff(offsets) > 0]
-        end = np.append(at[1:], len(data)) if len(at) else at
-        _, one, where = np.unique(tx.span_hashes(data, at, end), return_index=True, return_inverse=True)
-        distinct = [raw[i:j] for i, j in zip(at[one].tolist(), end[one].tolist())]
-        self._learn([w for w in distinct if w not in self.words])
-        number = np.array([self.words[w] for w in distinct], np.int64)[where]
+        many = np.diff(at, append=len(data)) if len(at) else at
+        number, new = self.words.numbers(data, at, many)
+        for k in range(0, len(new), ENCODE_WORDS):
+            some = new[k:k + ENCODE_WORDS]
+            self._learn(_take(data, at[some], many[some]), many[some])
         return Block(self, number, np.diff(np.searchsorted(at, offsets)))
 
 
 class Block:
-    """The words of some texts by their number with the aligner; a text with a word whose bytes do not come back has none."""
+    """The windows of some texts by their number with the aligner; a text with a word whose bytes do not come back has none."""
 
     def __init__(self, aligner: Aligner, words: np.ndarray, counts: np.ndarray):
-        self.aligner = aligner
+        self.aligner, self.n_texts = aligner, len(counts)
         owner = np.repeat(np.arange(len(counts)), counts)
         bad = np.zeros(len(counts), bool)
         bad[owner[np.frombuffer(aligner.bad, np.int8)[words] != 0]] = True
-        self.words, self.owner = words[~bad[owner]], owner[~bad[owner]]
-        self.counts = np.where(bad, 0, counts)
+        words, owner = words[~bad[owner]], owner[~bad[owner]]
+        held = aligner.held
+        many = held.many(words)
+        self.windows, self.owner = _take(held.flat, held.first[words], many).astype(np.int64), np.repeat(owner, many)
 
     def add(self, of: np.ndarray) -> np.ndarray:
-        """Sum over the words of each text."""
-        return np.bincount(self.owner, of, len(self.counts)).astype(np.int64)
+        """Sum over the windows of each text."""
+        return np.bincount(self.owner, of, self.n_texts).astype(np.int64)
 
     def flat(self, name: str) -> tuple[np.ndarray, np.ndarray]:
-        """What the words have, one after the other, and how many there are of each word."""
-        first = np.frombuffer(self.aligner.first[name], np.int64)
-        begin, many = first[self.words], (first[1:] - first[:-1])[self.words]
-        end = np.cumsum(many)
-        return np.frombuffer(self.aligner.flat[name], np.int32)[np.repeat(begin - end + many, many) + np.arange(many.sum())], many
+        """What the windows have, one after the other, and how many there are of each window."""
+        rows = self.aligner.links if name == "links" else self.aligner.windows
+        begin, many = rows.first[self.windows], rows.many(self.windows)
+        if name != "links":
+            n_a = rows.flat[begin].astype(np.int64)
+            begin, many = (begin + 1, n_a) if name == "a" else (begin + 1 + n_a, many - 1 - n_a)
+        return _take(rows.flat, begin, many), many
 
     def n_groups(self) -> np.ndarray:
-        return self.add(np.frombuffer(self.aligner.n_groups, np.int32)[self.words])
+        return self.add(np.frombuffer(self.aligner.n_groups, np.int32)[self.windows])
 
-    def texts(self) -> list[str]:
+    def said(self) -> Iterator[memoryview]:
         """The groups of each text."""
-        edge, listed, said = np.concatenate(([0], np.cumsum(self.counts))).tolist(), self.words.tolist(), self.aligner.texts
-        return [";".join([said[w] for w in listed[i:j]]) for i, j in zip(edge[:-1], edge[1:])]
+        rows = self.aligner.texts
+        if not len(self.windows):
+            yield from [memoryview(b"")] * self.n_texts
+            return
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(rows.first), pa.py_buffer(rows.flat)])
+        _, offsets, data = texts.take(pa.array(self.windows)).buffers()
+        at = np.frombuffer(offsets, np.int64)[np.searchsorted(self.owner, np.arange(self.n_texts + 1))].tolist()
+        data = memoryview(data)
+        for i, j in zip(at[:-1], at[1:]):
+            yield data[i:max(i, j - 1)]
+
+    def texts(self) -> list[str]:
+        return [str(t, "ascii") for t in self.said()]
 
 
 @functools.lru_cache(1)
@@ -226,6 +358,17 @@ def _aligner(byte_level: str, pieces: str) -> Aligner:
     return Aligner(byte_level, pieces)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same counts in the fewest bytes each."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def _wide(packed: pa.BinaryScalar, n: int) -> np.ndarray:
+    """``n`` numbers of a narrow array's bytes."""
+    raw = packed.as_buffer()
+    return np.frombuffer(raw, f"u{raw.size // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 class _Shard:
     """The links of some megabytes of text."""
 
@@ -236,9 +379,9 @@ class _Shard:
 
     def add(self, doc_id: pa.Array, aligner: Aligner, data: np.ndarray, offsets: np.ndarray) -> None:
         block = aligner.block(data, offsets)
-        digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in block.texts()]
+        digests = [hashlib.sha256(t).hexdigest() if len(t) else "" for t in block.said()]
         links, many = block.flat("links")
-        width = max(1, len(aligner.numbers))
+        width = len(aligner.sizes[0]) * aligner.width
         held, times = np.unique(np.repeat(block.owner, many) * width + links, return_counts=True)
         per_text = lambda name: block.add(block.flat(name)[1])
         new = {"n_a": per_text("a"), "n_b": per_text("b"), "n_groups": block.n_groups(), "n_links": block.add(many), "groups_sha256": digests,
@@ -246,8 +389,9 @@ class _Shard:
         for n, values in new.items():
             self.per_doc[n].append(values)
         self.doc_id.append(doc_id)
-        self.pairs.append(np.fromiter(aligner.numbers, np.int64, len(aligner.numbers))[held % width])
-        self.times.append(times)
+        x, y = np.divmod(held % width, aligner.width)
+        self.pairs.append(x << 32 | y)
+        self.times.append(_narrow(times))
         self.bytes += len(data)
         self.docs += len(doc_id)
 
@@ -258,8 +402,9 @@ class _Shard:
         ids = pa.concat_arrays(self.doc_id)
         shas = [x for part in self.per_doc["groups_sha256"] for x in part]
         flat = {n: one(np.concatenate(x)) for n, x in self.per_doc.items() if n != "groups_sha256"}
+        packed = lambda x: pa.array([_narrow(x).tobytes()], pa.binary())
         columns = {"block": pa.array([block], pa.int64()), "doc_id": tx.ragged(ids, [len(ids)]), **flat, "groups_sha256": one(shas, pa.string()),
-                   "places": one(places), "times": one(times), "a": one(distinct >> 32), "b": one(distinct & 0xFFFFFFFF), "held": one(held)}
+                   "places": packed(places), "times": packed(times), "a": one(distinct >> 32), "b": one(distinct & 0xFFFFFFFF), "held": one(held)}
         names = [x.split()[0] for x in SHARD.split(", ")]
         return pa.record_batch([columns[n] for n in names], names)
 
@@ -299,6 +444,7 @@ def write_shards(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                 if shard.bytes >= SHARD_BYTES:
                     yield shard.row(number)
                     shard, number = _Shard(), number + 1
+                    tx.release()
         if shard.docs:
             yield shard.row(number)
     folder = shared_folder(docs.sparkSession, "alignment")
@@ -315,18 +461,18 @@ def pair_counts(shards: DataFrame) -> DataFrame:
 
 
 def _score(shards: pa.Table, counts: pa.Table) -> pa.Table:
+    _aligner.cache_clear()  # all shards are written by now, and the shuffles beside this worker need the room
     out = []
-    for row in shards.to_pylist():
-        place = counts.column("place").to_numpy()
+    place = counts.column("place").to_numpy()
+    for k in range(len(shards)):
+        row = {n: shards.column(n)[k] for n in shards.column_names}
         docs, best = np.zeros((2, len(row["a"])), np.int64)
         docs[place], best[place] = counts.column("docs").to_numpy(), counts.column("best").to_numpy()
-        owner = np.repeat(np.arange(len(row["doc_id"])), row["n_pairs"])
-        places, times = np.array(row["places"], np.int64), np.array(row["times"], np.int64)
-        sums = np.zeros((2, len(row["doc_id"])), np.int64)
-        for k, of in enumerate((best, docs)):
-            np.add.at(sums[k], owner, of[places] * times)
-        columns = {"doc_id": pa.array(row["doc_id"], pa.int64()), **{n: pa.array(row[n], pa.int64()) for n in _PER_DOC}, "n_best": pa.array(sums[0]),
-                   "count_sum": pa.array(sums[1]), "groups_sha256": pa.array(row["groups_sha256"], pa.string())}
+        edge = np.concatenate(([0], np.cumsum(row["n_pairs"].values.to_numpy(), dtype=np.int64)))
+        places, times = (_wide(row[n], int(edge[-1])) for n in ("places", "times"))
+        sums = [np.diff(np.concatenate(([0], np.cumsum(of[places] * times)))[edge]) for of in (best, docs)]
+        columns = {"doc_id": row["doc_id"].values, **{n: row[n].values.cast(pa.int64()) for n in _PER_DOC}, "n_best": pa.array(sums[0]),
+                   "count_sum": pa.array(sums[1]), "groups_sha256": row["groups_sha256"].values.cast(pa.string())}
         out.append(pa.table(columns))
     kinds = {"doc_id": pa.int64(), **{n: pa.int64() for n in (*_PER_DOC, "n_best", "count_sum")}, "groups_sha256": pa.string()}
     return pa.concat_tables(out) if out else pa.table({n: pa.array([], k) for n, k in kinds.items()})

@@ -85,6 +85,42 @@ def test_forgetting_changes_nothing(monkeypatch):
         assert block.texts() == [";".join(by_hand(x, y)[0])] and block.flat("a")[0].tolist() == x and block.flat("b")[0].tolist() == y
 
 
+def packed(texts):
+    import numpy as np
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_remembered_words_take_little_room():
+    """An executor's two workers remember 400,000 words each beside the JVM."""
+    import random
+    import tracemalloc
+    rng = random.Random(3)
+    words = ["".join(rng.choice(("an", "the", "re", "on", "ti", "ou", "est", "ing")) for _ in range(6)) + str(i) for i in range(20_000)]
+    aligner = alignment.Aligner(A, B)
+    aligner.block(*packed(["some words first"]))
+    tracemalloc.start()
+    try:
+        for k in range(0, len(words), 4000):
+            aligner.block(*packed([" ".join(words[k:k + 4000])]))
+        assert len(aligner.words) > 20_000 and tracemalloc.get_traced_memory()[0] < 400 * len(words)
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_and_windows_whose_hashes_meet(all_rows, monkeypatch):
+    import numpy as np
+    texts = ["\u2581a b", "one two three", "two three, four  five", "one\u2581 two"] + [t for _, t in all_rows[:12] if t]
+    hashes = alignment.tx.span_hashes
+    monkeypatch.setattr(alignment.tx, "span_hashes", lambda *x: hashes(*x) % np.uint64(3))
+    aligner = alignment.Aligner(A, B)
+    for some in ([texts[0]], texts, texts[::-1]):
+        block = aligner.block(*packed(some))
+        found = [(x, y) for x, y in plain(some)]
+        assert block.texts() == [";".join(by_hand(x, y)[0]) if x else "" for x, y in found]
+        assert block.flat("a")[0].tolist() == [i for x, _ in found for i in x] and block.flat("b")[0].tolist() == [i for _, y in found for i in y]
+
+
 def test_whole_texts_where_pieces_reach_over_words(all_rows):
     """Without cuts at words the results are the same."""
     import numpy as np
